@@ -107,7 +107,7 @@ def lookup_series(df: DataFrame, per_series: DataFrame, keys: list[str]) -> Data
     """Join one row per series to the rows; a series may be cut into salted shares."""
     salts = 32
     left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    right = per_series.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    right = per_series.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return left.join(right, keys + ["_salt"], "left").drop("_salt")
 
 
