@@ -143,10 +143,10 @@ def column_roles(df: DataFrame) -> DataFrame:
 class TypeCorrector(Step):
     """Text columns become numbers when more than `share` of the rows parse."""
 
-    defaults = {"share": 0.9}
+    defaults = {"share": 0.9, "exclude": []}
 
     def learn(self, df):
-        names = string_columns(df)
+        names = string_columns(df, self["exclude"])
         stats = {n: F.count(c(n).try_cast("double")) for n in names}
         seen = wide_agg(df, {**stats, "*": F.count(F.lit(1))})
         return TypeCorrectorModel(columns=[n for n in names if seen[n] > seen["*"] * self["share"]])
@@ -170,12 +170,13 @@ class BooleanNormalizer(Step):
     Numbers are compared by value, so 0.0/1.0 works; `ignore_case` also takes "Yes".
     """
 
-    defaults = {"ignore_case": False}
+    defaults = {"ignore_case": False, "exclude": []}
 
     def learn(self, df):
-        names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-        flags = [f.name for f in df.schema if isinstance(f.dataType, T.BooleanType)]
-        nums = numeric_columns(df)
+        names = string_columns(df, self["exclude"])
+        flags = [f.name for f in df.schema
+                 if isinstance(f.dataType, T.BooleanType) and f.name not in self["exclude"]]
+        nums = numeric_columns(df, self["exclude"])
         stats = {n: F.struct(F.min(_word(n, self["ignore_case"])), F.max(_word(n, self["ignore_case"])),
                              F.approx_count_distinct(c(n))) for n in names}
         stats |= {n: F.struct(F.min(c(n)), F.max(c(n)),

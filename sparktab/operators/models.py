@@ -277,7 +277,7 @@ class KernelSvm(Estimator):
         if self.task == "regression":
             last = LinearRegression(featuresCol=col, regParam=reg, elasticNetParam=0.0, standardization=False)
         else:
-            last = LinearSVC(featuresCol=col, regParam=reg, maxIter=30)
+            last = LinearSVC(featuresCol=col, regParam=reg, maxIter=30, tol=1e-3)
             if self.classes > 2:
                 last = OneVsRest(classifier=last, featuresCol=col, parallelism=4)
         return Pipeline(stages=[*stages, last]).fit(df)
