@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktab.functions.columns import c
 from sparktab.operators.clean import drop_target_if_present
 from sparktab.operators.models import decode_labels
 
@@ -20,10 +21,10 @@ def score_batch(df: DataFrame, model: PipelineModel | str, targets: list[str] |
     if isinstance(model, str):
         model = PipelineModel.load(model)
     rows = drop_target_if_present(df, targets or [])
-    out = model.transform(rows)
+    # steps may rewrite or drop columns: the originals travel beside them
+    out = model.transform(rows.withColumn("_given", F.struct(*[c(x) for x in rows.columns])))
     keep = [x for x in ("prediction", "probability") if x in out.columns]
-    # input columns keep their values only if the model left them alone: carry originals along
-    out = out.select(*[x for x in rows.columns if x in out.columns], *keep)
+    out = out.select("_given.*", *keep)
     return decode_labels(out, labels) if labels else out
 
 

@@ -48,10 +48,10 @@ PC = {"p_size": 2.5, "p_retailprice": -0.75}
     f"select p_partkey, '{f}' as feature, {f}::double as value, {w} * ({f} - (select avg({f}) from part)) as contribution from part"
     for f, w in PC.items()) + """)
 select p_partkey, 10.0::double as base_value, list(feature order by abs(contribution) desc) as features,
- round(10 + sum(contribution), 4) as prediction from s group by 1""")
+ round(10 + sum(contribution), 6) as prediction from s group by 1""")
 def _(t):
     lin = explain.shap_linear(t.part, "p_partkey", PC)
-    return rounds(explain.shap_waterfall(lin, "p_partkey", 10.0), "prediction", digits=4).drop("feature_values", "contributions")
+    return rounds(explain.shap_waterfall(lin, "p_partkey", 10.0), "prediction").drop("feature_values", "contributions")
 
 
 @query("shap_dependence", LONG + " select value, round(contribution, 4) + 0.0 as contribution from s where feature = 'l_tax'")
