@@ -73,3 +73,16 @@ def rounded(col: Column, digits: int = 4) -> Column:
 def long_rows(row_structs: list[Column]) -> Column:
     """One output row per struct: reshapes a one-row wide aggregate."""
     return F.inline(F.array(*row_structs))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where the input has fewer splits than cores (a small table in one file).
+
+    A table of many splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # sized by the shuffle
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

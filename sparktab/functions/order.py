@@ -111,33 +111,31 @@ def lookup_series(df: DataFrame, per_series: DataFrame, keys: list[str]) -> Data
     return left.join(right, keys + ["_salt"], "left").drop("_salt")
 
 
-def fill_series(df: DataFrame, keys: list[str], order_by: list[str], columns: dict[str, str],
-                forward: bool = True, limit: int = SERIES_ROWS) -> DataFrame:
-    """Last (or next) non-null value of each column: {new name: source column}."""
-    def spec(part, order):
-        w = W.partitionBy(*part).orderBy(*order)
-        return (w.rowsBetween(W.unboundedPreceding, 0) if forward
-                else w.rowsBetween(0, W.unboundedFollowing))
-
-    pick = F.last if forward else F.first
+def fill_series(df: DataFrame, keys: list[str], order_by: list[str], forward: dict[str, str] | None = None,
+                backward: dict[str, str] | None = None, limit: int = SERIES_ROWS) -> DataFrame:
+    """Last and next non-null value of columns, {new name: source column}, in one ordering."""
+    jobs = [(n, s, True) for n, s in (forward or {}).items()] + [(n, s, False) for n, s in (backward or {}).items()]
     cols = [c(k) for k in keys]
+
+    def fill(source, ahead, w, skip=0):
+        if ahead:
+            return F.last(c(source), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -skip))
+        return F.first(c(source), ignorenulls=True).over(w.rowsBetween(skip, W.unboundedFollowing))
+
     if longest_series(df, keys) <= limit:
-        w = spec(cols, [c(o) for o in order_by])
-        return df.withColumns({n: pick(c(s), ignorenulls=True).over(w) for n, s in columns.items()})
+        w = W.partitionBy(*cols).orderBy(*[c(o) for o in order_by])
+        return df.withColumns({n: fill(s, ahead, w) for n, s, ahead in jobs})
     st = order_stage(df, keys + order_by)
-    edge = F.max_by if forward else F.min_by
     marks = st.groupBy("_pid", *cols).agg(
-        *[edge(c(s), F.when(c(s).isNotNull(), F.col("_rid"))).alias(f"_e{i}")
-          for i, s in enumerate(columns.values())])
+        *[(F.max_by if ahead else F.min_by)(c(s), F.when(c(s).isNotNull(), F.col("_rid"))).alias(f"_e{i}")
+          for i, (_, s, ahead) in enumerate(jobs)])
     across = W.partitionBy(*cols).orderBy("_pid")
-    across = (across.rowsBetween(W.unboundedPreceding, -1) if forward
-              else across.rowsBetween(1, W.unboundedFollowing))
-    carry = marks.select("_pid", *cols, *[pick(f"_e{i}", ignorenulls=True).over(across).alias(f"_c{i}")
-                                          for i in range(len(columns))])
-    # at most one series crosses each partition border: no more rows than partitions
-    carry = carry.filter(reduce(or_, [F.col(f"_c{i}").isNotNull() for i in range(len(columns))]))
-    w = spec(["_pid", *cols], ["_rid"])
-    out = st.withColumns({n: pick(c(s), ignorenulls=True).over(w) for n, s in columns.items()})
+    carry = marks.select("_pid", *cols, *[fill(f"_e{i}", ahead, across, 1).alias(f"_c{i}")
+                                          for i, (_, _, ahead) in enumerate(jobs)])
+    # only series that cross a partition border carry anything: at most two per partition
+    carry = carry.filter(reduce(or_, [F.col(f"_c{i}").isNotNull() for i in range(len(jobs))]))
+    w = W.partitionBy("_pid", *cols).orderBy("_rid")
+    out = st.withColumns({n: fill(s, ahead, w) for n, s, ahead in jobs})
     out = out.join(F.broadcast(carry), ["_pid", *keys], "left")
-    return (out.withColumns({n: F.coalesce(c(n), F.col(f"_c{i}")) for i, n in enumerate(columns)})
-            .drop("_pid", "_rid", *[f"_c{i}" for i in range(len(columns))]))
+    return (out.withColumns({n: F.coalesce(c(n), F.col(f"_c{i}")) for i, (n, _, _) in enumerate(jobs)})
+            .drop("_pid", "_rid", *[f"_c{i}" for i in range(len(jobs))]))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktab.functions.aggregate import exact_quantiles, wide_agg
-from sparktab.functions.columns import c, dbl, percent_slot
+from sparktab.functions.columns import c, dbl, percent_slot, spread
 from sparktab.functions.staging import stage_path
 
 
@@ -74,24 +74,51 @@ def leaf_paths(model: Model, spark, value_of_class: int = 1) -> list[tuple[float
     return leaves
 
 
-def _leaf_contributions(x: np.ndarray, leaves: list) -> np.ndarray:
-    """Exact path-dependent Shapley values, summed over leaves (Lundberg et al. 2020, leaf form)."""
-    out = np.zeros_like(x)
+MAX_TABLE = 12  # features on a path up to which all in/out patterns are tabulated
+
+
+def _leaf_weights(inside: np.ndarray, share: list[float], v: float) -> np.ndarray:
+    """Shapley values of one leaf for rows of in/out flags (path-dependent, Lundberg et al. 2020)."""
+    d = len(share)
+    weight = [1.0 / d]
+    for s in range(1, d):
+        weight.append(weight[-1] * s / (d - s))
+    out = np.zeros((len(inside), d))
+    for j in range(d):
+        poly = np.zeros((len(inside), d))
+        poly[:, 0] = 1.0
+        for k in range(d):
+            if k != j:
+                shifted = np.concatenate([np.zeros((len(inside), 1)), poly[:, :-1]], 1)
+                poly = poly * share[k] + shifted * inside[:, [k]]
+        out[:, j] = v * (inside[:, j] - share[j]) * (poly @ np.array(weight))
+    return out
+
+
+def leaf_tables(leaves: list) -> list:
+    """Per leaf its path and, for short paths, the values of every in/out pattern."""
+    out = []
     for v, path in leaves:
-        d = len(path)
-        inside = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi, _ in path], 1).astype(float) if d else None
-        share = [p[3] for p in path]
-        weight = [1.0 / d]
-        for s in range(1, d):
-            weight.append(weight[-1] * s / (d - s))
-        for j in range(d):
-            poly = np.zeros((len(x), d))
-            poly[:, 0] = 1.0
-            for k in range(d):
-                if k != j:
-                    shifted = np.concatenate([np.zeros((len(x), 1)), poly[:, :-1]], 1)
-                    poly = poly * share[k] + shifted * inside[:, [k]]
-            out[:, path[j][0]] += v * (inside[:, j] - share[j]) * (poly @ np.array(weight))
+        d, table = len(path), None
+        if 0 < d <= MAX_TABLE:
+            bits = ((np.arange(2 ** d)[:, None] >> np.arange(d)) & 1).astype(float)
+            table = _leaf_weights(bits, [p[3] for p in path], v)
+        out.append((v, path, table))
+    return out
+
+
+def _leaf_contributions(x: np.ndarray, tables: list) -> np.ndarray:
+    out = np.zeros_like(x)
+    for v, path, table in tables:
+        if not path:
+            continue
+        flags = [(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi, _ in path]
+        if table is None:
+            part = _leaf_weights(np.stack(flags, 1).astype(float), [p[3] for p in path], v)
+        else:
+            part = table[sum(m.astype("int32") << i for i, m in enumerate(flags))]
+        for j, (f, *_) in enumerate(path):
+            out[:, f] += part[:, j]
     return out
 
 
@@ -102,7 +129,7 @@ def tree_base(leaves: list) -> float:
 def shap_tree(df: DataFrame, key: str, features: list[str], leaves: list) -> DataFrame:
     """Contributions of all rows to a tree model's output (class-1 share for classifiers)."""
     src = df.select(c(key), *[c(f).cast("double").alias(f) for f in features])
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
+    shared = df.sparkSession.sparkContext.broadcast(leaf_tables(leaves))
     kind = T.StructType([src.schema[key], T.StructField("phi", T.ArrayType(T.DoubleType())),
                          *[T.StructField(f, T.DoubleType()) for f in features]])
 
@@ -113,7 +140,7 @@ def shap_tree(df: DataFrame, key: str, features: list[str], leaves: list) -> Dat
 
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), c(f).alias("value"), F.col("phi")[i].alias("contribution"))
                       for i, f in enumerate(features)])
-    return src.mapInPandas(run, kind).select(c(key), F.inline(cells))
+    return spread(src).mapInPandas(run, kind).select(c(key), F.inline(cells))
 
 
 def output_column(pred: DataFrame, classifier: bool):

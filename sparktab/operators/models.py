@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.functions.aggregate import wide_agg
-from sparktab.functions.columns import c, dbl
+from sparktab.functions.columns import c, dbl, spread
 from sparktab.functions.staging import stage
 from sparktab.operators import metrics
 from sparktab.operators.base import Fitted
@@ -379,7 +379,7 @@ def train_many(train: DataFrame, test: DataFrame, features: list[str], label: st
                               handleInvalid="keep").fit(train)
         labels = list(coder.labels)
         train, test, label = coder.transform(train), coder.transform(test), "_code"
-    tr, te = assemble(train, features, label, key), assemble(test, features, label, key)
+    tr, te = spread(assemble(train, features, label, key)), assemble(test, features, label, key)
     tr.persist()
     te.persist()
     rows = tr.count()
@@ -417,7 +417,7 @@ def multi_output(train: DataFrame, test: DataFrame, features: list[str], targets
     vec = VectorAssembler(inputCols=features, outputCol="features")
     tr = vec.transform(train.select(c(key).alias(ROW_ID), *[c(x).cast("double").alias(x) for x in features + targets]))
     te = vec.transform(test.select(c(key).alias(ROW_ID), *[c(x).cast("double").alias(x) for x in features + targets]))
-    tr.persist()
+    tr = spread(tr).persist()
     rows, models, out = tr.count(), {}, te
     for t in targets:
         classes = int(tr.agg(F.max(c(t))).first()[0]) + 1 if task == "classification" else 2

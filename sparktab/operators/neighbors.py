@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from sparktab.functions.columns import c, dbl, percent_slot, unit_hash
-from sparktab.functions.order import series_index
+from sparktab.functions.columns import c, dbl, percent_slot, spread, unit_hash
+from sparktab.functions.lookup import lookup
 from sparktab.functions.staging import stage
+from sparktab.operators.split import _before, _tie, rank_cuts
 
 FEW_QUERIES = 10_000
 FEW_BYTES = 64 << 20
@@ -37,7 +38,7 @@ def vector(columns: list[str]):
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
-    return np.array(series.tolist(), dtype="float64")
+    return np.concatenate(series.to_numpy()).astype("float64", copy=False).reshape(len(series), -1)
 
 
 def _nearest(q: np.ndarray, x: np.ndarray, k: int, qid=None, xid=None):
@@ -86,11 +87,39 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpu
     if size[0] <= few and size[0] * (size[1] or 0) * 8 <= FEW_BYTES:
         best = _scan(q, x, k, schema, skip_same)
     else:
-        best = _cells(stage(q, "knn-q"), stage(x, "knn-x"), k, schema, skip_same, block, pivots)
+        return _by_distinct(stage(q, "knn-q"), stage(x, "knn-x"), k, schema, skip_same, size[0], block, pivots)
     w = W.partitionBy("query").orderBy("d2", "id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _by_distinct(q: DataFrame, x: DataFrame, k: int, schema, skip_same: bool, total: int, block: int,
+                 pivots: int) -> DataFrame:
+    """Search once per distinct vector, so any number of copies costs as much as one.
+
+    Of equal corpus rows only those with the smallest ids can be among the nearest
+    (one more is kept where a query skips its own id); the rank filter is
+    applied inside each task before rows move. Answers are looked up by vector.
+    """
+    keep = k + (1 if skip_same else 0)
+    zero = F.transform("vec", lambda v: v + F.lit(0.0))  # -0.0 and 0.0 are one value
+    w = W.partitionBy("vec").orderBy("id")
+    few = x.withColumn("vec", zero).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).drop("_r")
+    q = q.withColumn("qvec", F.transform("qvec", lambda v: v + F.lit(0.0)))
+    asks = q.groupBy("qvec").agg((F.count(F.lit(1)) / F.lit(float(max(total, 1)))).alias("share"),
+                                 F.min("query").alias("query"))
+    asks = stage(asks, "knn-asks")
+    found = _cells(asks.select("query", "qvec"), stage(few, "knn-few"), keep, schema, block, pivots)
+    w = W.partitionBy("query").orderBy("d2", "id")
+    best = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep)
+    near = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("d2", "id", "label"))).alias("near"))
+    answers = stage(asks.join(near, "query").select("qvec", "near", "share"), "knn-answers")
+    out = lookup(q, answers, "qvec", ["near"], "share")
+    if skip_same:
+        out = out.withColumn("near", F.filter("near", lambda s: s["id"] != F.col("query")))
+    return (out.select("query", F.posexplode(F.slice("near", 1, k)).alias("_p", "_n"))
+            .select("query", "_n.id", "_n.d2", "_n.label", (F.col("_p") + 1).alias("rank")))
+
+
 def _scan(q: DataFrame, x: DataFrame, k: int, schema, skip_same: bool) -> DataFrame:
     held = q.toPandas()  # size checked by the caller
     shared = q.sparkSession.sparkContext.broadcast((held[["query"]], _matrix(held["qvec"])))
@@ -106,10 +135,10 @@ def _scan(q: DataFrame, x: DataFrame, k: int, schema, skip_same: bool) -> DataFr
         if best is not None:
             yield best
 
-    return x.mapInPandas(run, schema)
+    return spread(x).mapInPandas(run, schema)
 
 
-def _cells(q: DataFrame, x: DataFrame, k: int, schema, skip_same: bool, block: int, pivots: int) -> DataFrame:
+def _cells(q: DataFrame, x: DataFrame, keep: int, schema, block: int, pivots: int) -> DataFrame:
     sc = q.sparkSession.sparkContext
     order = F.xxhash64(F.to_json(F.struct("vec")))
     picked = [r[0] for r in x.select("vec").distinct().orderBy(order).limit(pivots).collect()]
@@ -127,8 +156,6 @@ def _cells(q: DataFrame, x: DataFrame, k: int, schema, skip_same: bool, block: i
     placed = stage(x.mapInPandas(assign, kinds), "knn-cells")
     stats = {r["cell"]: r for r in placed.groupBy("cell").agg(
         F.max("pd").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
-    # the query's own row may be skipped, so one more distance is kept per cell
-    keep = k + (1 if skip_same else 0)
     w = W.partitionBy("cell").orderBy("pd")
     near: dict[int, list[float]] = {}
     for r in (placed.select("cell", "pd").withColumn("r", F.row_number().over(w))
@@ -172,7 +199,7 @@ def _cells(q: DataFrame, x: DataFrame, k: int, schema, skip_same: bool, block: i
     def best(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if len(rows) == 0 or len(asks) == 0:
             return pd.DataFrame({f.name: [] for f in schema})
-        return _topk(asks[["query"]], _matrix(asks["qvec"]), rows, k, skip_same)
+        return _topk(asks[["query"]], _matrix(asks["qvec"]), rows, keep, False)
 
     key = ["cell", "a", "b"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, schema)
@@ -218,9 +245,12 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
         kk = min(k, n - 1)
         near = knn_join(rows, rows, kk, key, key, "_v", "_v", skip_same=True, **kw).select(
             F.col("query").alias(key), F.col("id").alias("_nb"), F.col("rank").alias("_pick"))
-        rows = rows.withColumn("_h", percent_slot(c(key), 1 << 32, seed))
-        rows = series_index(rows, [], ["_h", key], "_i") if need % n else rows.withColumn("_i", F.lit(0))
-        copies = F.lit(need // n) + (F.col("_i") < need % n).cast("int")
+        # need // n copies each, and one more for the first need % n rows in hash order
+        copies = F.lit(need // n)
+        if need % n:
+            spot, tie = percent_slot(c(key), 1 << 32, seed), _tie(rows, key)
+            cut = rank_cuts(rows, spot, tie, [(None, need % n)])[0]
+            copies = copies + _before(spot, tie, cut).cast("int")
         more = (rows.withColumn("_copies", copies).filter("_copies > 0")
                 .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
         tag = F.concat_ws("|", c(key).cast("string"), F.col("_copy").cast("string"))

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from sparktab.functions.aggregate import (adjusted_skewness, exact_quantiles, gram_matrix,
                                           wide_agg)
-from sparktab.functions.columns import (c, dbl, long_rows, micros, numeric_columns, rounded,
+from sparktab.functions.columns import (c, dbl, long_rows, micros, numeric_columns, rounded, spread,
                                         string_columns, timestamp_columns)
 from sparktab.functions.order import series_window
+from sparktab.functions.staging import stage
 
 CLASS_LIMIT = 10         # distinct values up to which a numeric target is a class
 HIGH_CORRELATION = 0.95
@@ -189,7 +190,7 @@ def time_frequency(df: DataFrame, ts: str, tie: str, keys: list[str] | None = No
     us = df.select(*[c(k) for k in keys or []], micros(c(ts)).alias("_us"), c(tie).alias("_tie"))
     gaps = series_window(us, keys or [], ["_us", "_tie"], 1, 0,
                          {"gap": lambda w: F.col("_us") - F.lag("_us").over(w)}, **kw)
-    return exact_quantiles(gaps.select("gap"), {"gap": [0.5]})["gap"][0]
+    return exact_quantiles(stage(gaps.select("gap"), "gaps"), {"gap": [0.5]})["gap"][0]
 
 
 # fixed values: response surface for the unit-root t statistic with a constant, from
@@ -224,7 +225,7 @@ def adf_stationarity(df: DataFrame, value: str, order_by: list[str], max_lag: in
     src = df.filter(dbl(value).isNotNull()).select(
         *[c(o) for o in order_by], (dbl(value) - base["m"]).alias("_y"))
     lags = {f"_l{i}": (lambda w, i=i: F.lag("_y", i).over(w)) for i in range(1, top + 2)}
-    ser = series_window(src, [], order_by, top + 1, 0, lags, **kw)
+    ser = spread(series_window(src, [], order_by, top + 1, 0, lags, **kw))
     level = F.col("_l1")
     diffs = [F.col("_y") - level] + [F.col(f"_l{i}") - F.col(f"_l{i + 1}") for i in range(1, top + 1)]
 

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparktab.functions.aggregate import exact_quantiles, wide_agg
 from sparktab.functions.columns import c, micros, percent_slot, row_hash, timestamp_columns
-from sparktab.functions.order import series_index
-
-SLOTS = 10_000
 
 
 def split_key(df: DataFrame, key: str | None) -> Column:
@@ -23,48 +21,70 @@ def split_random(df: DataFrame, key: str | None = None, test_size: float = 0.2,
     return df.withColumn("split", F.when(slot < round(test_size * slots), "test").otherwise("train"))
 
 
-def split_stratified(df: DataFrame, target: str, key: str, test_size: float = 0.2,
-                     **kw) -> DataFrame:
-    """Exactly round(test_size * n) rows of each class, by hash order; random if a class has one row."""
+def split_stratified(df: DataFrame, target: str, key: str, test_size: float = 0.2) -> DataFrame:
+    """Exactly round(test_size * n) rows of each class, by hash order; random if a class has one row.
+
+    The cut of each class is an order statistic found by counting passes, so
+    rows are neither sorted nor moved, however large a class is.
+    """
     sizes = {r[0]: r[1] for r in df.groupBy(c(target)).count().collect()}
     if min(sizes.values(), default=0) < 2:
         return split_random(df, key, test_size)
-    quota = None
-    for v, n in sizes.items():
-        hit, q = c(target).eqNullSafe(F.lit(v)), int(n * test_size + 0.5)
-        quota = F.when(hit, q) if quota is None else quota.when(hit, q)
-    hashed = df.withColumn("_h", percent_slot(c(key), 1 << 32))
-    ranked = series_index(hashed, [target], ["_h", key], "_i", **kw)
-    return (ranked.withColumn("split", F.when(F.col("_i") < quota, "test").otherwise("train"))
-            .drop("_h", "_i"))
+    hashed, tie = percent_slot(c(key), 1 << 32), _tie(df, key)
+    quota = {v: int(n * test_size + 0.5) for v, n in sizes.items()}
+    asks = {v: (c(target).eqNullSafe(F.lit(v)), q) for v, q in quota.items() if 0 < q < sizes[v]}
+    cuts = dict(zip(asks, rank_cuts(df, hashed, tie, list(asks.values()))))
+    test = F.lit(False)
+    for v, q in quota.items():
+        inside = _before(hashed, tie, cuts[v]) if v in cuts else F.lit(q > 0)
+        test = test | (c(target).eqNullSafe(F.lit(v)) & inside)
+    return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
 def _time_value(df: DataFrame, ts: str) -> Column:
     return micros(c(ts)) if ts in timestamp_columns(df) else c(ts)
 
 
-def time_cuts(df: DataFrame, ts: str, key: str, ranks: list[int]) -> list[tuple[int, int]]:
-    """(time, key) of the rows at the given ranks of the (time, key) order.
+def _tie(df: DataFrame, key: str) -> Column:
+    """The key as an integer a double can hold; other keys by a 52-bit hash."""
+    whole = isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    return c(key).cast("bigint") if whole else F.pmod(F.xxhash64(c(key)), F.lit(1 << 52))
+
+
+def rank_cuts(df: DataFrame, first: Column, second: Column,
+              asks: list[tuple[Column | None, int]]) -> list[tuple[int, int]]:
+    """(first, second) of the row at a rank of the (first, second) order, per (condition, rank).
 
-    Order statistics by counting passes: the table is not sorted or moved.
-    Time and key are integers.
+    Order statistics by counting passes over two integer columns; all cuts
+    share the passes.
     """
-    base = df.select(_time_value(df, ts).cast("bigint").alias("_t"), c(key).cast("bigint").alias("_k"))
-    n = base.count()
-    times = exact_quantiles(base, {"_t": [r / max(n - 1, 1) for r in ranks]})["_t"]
-    times = [int(round(x)) for x in times]
-    seen = wide_agg(base, {(i, s): f for i, x in enumerate(times) for s, f in (
-        ("below", F.count_if(F.col("_t") < x)), ("ties", F.count_if(F.col("_t") == x)))})
-    ties = base.select(*[F.when(F.col("_t") == x, F.col("_k")).alias(f"k{i}") for i, x in enumerate(times)])
-    where = {f"k{i}": [(r - seen[i, "below"]) / max(seen[i, "ties"] - 1, 1)] for i, r in enumerate(ranks)}
-    keys = exact_quantiles(ties, where)
-    return [(x, int(round(keys[f"k{i}"][0]))) for i, x in enumerate(times)]
+    base = df.select(first.cast("bigint").alias("_t"), second.cast("bigint").alias("_k"),
+                     *[(F.lit(True) if cond is None else cond).alias(f"_c{i}") for i, (cond, _) in enumerate(asks)])
+    ok = [F.col(f"_c{i}") for i in range(len(asks))]
+    sizes = wide_agg(base, {i: F.count_if(x) for i, x in enumerate(ok)})
+    cols = base.select(*[F.when(x, F.col("_t")).alias(f"t{i}") for i, x in enumerate(ok)])
+    found = exact_quantiles(cols, {f"t{i}": [r / max(sizes[i] - 1, 1)] for i, (_, r) in enumerate(asks)})
+    at = [int(round(found[f"t{i}"][0])) for i in range(len(asks))]
+    seen = wide_agg(base, {(i, s): F.count_if(x & f) for i, x in enumerate(ok) for s, f in (
+        ("below", F.col("_t") < at[i]), ("ties", F.col("_t") == at[i]))})
+    ties = base.select(*[F.when(x & (F.col("_t") == at[i]), F.col("_k")).alias(f"k{i}") for i, x in enumerate(ok)])
+    keys = exact_quantiles(ties, {f"k{i}": [(r - seen[i, "below"]) / max(seen[i, "ties"] - 1, 1)]
+                                  for i, (_, r) in enumerate(asks)})
+    return [(at[i], int(round(keys[f"k{i}"][0]))) for i in range(len(asks))]
+
+
+def _before(first: Column, second: Column, cut: tuple[int, int]) -> Column:
+    return (first < cut[0]) | ((first == cut[0]) & (second < cut[1]))
+
+
+def time_cuts(df: DataFrame, ts: str, key: str, ranks: list[int]) -> list[tuple[int, int]]:
+    """(time, key) of the rows at the given ranks of the time order, ties by key."""
+    return rank_cuts(df, _time_value(df, ts), _tie(df, key), [(None, r) for r in ranks])
 
 
 def before(df: DataFrame, ts: str, key: str, cut: tuple[int, int]) -> Column:
     """Is the row before the cut row in (time, key) order?"""
-    t = _time_value(df, ts)
-    return (t < cut[0]) | ((t == cut[0]) & (c(key) < cut[1]))
+    return _before(_time_value(df, ts), _tie(df, key), cut)
 
 
 def split_time(df: DataFrame, ts: str, key: str, test_size: float = 0.2) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from sparktab.functions.aggregate import wide_agg
 from sparktab.functions.columns import c, dbl, micros
-from sparktab.functions.order import fill_series, series_window
+from sparktab.functions.order import fill_series, lookup_series, series_window
 
 
 def lag_features(df, keys, order_by, value, lags=(1, 5, 10), **kw) -> DataFrame:
@@ -46,11 +46,11 @@ def fourier_features(df, ts, period_us, order=2, prefix="season") -> DataFrame:
 
 
 def forward_fill(df, keys, order_by, value, name=None, **kw) -> DataFrame:
-    return fill_series(df, keys, order_by, {name or value + "_ffill": value}, True, **kw)
+    return fill_series(df, keys, order_by, forward={name or value + "_ffill": value}, **kw)
 
 
 def backward_fill(df, keys, order_by, value, name=None, **kw) -> DataFrame:
-    return fill_series(df, keys, order_by, {name or value + "_bfill": value}, False, **kw)
+    return fill_series(df, keys, order_by, backward={name or value + "_bfill": value}, **kw)
 
 
 def interpolate_linear(df, keys, order_by, value, time, name=None, **kw) -> DataFrame:
@@ -59,8 +59,7 @@ def interpolate_linear(df, keys, order_by, value, time, name=None, **kw) -> Data
     t = time if not isinstance(df.schema[time].dataType, (T.TimestampType, T.TimestampNTZType)) else None
     df = df.withColumn("_t", c(t).cast("double") if t else micros(c(time)).cast("double"))
     df = df.withColumn("_at", F.when(dbl(value).isNotNull(), F.struct(F.col("_t").alias("t"), dbl(value).alias("v"))))
-    df = fill_series(df, keys, order_by, {"_a": "_at"}, True, **kw)
-    df = fill_series(df, keys, order_by, {"_b": "_at"}, False, **kw)
+    df = fill_series(df, keys, order_by, {"_a": "_at"}, {"_b": "_at"}, **kw)
     share = (F.col("_t") - F.col("_a.t")) / F.nullif(F.col("_b.t") - F.col("_a.t"), F.lit(0.0))
     line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share
     edge = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.coalesce(line, F.col("_a.v")))
@@ -293,7 +292,6 @@ def trend_season_forecast(train: DataFrame, test: DataFrame, ts: str, value: str
         b = beta.first()["_beta"]
         line = sum((v * F.lit(float(b[i])) for i, v in enumerate(cols.values())), F.lit(0.0))
         return test.withColumn("forecast", line)
-    from sparktab.functions.order import lookup_series
     out = lookup_series(test, beta, keys)
     line = sum((v * F.col("_beta")[i] for i, v in enumerate(cols.values())), F.lit(0.0))
     return out.withColumn("forecast", line).drop("_beta")

@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.functions.columns import c
+from sparktab.functions.columns import c, spread
 from sparktab.operators import models
 from sparktab.operators.metrics import regression_metrics
 from sparktab.operators.split import inner_holdout, kfold, time_series_folds
@@ -111,7 +111,7 @@ def tune(train: DataFrame, test: DataFrame, name: str, task: str, features: list
     tr = models.VectorAssembler(inputCols=features, outputCol="features").transform(folded.select(
         c(key).alias(models.ROW_ID), c(label).cast("double").alias("label"), "fold",
         *[c(f).cast("double").alias(f) for f in features]))
-    tr.persist()
+    tr = spread(tr).persist()
     n = tr.count()
     classes = int(tr.agg(F.max("label")).first()[0]) + 1 if task == "classification" else 2
 
