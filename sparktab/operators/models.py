@@ -275,7 +275,7 @@ class KernelSvm(Estimator):
             col = "fourier"
         reg = 1.0 / (self.C * rows)
         if self.task == "regression":
-            last = LinearRegression(featuresCol=col, regParam=reg, elasticNetParam=0.0, standardization=False)
+            last = Penalized("Ridge", {"alpha": 1.0 / self.C}, col)
         else:
             last = LinearSVC(featuresCol=col, regParam=reg, maxIter=30, tol=1e-3)
             if self.classes > 2:
@@ -283,6 +283,38 @@ class KernelSvm(Estimator):
         return Pipeline(stages=[*stages, last]).fit(df)
 
 
+def penalty(name: str, params: dict, rows: int, label_std: float) -> tuple[float, float]:
+    """(regParam, elasticNetParam) that give the usual objective of a penalised linear model.
+
+    MLlib scales the label to unit deviation first, which divides the squared
+    penalty by that deviation and leaves the absolute one as it is.
+    """
+    alpha, std = params.get("alpha", 1.0), label_std or 1.0
+    if name == "Ridge":
+        return alpha / max(rows, 1) * std, 0.0
+    mix = 1.0 if name == "Lasso" else params.get("l1_ratio", 0.5)
+    total = alpha * (mix + (1 - mix) * std)
+    return total, alpha * mix / total if total else 0.0
+
+
+def label_stats(df: DataFrame) -> tuple[int, float]:
+    return df.agg(F.count("label"), F.coalesce(F.stddev_pop("label"), F.lit(0.0))).first()
+
+
+class Penalized(Estimator):
+    """Ridge, Lasso and ElasticNet with the penalty measured on the training rows."""
+
+    def __init__(self, name, params, features_col="features"):
+        super().__init__()
+        self.name, self.params_, self.col = name, params, features_col
+
+    def _fit(self, df):
+        reg, mix = penalty(self.name, self.params_, *label_stats(df))
+        solver = "normal" if self.name == "Ridge" else "auto"
+        return LinearRegression(featuresCol=self.col, solver=solver, regParam=reg, elasticNetParam=mix,
+                                standardization=False).fit(df)
+
+
 def make_estimator(name: str, task: str, rows: int, features: list[str], classes: int = 2,
                    params: dict | None = None, seed: int = 42) -> Estimator:
     """Estimator over (features, label) for a model name; `rows` converts penalties to MLlib's scale."""
@@ -290,14 +322,8 @@ def make_estimator(name: str, task: str, rows: int, features: list[str], classes
     trees, depth = p.get("n_estimators"), p.get("max_depth")
     if name == "Linear Regression":
         return LinearRegression(solver="normal")
-    if name == "Ridge":
-        return LinearRegression(solver="normal", regParam=p.get("alpha", 1.0) / max(rows, 1),
-                                elasticNetParam=0.0, standardization=False)
-    if name == "Lasso":
-        return LinearRegression(regParam=p.get("alpha", 1.0), elasticNetParam=1.0, standardization=False)
-    if name == "ElasticNet":
-        return LinearRegression(regParam=p.get("alpha", 1.0), elasticNetParam=p.get("l1_ratio", 0.5),
-                                standardization=False)
+    if name in ("Ridge", "Lasso", "ElasticNet"):
+        return Penalized(name, p)
     if name == "Logistic Regression":
         return LogisticRegression(family="auto", regParam=1.0 / (p.get("C", 1.0) * max(rows, 1)), standardization=False)
     if name == "Decision Tree":

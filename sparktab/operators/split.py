@@ -24,21 +24,59 @@ def split_random(df: DataFrame, key: str | None = None, test_size: float = 0.2,
 def split_stratified(df: DataFrame, target: str, key: str, test_size: float = 0.2) -> DataFrame:
     """Exactly round(test_size * n) rows of each class, by hash order; random if a class has one row.
 
-    The cut of each class is an order statistic found by counting passes, so
-    rows are neither sorted nor moved, however large a class is.
+    The cut of each class is found by counting passes, so rows are neither
+    sorted nor moved, however large a class is.
     """
     sizes = {r[0]: r[1] for r in df.groupBy(c(target)).count().collect()}
     if min(sizes.values(), default=0) < 2:
         return split_random(df, key, test_size)
-    hashed, tie = percent_slot(c(key), 1 << 32), _tie(df, key)
     quota = {v: int(n * test_size + 0.5) for v, n in sizes.items()}
-    asks = {v: (c(target).eqNullSafe(F.lit(v)), q) for v, q in quota.items() if 0 < q < sizes[v]}
-    cuts = dict(zip(asks, rank_cuts(df, hashed, tie, list(asks.values()))))
-    test = F.lit(False)
-    for v, q in quota.items():
-        inside = _before(hashed, tie, cuts[v]) if v in cuts else F.lit(q > 0)
-        test = test | (c(target).eqNullSafe(F.lit(v)) & inside)
-    return df.withColumn("split", F.when(test, "test").otherwise("train"))
+    work = df.withColumn("_h", percent_slot(c(key), 1 << HASH_BITS))
+    cuts = group_cuts(work.select(c(target), "_h", _tie(df, key).alias("_k")), target, quota)
+    cuts = cuts.withColumnRenamed(target, "_g")  # one row per class
+    out = work.join(F.broadcast(cuts), c(target).eqNullSafe(F.col("_g")), "left")
+    test = (F.col("_h") < F.col("_hc")) | ((F.col("_h") == F.col("_hc")) & (_tie(df, key) < F.col("_kc")))
+    return out.withColumn("split", F.when(test, "test").otherwise("train")).select(*[c(x) for x in df.columns], "split")
+
+
+HASH_BITS, DIGIT = 32, 16
+
+
+def group_cuts(df: DataFrame, group: str, ranks: dict) -> DataFrame:
+    """(group, _hc, _kc): hash and key of the row at the given rank of each group.
+
+    Radix selection: each pass counts one digit of the hash per group, and the
+    digit that holds the rank is kept. All groups share a pass, whatever their sizes.
+    """
+    spark, kind = df.sparkSession, df.schema[group].dataType
+    left = {g: (0, r) for g, r in ranks.items()}  # hash prefix, rank inside it
+    for shift in range(HASH_BITS - DIGIT, -1, -DIGIT):
+        known = spark.createDataFrame([(g, p) for g, (p, _) in left.items()], T.StructType([
+            T.StructField("_g", kind), T.StructField("_p", T.LongType())]))
+        rows = df.join(F.broadcast(known), c(group).eqNullSafe(F.col("_g")) & (
+            F.shiftright("_h", shift + DIGIT) == F.col("_p")))
+        counts: dict = {}
+        for r in rows.groupBy("_g", F.shiftright("_h", shift).alias("d")).count().collect():
+            counts.setdefault(r["_g"], []).append((r["d"], r["count"]))
+        for g, (p, rank) in left.items():
+            for d, n in sorted(counts.get(g, [])):
+                if rank < n:
+                    left[g] = (d, rank)
+                    break
+                rank -= n
+            else:  # the rank is past the end: every row of the group is before it
+                left[g] = ((p + 1) << DIGIT, 0)
+    # rows that share a full hash are told apart by key: few distinct keys per hash value
+    open_ = {g: v for g, v in left.items() if v[1] > 0}
+    keys = {}
+    if open_:
+        known = spark.createDataFrame([(g, p) for g, (p, _) in open_.items()], T.StructType([
+            T.StructField("_g", kind), T.StructField("_p", T.LongType())]))
+        ties = df.join(F.broadcast(known), c(group).eqNullSafe(F.col("_g")) & (F.col("_h") == F.col("_p")))
+        for r in ties.groupBy("_g").agg(F.sort_array(F.collect_set("_k")).alias("ks")).collect():
+            keys[r["_g"]] = r["ks"][min(open_[r["_g"]][1], len(r["ks"]) - 1)]
+    return spark.createDataFrame([(g, p, keys.get(g, -1 << 62)) for g, (p, _) in left.items()], T.StructType([
+        T.StructField(group, kind), T.StructField("_hc", T.LongType()), T.StructField("_kc", T.LongType())]))
 
 
 def _time_value(df: DataFrame, ts: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import time
@@ -9,6 +10,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,8 +135,7 @@ def tune(train: DataFrame, test: DataFrame, name: str, task: str, features: list
 
 
 # fixed values: MLlib parameter behind each public setting
-MLLIB_NAMES = {"max_depth": "maxDepth", "learning_rate": "stepSize", "alpha": "regParam", "l1_ratio": "elasticNetParam",
-               "subsample": "subsamplingRate", "min_samples_leaf": "minInstancesPerNode"}
+MLLIB_NAMES = {"max_depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate", "min_samples_leaf": "minInstancesPerNode"}
 
 
 def custom_grid(train: DataFrame, name: str, task: str, features: list[str], label: str, key: str,
@@ -144,18 +145,21 @@ def custom_grid(train: DataFrame, name: str, task: str, features: list[str], lab
     tr = models.VectorAssembler(inputCols=features, outputCol="features").transform(folded.select(
         c(label).cast("double").alias("label"), "fold", *[c(f).cast("double").alias(f) for f in features]))
     n = tr.count()
-    est = models.make_estimator(name, task, n, features)
-    builder = ParamGridBuilder()
-    for k, values in grid.items():
-        target, conv = MLLIB_NAMES.get(k), lambda v: v
-        if k == "n_estimators":
-            target = "numTrees" if est.hasParam("numTrees") else "maxIter"
-        elif k == "C":
-            target, conv = "regParam", lambda v: 1.0 / (v * max(n, 1))
-        elif k == "alpha" and name == "Ridge":
-            conv = lambda v: v / max(n, 1)
-        builder = builder.addGrid(est.getParam(target), [conv(v) for v in values])
-    maps = builder.build()
+    if name in ("Ridge", "Lasso", "ElasticNet"):
+        est, (rows, std) = LinearRegression(standardization=False), models.label_stats(tr)
+        asks = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
+        maps = [{est.regParam: r, est.elasticNetParam: m} for r, m in (models.penalty(name, a, rows, std) for a in asks)]
+    else:
+        est = models.make_estimator(name, task, n, features)
+        builder = ParamGridBuilder()
+        for k, values in grid.items():
+            target = MLLIB_NAMES.get(k)
+            if k == "n_estimators":
+                target = "numTrees" if est.hasParam("numTrees") else "maxIter"
+            elif k == "C":
+                target, values = "regParam", [1.0 / (v * max(n, 1)) for v in values]
+            builder = builder.addGrid(est.getParam(target), values)
+        maps = builder.build()
     ev = (RegressionEvaluator(metricName="rmse") if task == "regression"
           else MulticlassClassificationEvaluator(metricName="accuracy"))
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, numFolds=cv_folds, foldCol="fold",
