@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.functions.columns import c
@@ -13,21 +13,22 @@ HOT_SHARE = 1_000  # a category is hot above 1/HOT_SHARE of all rows: at most HO
 
 def lookup(df: DataFrame, mapping: DataFrame, key: str, values: list[str],
            weight: str | None = None, rows: int | None = None,
-           right_key: str | None = None) -> DataFrame:
+           right_key: str | None = None, limit: int | None = None) -> DataFrame:
     """Left join `mapping` (unique `right_key`, `values`) to `df` on `key`, null-safe.
 
-    A mapping of at most BROADCAST_ROWS rows is broadcast. Above that, hot
+    A mapping of at most `limit` rows (BROADCAST_ROWS; less for wide rows) is broadcast. Above that, hot
     categories (by the `weight` column, a share of rows) are looked up by a
     broadcast that holds at most HOT_SHARE rows, and the rest by a shuffle
     join in which rows already served carry spread-out keys.
     """
+    limit = BROADCAST_ROWS if limit is None else limit
     if rows is None:
-        rows = mapping.limit(BROADCAST_ROWS + 1).count()
+        rows = mapping.limit(limit + 1).count()
     right = mapping.select(c(right_key or key).alias("_k"), *[c(v) for v in values],
                            *([c(weight).alias("_w")] if weight and weight not in values else []))
     if weight and weight in values:
         right = right.withColumn("_w", c(weight))
-    if rows <= BROADCAST_ROWS:
+    if rows <= limit:
         right = right.drop("_w")
         return df.join(F.broadcast(right), c(key).eqNullSafe(F.col("_k")), "left").drop("_k")
     if weight is None:
@@ -46,9 +47,3 @@ def lookup(df: DataFrame, mapping: DataFrame, key: str, values: list[str],
     kept = [x for x in df.columns if x not in values]
     return out.select(*[c(x) for x in kept],
                       *[F.when(F.col("_hit"), F.col("_h_" + v)).otherwise(c(v)).alias(v) for v in values])
-
-
-def value_shares(df: DataFrame, key: str | Column, total: int) -> DataFrame:
-    col = c(key) if isinstance(key, str) else key
-    return (df.groupBy(col.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("share", F.col("n") / F.lit(float(max(total, 1)))))

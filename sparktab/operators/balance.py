@@ -1,4 +1,4 @@
-"""Class weights and synthetic minority rows."""
+"""Class weights; synthetic minority rows are `neighbors.smote`."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.functions.columns import c
+from sparktab.operators.profile import class_sizes
 
 
 def weights_by_class(df: DataFrame, target: str) -> dict:
-    """n / (k * n_class); classes of a target are few, so they are driver values."""
-    counts = {r[0]: r[1] for r in df.filter(c(target).isNotNull()).groupBy(c(target)).count().collect()}
+    """n / (k * n_class)"""
+    counts = class_sizes(df.filter(c(target).isNotNull()), target)
     total = sum(counts.values())
     return {k: total / (len(counts) * n) for k, n in counts.items()}
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from sparktab.functions.aggregate import exact_quantiles, wide_agg
 from sparktab.functions.columns import (c, long_rows, numeric_columns, string_columns,
                                         timestamp_columns)
+from sparktab.functions.staging import stage
 from sparktab.operators.base import Fitted, Step
 
 # fixed values: pairs that count as yes/no
@@ -78,25 +79,34 @@ def numeric_like_columns(df: DataFrame) -> DataFrame:
 
 
 def ingest(df: DataFrame) -> tuple[DataFrame, list[tuple[str, str, str, str]]]:
-    """Duplicates out, empty columns out, constant and mixed columns reported."""
-    log = []
-    rep = duplicate_report(df).first()
-    dup = rep["duplicates"] or 0
-    log.append(("Duplicates", f"Removed {dup} rows", f"{(rep['share'] or 0) * 100:.2f} % of rows",
-                "applied" if dup else "skipped"))
-    df = drop_duplicates(df)
-    empty = empty_columns(df)
+    """Duplicates out, empty columns out, constant and mixed columns reported.
+
+    One pass judges all columns (copies change none of the answers), one
+    shuffle removes the duplicates into a written stage that later passes read.
+    """
+    text = string_columns(df)
+    checks = {"*": F.count(F.lit(1))}
+    for n in df.columns:
+        checks[n, "known"] = F.count(c(n))
+        checks[n, "same"] = F.min(c(n)).eqNullSafe(F.max(c(n)))
+    for n in text:
+        checks[n, "numbers"] = F.count(c(n).try_cast("double"))
+    seen = wide_agg(df, checks)
+    empty = [n for n in df.columns if seen[n, "known"] == 0]
+    kept = stage(drop_duplicates(df.drop(*empty)), "ingested")
+    total = seen["*"]
+    gone = total - kept.count()
+    log = [("Duplicates", f"Removed {gone} rows", f"{gone * 100.0 / max(total, 1):.2f} % of rows",
+            "applied" if gone else "skipped")]
     if empty:
         log.append(("Schema", f"Dropped empty columns {empty}", "only nulls", "applied"))
-        df = df.drop(*empty)
-    const = [r["column"] for r in constant_columns(df).collect() if r["is_constant"]]
+    const = [n for n in kept.columns if seen[n, "same"]]
     if const:
         log.append(("Schema", f"Constant columns {const}", "one distinct value", "skipped"))
-    if string_columns(df):
-        mixed = [r["column"] for r in mixed_type_columns(df).collect() if r["is_mixed"]]
-        if mixed:
-            log.append(("Schema", f"Mixed types in {mixed}", "some values read as numbers", "skipped"))
-    return df, log
+    mixed = [n for n in text if 0 < seen[n, "numbers"] < seen[n, "known"]]
+    if mixed:
+        log.append(("Schema", f"Mixed types in {mixed}", "some values read as numbers", "skipped"))
+    return kept, log
 
 
 def strip_column_names(df: DataFrame) -> DataFrame:

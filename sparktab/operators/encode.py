@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparktab.functions.aggregate import wide_agg
 from sparktab.functions.columns import c, dbl, numeric_columns, string_columns
-from sparktab.functions.lookup import lookup, value_shares
+from sparktab.functions.lookup import lookup
 from sparktab.functions.order import with_position
 from sparktab.functions.staging import stage_path
 from sparktab.operators.base import Fitted, Step
@@ -52,41 +52,51 @@ class Encoder(Step):
         target = self["target"] if self["target"] in numeric_columns(df) else None
         sizes = distinct_counts(df, cols)
         rules, tables = {}, {}
-        total = df.count() if cols else 0
-        default = df.agg(F.avg(dbl(target))).first()[0] if target else None
+        if not cols:
+            return EncoderModel(rules=rules, tables=tables, missing=self["missing"])
+        total, default = df.agg(F.count(F.lit(1)), F.avg(dbl(target)) if target else F.lit(None).cast("double")).first()
+        total = float(max(total, 1))
+        y = dbl(target) if target else F.lit(None).cast("double")
+        kinds = {x: self["strategy"] or choose_encoding(sizes[x]) for x in cols}
+        kinds = {x: "frequency" if k == "target" and target is None else k for x, k in kinds.items()}
+        held = [x for x in cols if kinds[x] == "onehot" or sizes[x] + 1 <= LITERAL_MAX]
+        groups: dict[str, dict] = {x: {} for x in held}
+        if held:  # all columns with few values in one grouped pass
+            cells = F.array(*[F.struct(F.lit(x).alias("column"), self._category(x).alias("value")) for x in held])
+            seen = (df.select(y.alias("_y"), F.inline(cells)).groupBy("column", "value")
+                    .agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("code")))
+            for r in seen.collect():
+                groups[r["column"]][r["value"]] = r
         for x in cols:
-            kind = self["strategy"] or choose_encoding(sizes[x])
-            if kind == "target" and target is None:
-                kind = "frequency"
-            rule = {"kind": kind, "n": sizes[x]}
-            cat = F.coalesce(c(x).cast("string"), F.lit(self["missing"]))
-            shares = value_shares(df, cat, total)
+            kind, rule = kinds[x], {"kind": kinds[x], "n": sizes[x]}
             if kind == "target":
-                shares = df.groupBy(cat.alias("value")).agg(
-                    F.avg(dbl(target)).alias("code"), (F.count(F.lit(1)) / float(max(total, 1))).alias("share"))
                 rule["default"] = default
-            if kind == "onehot" or sizes[x] + 1 <= LITERAL_MAX:
-                got = {r["value"]: r for r in shares.collect()}
+            if x in groups:
+                got = groups[x]
                 names = sorted(got)
                 if kind == "target":
                     rule["map"] = {v: default if got[v]["code"] is None else got[v]["code"] for v in names}
                 elif kind == "frequency":
-                    rule["map"] = {v: got[v]["share"] for v in names}
+                    rule["map"] = {v: got[v]["n"] / total for v in names}
                 else:
                     rule["values"] = names
             else:
+                table = df.groupBy(self._category(x).alias("value")).agg(
+                    F.avg(y).alias("code"), (F.count(F.lit(1)) / total).alias("share"))
                 if kind == "label":
-                    shares = with_position(shares, ["value"], "code").select(
-                        "value", F.col("code").cast("int").alias("code"), "share")
+                    table = with_position(table, ["value"], "code").withColumn("code", F.col("code").cast("int"))
                 elif kind == "frequency":
-                    shares = shares.select("value", F.col("share").alias("code"), "share")
+                    table = table.withColumn("code", F.col("share"))
                 path = stage_path(df.sparkSession, "mapping")
-                shares.select("value", "code", "share").write.parquet(path)
+                table.select("value", "code", "share").write.parquet(path)
                 tables[x] = path
                 rule["rows"] = df.sparkSession.read.parquet(path).count()
             rules[x] = rule
         return EncoderModel(rules=rules, tables=tables, missing=self["missing"])
 
+    def _category(self, name: str) -> Column:
+        return F.coalesce(c(name).cast("string"), F.lit(self["missing"]))
+
 
 class _TableWriter(DefaultParamsWriter):
     def saveImpl(self, path):

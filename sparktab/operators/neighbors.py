@@ -25,12 +25,14 @@ from pyspark.sql import Window as W
 from sparktab.functions.columns import c, dbl, percent_slot, spread, unit_hash
 from sparktab.functions.lookup import lookup
 from sparktab.functions.staging import stage
+from sparktab.operators.profile import class_sizes
 from sparktab.operators.split import _before, _tie, rank_cuts
 
 FEW_QUERIES = 10_000
 FEW_BYTES = 64 << 20
 BLOCK = 20_000
 PIVOTS = 128
+COPIES = 10_000
 
 
 def vector(columns: list[str]):
@@ -113,7 +115,8 @@ def _by_distinct(q: DataFrame, x: DataFrame, k: int, schema, skip_same: bool, to
     best = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep)
     near = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("d2", "id", "label"))).alias("near"))
     answers = stage(asks.join(near, "query").select("qvec", "near", "share"), "knn-answers")
-    out = lookup(q, answers, "qvec", ["near"], "share")
+    width = 8 * (answers.agg(F.max(F.size("qvec"))).first()[0] or 1) + 64 * keep
+    out = lookup(q, answers, "qvec", ["near"], "share", limit=min(100_000, FEW_BYTES // width))
     if skip_same:
         out = out.withColumn("near", F.filter("near", lambda s: s["id"] != F.col("query")))
     return (out.select("query", F.posexplode(F.slice("near", 1, k)).alias("_p", "_n"))
@@ -234,7 +237,7 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
     Returns the old and new rows with a `synthetic` flag; new keys are null.
     """
     base = df.select(c(key), c(label), *[c(f).cast("double").alias(f) for f in features])
-    sizes = {r[0]: r[1] for r in base.groupBy(c(label)).count().collect()}
+    sizes = class_sizes(base, label)
     top = max(sizes.values())
     out = base.withColumn("synthetic", F.lit(False))
     for value, n in sizes.items():
@@ -251,8 +254,14 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
             spot, tie = percent_slot(c(key), 1 << 32, seed), _tie(rows, key)
             cut = rank_cuts(rows, spot, tie, [(None, need % n)])[0]
             copies = copies + _before(spot, tie, cut).cast("int")
-        more = (rows.withColumn("_copies", copies).filter("_copies > 0")
-                .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
+        # in two steps, so that a row with very many copies is shared out between tasks
+        more = rows.withColumn("_copies", copies).filter("_copies > 0").withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPIES).cast("int"))))
+        if need > 10 * COPIES:
+            more = more.repartition(c(key), "_part")
+        more = more.withColumn("_copy", F.explode(F.sequence(
+            F.lit(1), F.least(F.lit(COPIES), F.col("_copies") - F.col("_part") * COPIES)))).withColumn(
+            "_copy", F.col("_copy") + F.col("_part") * COPIES)
         tag = F.concat_ws("|", c(key).cast("string"), F.col("_copy").cast("string"))
         more = more.withColumn("_pick", (percent_slot(tag, kk, seed + "n") + 1).cast("int")) \
             .withColumn("_gap", unit_hash(tag, seed + "g"))

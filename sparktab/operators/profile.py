@@ -147,6 +147,17 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     return df.filter(c(target).isNotNull()).groupBy(c(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+MAX_CLASSES = 10_000
+
+
+def class_sizes(df: DataFrame, target: str) -> dict:
+    """Rows per class on the driver; a target with more values than MAX_CLASSES is no class."""
+    rows = df.groupBy(c(target)).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{target} has too many values for a class")
+    return {r[0]: r[1] for r in rows}
+
+
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Share of each class, smallest share and the imbalance flag."""
     counts = class_balance(df, target)
@@ -293,17 +304,33 @@ def histogram(df: DataFrame, columns: list[str] | None = None, target: str | Non
 
 
 def full_profile(df: DataFrame, target: str | None = None) -> dict:
-    """Results of all profile steps for one table, as driver values."""
-    out = {"basic_stats": basic_stats(df).first().asDict(),
-           "missing_values": {r["column"]: r["null_pct"] for r in missing_profile(df).collect()},
-           "numeric_stats": {}, "categorical_stats": {}, "correlation": {}}
-    nums = numeric_columns(df)
-    if nums:
-        out["numeric_stats"] = {r["column"]: r.asDict() for r in numeric_profile(df).collect()}
-    if string_columns(df):
+    """All profile results of one table as driver values: one wide aggregate and one grouped count."""
+    nums, text = numeric_columns(df), string_columns(df)
+    stats: dict = {"*": F.count(F.lit(1)), **{(x, "known"): F.count(c(x)) for x in df.columns}}
+    for x in nums:
+        v = dbl(x)
+        stats |= {(x, "mean"): F.avg(v), (x, "std"): F.stddev_samp(v), (x, "min"): F.min(v), (x, "max"): F.max(v),
+                  (x, "skewness"): adjusted_skewness(v)}
+    pairs = list(itertools.combinations(nums, 2))
+    one_pass = len(pairs) <= 400
+    if one_pass:
+        stats |= {("r", a, b): _corr(a, b) for a, b in pairs}
+    got = wide_agg(df, stats)
+    n = got["*"]
+
+    def short(v, digits=4):
+        return None if v is None else round(float(v), digits)
+
+    out = {"basic_stats": {"total_rows": n, "total_columns": len(df.columns),
+                           "column_types": {f.name: f.dataType.simpleString() for f in df.schema}},
+           "missing_values": {x: round((n - got[x, "known"]) * 100.0 / max(n, 1), 2) for x in df.columns},
+           "numeric_stats": {x: {m: short(got[x, m]) for m in ("mean", "std", "min", "max", "skewness")} for x in nums},
+           "categorical_stats": {}, "correlation": {}}
+    if text:
         out["categorical_stats"] = {r["column"]: r.asDict() for r in categorical_profile(df).collect()}
     if len(nums) > 1:
-        out["correlation"] = correlation_matrix(df, nums)
+        out["correlation"] = ({(a, b): _known(got["r", a, b]) for a, b in pairs} if one_pass
+                              else correlation_matrix(df, nums))
     if target:
         out["task_type"] = detect_target_type(df, target)
         if out["task_type"] == "classification":

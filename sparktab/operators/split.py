@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from sparktab.functions.aggregate import exact_quantiles, wide_agg
 from sparktab.functions.columns import c, micros, percent_slot, row_hash, timestamp_columns
+from sparktab.operators.profile import class_sizes
 
 
 def split_key(df: DataFrame, key: str | None) -> Column:
@@ -27,7 +28,7 @@ def split_stratified(df: DataFrame, target: str, key: str, test_size: float = 0.
     The cut of each class is found by counting passes, so rows are neither
     sorted nor moved, however large a class is.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(c(target)).count().collect()}
+    sizes = class_sizes(df, target)
     if min(sizes.values(), default=0) < 2:
         return split_random(df, key, test_size)
     quota = {v: int(n * test_size + 0.5) for v, n in sizes.items()}

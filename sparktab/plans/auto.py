@@ -77,7 +77,6 @@ class AutoPreprocessor:
         if self.key is None:
             # 52 bits: exact as a double, which the order statistics use
             df = df.withColumn(key, F.pmod(F.xxhash64(*[c(x) for x in df.columns]), F.lit(1 << 52)))
-        df = stage(df, "ingested")  # duplicates are removed once, later passes read columns
         targets = [x for x in self.targets if x in df.columns]
         seen = profile.full_profile(df.drop(key), targets[0] if targets else None)
         task = self.task_type if self.task_type != "auto" else seen.get("task_type", "unknown")
