@@ -76,7 +76,7 @@ def group_cuts(df: DataFrame, group: str, ranks: dict) -> DataFrame:
         ties = df.join(F.broadcast(known), c(group).eqNullSafe(F.col("_g")) & (F.col("_h") == F.col("_p")))
         for r in ties.groupBy("_g").agg(F.sort_array(F.collect_set("_k")).alias("ks")).collect():
             keys[r["_g"]] = r["ks"][min(open_[r["_g"]][1], len(r["ks"]) - 1)]
-    return spark.createDataFrame([(g, p, keys.get(g, -1 << 62)) for g, (p, _) in left.items()], T.StructType([
+    return spark.createDataFrame([(g, p, keys.get(g, LOWEST)) for g, (p, _) in left.items()], T.StructType([
         T.StructField(group, kind), T.StructField("_hc", T.LongType()), T.StructField("_kc", T.LongType())]))
 
 
@@ -84,32 +84,50 @@ def _time_value(df: DataFrame, ts: str) -> Column:
     return micros(c(ts)) if ts in timestamp_columns(df) else c(ts)
 
 
+LOWEST = -(1 << 63)
+
+
 def _tie(df: DataFrame, key: str) -> Column:
-    """The key as an integer a double can hold; other keys by a 52-bit hash."""
+    """The key as a 64-bit integer; other keys by their hash."""
     whole = isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    return c(key).cast("bigint") if whole else F.pmod(F.xxhash64(c(key)), F.lit(1 << 52))
+    return c(key).cast("bigint") if whole else F.xxhash64(c(key))
 
 
 def rank_cuts(df: DataFrame, first: Column, second: Column,
               asks: list[tuple[Column | None, int]]) -> list[tuple[int, int]]:
     """(first, second) of the row at a rank of the (first, second) order, per (condition, rank).
 
-    Order statistics by counting passes over two integer columns; all cuts
-    share the passes.
+    Order statistics by counting passes over integer columns (`first` below 2**53); all
+    cuts share the passes. The second column is split in halves, which are exact as
+    doubles, and is only looked at where the rank falls inside ties.
     """
-    base = df.select(first.cast("bigint").alias("_t"), second.cast("bigint").alias("_k"),
+    k = second.cast("bigint")
+    base = df.select(first.cast("bigint").alias("_l0"), F.shiftright(k, 32).alias("_l1"),
+                     k.bitwiseAND(F.lit(0xFFFFFFFF)).alias("_l2"),
                      *[(F.lit(True) if cond is None else cond).alias(f"_c{i}") for i, (cond, _) in enumerate(asks)])
-    ok = [F.col(f"_c{i}") for i in range(len(asks))]
-    sizes = wide_agg(base, {i: F.count_if(x) for i, x in enumerate(ok)})
-    cols = base.select(*[F.when(x, F.col("_t")).alias(f"t{i}") for i, x in enumerate(ok)])
-    found = exact_quantiles(cols, {f"t{i}": [r / max(sizes[i] - 1, 1)] for i, (_, r) in enumerate(asks)})
-    at = [int(round(found[f"t{i}"][0])) for i in range(len(asks))]
-    seen = wide_agg(base, {(i, s): F.count_if(x & f) for i, x in enumerate(ok) for s, f in (
-        ("below", F.col("_t") < at[i]), ("ties", F.col("_t") == at[i]))})
-    ties = base.select(*[F.when(x & (F.col("_t") == at[i]), F.col("_k")).alias(f"k{i}") for i, x in enumerate(ok)])
-    keys = exact_quantiles(ties, {f"k{i}": [(r - seen[i, "below"]) / max(seen[i, "ties"] - 1, 1)]
-                                  for i, (_, r) in enumerate(asks)})
-    return [(at[i], int(round(keys[f"k{i}"][0]))) for i in range(len(asks))]
+    ok = {i: F.col(f"_c{i}") for i in range(len(asks))}
+    rank = {i: r for i, (_, r) in enumerate(asks)}
+    size = wide_agg(base, {i: F.count_if(x) for i, x in ok.items()})
+    cut = {i: [] for i in ok}
+    for level in ("_l0", "_l1", "_l2"):
+        live = [i for i in ok if level == "_l0" or rank[i] > 0]
+        if not live:
+            break
+        cols = base.select(*[F.when(ok[i], F.col(level)).alias(f"v{i}") for i in live])
+        found = exact_quantiles(cols, {f"v{i}": [rank[i] / max(size[i] - 1, 1)] for i in live})
+        for i in live:
+            cut[i].append(int(round(found[f"v{i}"][0])))
+        seen = wide_agg(base, {(i, s): F.count_if(ok[i] & f) for i in live for s, f in (
+            ("below", F.col(level) < cut[i][-1]), ("ties", F.col(level) == cut[i][-1]))})
+        for i in live:
+            ok[i] = ok[i] & (F.col(level) == cut[i][-1])
+            rank[i], size[i] = rank[i] - seen[i, "below"], seen[i, "ties"]
+    out = []
+    for i in range(len(asks)):
+        parts = cut[i][1:]
+        key = LOWEST if not parts else (parts[0] << 32) + (parts[1] if len(parts) > 1 else 0)
+        out.append((cut[i][0], key))
+    return out
 
 
 def _before(first: Column, second: Column, cut: tuple[int, int]) -> Column:

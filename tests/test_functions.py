@@ -112,3 +112,16 @@ def test_time_split_with_one_hot_moment(spark):
     order = sorted((r["t"], r["id"]) for r in df.collect())
     want = set(order[:500])
     assert {(r["t"], r["id"]) for r in got.filter("split = 'train'").collect()} == want
+
+
+def test_keys_over_the_whole_64_bits(spark):
+    rng = np.random.default_rng(8)
+    ids = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 1500, dtype="int64"))
+    df = spark.createDataFrame([(i % 2, 7 if i % 3 else i, int(k)) for i, k in enumerate(ids)], "y int, t int, id long")
+    n = df.count()
+    got = split.split_time(df, "t", "id", 0.7)
+    order = sorted((r["t"], r["id"]) for r in df.collect())
+    assert sorted((r["t"], r["id"]) for r in got.filter("split = 'train'").collect()) == order[:int(n * 0.3)]
+    for r in split.split_stratified(df, "y", "id").groupBy("y").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect():
+        assert r["t"] == int(r["n"] * 0.2 + 0.5)
