@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.functions.columns import c
+from sparktab.functions.columns import c, spread
 from sparktab.operators.neighbors import knn_join
 
 CHUNK, OVERLAP = 500, 50
@@ -56,7 +56,7 @@ def fit_embedder(chunks: DataFrame, text: str = "chunk_text", size: int = 256):
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="_w", outputCol="_tf", numFeatures=size),
-        IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_n")]).fit(chunks)
+        IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_n")]).fit(spread(chunks))
 
 
 def embed_text(df: DataFrame, embedder, name: str = "embedding") -> DataFrame:
@@ -67,5 +67,5 @@ def retrieve(queries: DataFrame, chunks: DataFrame, embedder, query_id: str, que
              k: int = 3) -> DataFrame:
     """The k nearest chunks of every query text."""
     q = embed_text(queries.select(c(query_id), c(query_text).alias("chunk_text")), embedder)
-    x = embed_text(chunks, embedder)
+    x = embed_text(spread(chunks), embedder)
     return knn_join(q, x, k, query_id, chunk_id, "embedding", "embedding")
