@@ -33,7 +33,8 @@ def timestamp_columns(df: DataFrame, exclude=()) -> list[str]:
 
 def dbl(name: str) -> Column:
     """Numeric column as double with NaN mapped to null, so every statistic skips it."""
-    return F.nullif(c(name).cast("double"), F.lit(float("nan")))
+    v = c(name).cast("double")
+    return F.when(~F.isnan(v), v)
 
 
 def micros(ts: Column) -> Column:
