@@ -18,23 +18,28 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp) from (a, b): comp is the smallest node reachable. Nodes without edges don't appear.
 
     Alternates the large-star and small-star steps: every node passes its smallest neighbour on to its larger
-    and then to its smaller neighbours. Each round is a written table, and the edges never exceed their first number.
+    and then to its smaller neighbours. Each round is a written table. Minima are partial aggregates and the joins
+    have one row per node on one side, so a node with very many neighbours can be split.
     """
-    now = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    now, seen = keep(_down(edges), "edges"), None
     while True:
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(
-                now.select("b", "b").distinct()).distinct() if mark[0] else now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+            child = now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+            return child.union(child.select("comp", "comp").distinct())
         seen = mark
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = large.union(least.filter("a <> m").select("a", F.col("m").alias("b"))).distinct()
+        large = both.join(least, "a").select(F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
+        large = large.filter("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", "m"))
-        now = keep(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
+                                                              F.struct("a", F.col("m").alias("b")))).alias("e"))
+        now = keep(_down(small.select("e.a", "e.b")), "edges")
+
+
+def _down(edges: DataFrame) -> DataFrame:
+    return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def spanning(adjacent: np.ndarray) -> list[tuple[int, int]]:
@@ -95,34 +100,48 @@ def compare_groups(rows: DataFrame, link: Callable[[np.ndarray, list], np.ndarra
     return rows.select("g", "rid", "n", "payload").repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint")
 
 
-def connect(members: DataFrame, payloads: Callable[[DataFrame], DataFrame], link, label: str, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) whose components are those of all links between members of one group.
+def connected(members: DataFrame, payloads: Callable[[DataFrame], DataFrame], link, label: str, apart: bool = False,
+              block: int = BLOCK) -> DataFrame:
+    """(node, comp): the components of all links between members of one group; lone nodes don't appear.
 
-    members: (grp, rid, size) with size the members of the group; payloads adds n and payload to rows with rid.
-    Groups of up to `block` members are compared as a whole. In a larger one every block meets the first block, and
-    who is still not connected with the group's largest component then meets every block. So a dense group costs
-    about its size, and no group is ever held by one task.
+    members: (grp, rid, size), a written table, with size the members of the group; payloads adds n and payload to
+    rows with rid; apart: no rid is in two groups. Groups of up to `block` members are compared as a whole. In a
+    larger one every block meets the first block, and who is still not connected with the group's largest component
+    then meets every block. So a dense group costs about its size, and no group is ever held by one task.
     """
     few = members.filter(F.col("size") <= block).select(F.xxhash64("grp").alias("g"), "rid")
-    many = members.filter(F.col("size") > block).withColumn("nb", F.ceil(F.col("size") / (block * 0.8)))
+    whole = keep(compare_groups(payloads(few), link), label)
+    many = members.filter(F.col("size") > block)
+    if many.isEmpty():
+        return _joined(whole, None, apart)
+    many = many.withColumn("nb", F.ceil(F.col("size") / (block * 0.8)))
     many = many.withColumn("blk", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("nb")))
-    first = many.select("grp", "rid", F.explode(F.when(F.col("blk") == 0, F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))
+    dealt = many.select("grp", "rid", F.explode(F.when(F.col("blk") == 0, F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))
                                                 .otherwise(F.array("blk"))).alias("blk"))
-    dealt = few.union(first.select(F.xxhash64("grp", "blk").alias("g"), "rid"))
-    edges = keep(compare_groups(payloads(dealt), link), label)
-    if many.isEmpty():
-        return edges
-    comp = components(edges).withColumnRenamed("node", "rid")
-    known = keep(many.join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")), label + "-large")
+    edges = keep(compare_groups(payloads(dealt.select(F.xxhash64("grp", "blk").alias("g"), "rid")), link), label + "-large")
+    found = keep(_joined(whole, edges, apart), label + "-found")
+    known = keep(many.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid")), label + "-known")
     parts = known.groupBy("grp", "comp").count()
     main = parts.groupBy("grp").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"),
                                     (F.sum("count") - F.max("count")).alias("out")).filter("parts > 1")
+    main = keep(main, label + "-open")
     if main.isEmpty():
-        return edges
+        return found
     known = known.join(main, "grp").withColumn("ob", F.ceil(F.col("out") / (block * 0.8)))
     i, j = F.sequence(F.lit(0).cast("bigint"), F.col("ob") - 1), F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)
     own = F.pmod(F.xxhash64("rid", F.lit(11)), F.col("ob"))
     everyone = known.select("grp", "rid", F.explode(i).alias("i"), F.col("blk").alias("j"))
     stray = known.filter("comp <> main").select("grp", "rid", own.alias("i"), F.explode(j).alias("j"))
-    more = everyone.union(stray).select(F.xxhash64("grp", "i", "j").alias("g"), "rid")
-    return edges.union(keep(compare_groups(payloads(more), link), label + "-rest"))
+    rest = everyone.union(stray).select(F.xxhash64("grp", "i", "j").alias("g"), "rid")
+    more = keep(compare_groups(payloads(rest), link), label + "-rest")
+    if more.isEmpty():
+        return found
+    return _joined(whole, edges.union(more), apart)
+
+
+def _joined(whole: DataFrame, edges: DataFrame | None, apart: bool) -> DataFrame:
+    """Components of both edge tables. Where groups stand apart, a group compared as a whole is solved already."""
+    if not apart:
+        return components(whole if edges is None else whole.union(edges))
+    stars = whole.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(whole.select("a", "a").distinct())
+    return stars if edges is None else stars.union(components(edges))

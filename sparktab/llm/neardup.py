@@ -10,7 +10,7 @@ chance collisions, estimates the Jaccard similarity; and what the estimate can't
 3. Inside a cluster, exact intersections of the full sets give the links; their components are the result.
 
 Bands: at similarity 0.75 a pair shares no band with a chance of 1 in a million. The estimate cuts five standard
-errors below the threshold. Neither pairs nor sets of a large group meet in one task (see graph.connect).
+errors below the threshold. Neither pairs nor sets of a large group meet in one task (see graph.connected).
 
 Defined results: null and wordless texts have no shingles, are linked with nothing and kept; fewer than five words
 are one shingle; equal rows share the smallest id; without an id in the component its id is null and it is kept;
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.llm.common import keep, query, table
-from sparktab.llm.graph import components, connect
+from sparktab.llm.graph import connected
 from sparktab.llm.shingles import mix, shingle_set
 
 PERCENT = 75
@@ -170,18 +170,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = (inside.filter(F.col("size") <= 64).groupBy("grp").agg(F.sort_array(F.collect_list("rid")).alias("rids"))
              .select("rids").distinct())
     lists = lists.select(F.xxhash64("rids").alias("grp"), F.explode("rids").alias("rid"), F.size("rids").cast("bigint").alias("size"))
-    groups = lists.union(inside.filter(F.col("size") > 64).select("grp", "rid", "size"))
+    groups = keep(lists.union(inside.filter(F.col("size") > 64).select("grp", "rid", "size")), "groups")
     regs = classes.select("rid", "n", F.col("regs").alias("payload"))
-    maybe = connect(groups, lambda rows: rows.join(regs, "rid"), _maybe, "maybe")
-
-    clusters = keep(components(maybe), "clusters")
+    clusters = keep(connected(groups, lambda rows: rows.join(regs, "rid"), _maybe, "maybe"), "clusters")
     sizes = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    members = clusters.join(sizes, "comp").select(F.col("comp").alias("grp"), F.col("node").alias("rid"), "size")
+    members = keep(clusters.join(sizes, "comp").select(F.col("comp").alias("grp"), F.col("node").alias("rid"), "size"), "members")
     wanted = classes.join(clusters, F.col("rid") == F.col("node")).select("rk", "rid")
     sets = keep(full_sets(docs, wanted), "sets")
-    links = connect(members, lambda rows: rows.join(sets, "rid"), _verified, "links")
-
-    parts = components(links)
+    parts = connected(members, lambda rows: rows.join(sets, "rid"), _verified, "links", apart=True)
     joined = classes.select("rid", "digest", "least").join(parts, F.col("rid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rid"))
     ids = joined.join(joined.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("digest", "component_id")
     out = prints.select("doc_id", "n", "digest").join(ids, "digest", "left")
