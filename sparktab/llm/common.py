@@ -53,6 +53,19 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
 
 
+def row_hash() -> Column:
+    """64 bits of id and text. Rows that share them are equal to an operator that reads only these two."""
+    return F.xxhash64("doc_id", "text")
+
+
+def without(docs: DataFrame, keys: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """The rows of `docs` whose row_hash is not in keys (rk): broadcast while the counted keys are few, else shuffled."""
+    keys = keys.select(F.col("rk").alias("__rk")).distinct()
+    if keys.count() <= limit:
+        keys = F.broadcast(keys)
+    return docs.withColumn("__rk", row_hash()).join(keys, "__rk", "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])
+
+
 def lookup(df: DataFrame, small: DataFrame, key: str, rows: int | None = None,
            limit: int = BROADCAST_ROWS, how: str = "left") -> DataFrame:
     """Join one row per key to the rows of `df`; `key` is never null.

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparktab.llm.common import BROADCAST_ROWS, keep, lookup, query, table
+from sparktab.llm.common import BROADCAST_ROWS, keep, lookup, query, row_hash, table, without
 
 WINDOW = 13
 SHARE = 20                       # contaminated if SHARE x hit words >= words
@@ -38,13 +38,13 @@ def terms_of(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """vocabulary: (term, id); postings: (term id, row, pos, doc_id), doc_id only in the end posting (id 0)."""
+    """vocabulary: (term, id); postings: (term id, row, pos, doc_id, rk), the last two only in the end posting (id 0)."""
     vocabulary: DataFrame
     postings: DataFrame
 
     def documents(self) -> DataFrame:
-        """row, doc_id, n_words of every document."""
-        return self.postings.filter("term = 0").select("row", "doc_id", F.col("pos").cast("bigint").alias("n_words"))
+        """row, doc_id, rk, n_words of every document."""
+        return self.postings.filter("term = 0").select("row", "doc_id", "rk", F.col("pos").cast("bigint").alias("n_words"))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,10 +56,10 @@ def build_index(docs: DataFrame, terms: DataFrame) -> Index:
     """Store the postings of `docs` for the distinct words in `terms` (term)."""
     ids = keep(terms.select("term").distinct().withColumn("id", (F.monotonically_increasing_id() + 1)), "vocabulary")
     ids = ids.unionByName(terms.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(0).cast("bigint").alias("id")))
-    words = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # numbered before the words are dealt out
-    words = words.select("row", "doc_id", F.posexplode(F.array_append(terms_of(F.col("text")), F.lit(END))).alias("pos", "term"))
+    words = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", row_hash().alias("rk"), "text")  # numbered before the words are dealt out
+    words = words.select("row", "doc_id", "rk", F.posexplode(F.array_append(terms_of(F.col("text")), F.lit(END))).alias("pos", "term"))
     postings = (lookup(words, ids, "term", how="inner")
-                .select(F.col("id").alias("term"), "row", "pos", F.when(F.col("id") == 0, F.col("doc_id")).alias("doc_id"))
+                .select(F.col("id").alias("term"), "row", "pos", *[F.when(F.col("id") == 0, F.col(x)).alias(x) for x in ("doc_id", "rk")])
                 .sortWithinPartitions("term", "row", "pos"))
     return Index(ids, keep(postings, "postings"))
 
@@ -118,7 +118,7 @@ def proximity_matches(index: Index, phrases: DataFrame, span: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: doc_id, rk, n_words, n_hit, n_items, items_sha256, contaminated."""
     per_item = keep(windows_of(items, window), "windows")
     phrases = keep(per_item.select("words").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
     owners = per_item.join(phrases, "words").select("phrase", F.col("item_id").cast("string").alias("item")).distinct()
@@ -135,11 +135,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     of = F.coalesce("items", F.array().cast("array<string>"))
     return (index.documents().join(found, "row", "left")
-            .select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(of).cast("bigint").alias("n_items"),
+            .select("doc_id", "rk", "n_words", n_hit.alias("n_hit"), F.size(of).cast("bigint").alias("n_items"),
                     F.sha2(F.array_join(of, ","), 256).alias("items_sha256"),
                     ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated")))
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """The rows of `docs`, all their columns, that are not contaminated."""
+    return without(docs, keep(contamination(docs, items, window, share).filter("contaminated").select("rk"), "contaminated"))
+
+
 SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
@@ -168,4 +173,4 @@ FROM d LEFT JOIN cover USING (r) LEFT JOIN named USING (r)
 
 @query("op5_decontamination", SQL)
 def op5_decontamination(spark, folder):
-    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("rk")

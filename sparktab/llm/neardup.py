@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import keep, query, table
+from sparktab.llm.common import keep, query, row_hash, table, without
 from sparktab.llm.graph import connected
 from sparktab.llm.shingles import mix, shingle_set
 
@@ -133,7 +133,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())],
                 names=["doc_id", "rk", "n", "digest", "regs"])
 
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.col("text").cast("binary").alias("t"))
+    rows = docs.select("doc_id", row_hash().alias("rk"), F.col("text").cast("binary").alias("t"))
     return rows.mapInArrow(run, f"doc_id {kind}, rk bigint, n bigint, digest binary, regs binary")
 
 
@@ -150,15 +150,15 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     if wanted.count() <= LEAST_KEYS:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("text").cast("binary").alias("t")).join(wanted, "rk")
+    rows = docs.select(row_hash().alias("rk"), F.col("text").cast("binary").alias("t")).join(wanted, "rk")
     return rows.select("rid", "t").mapInArrow(run, "rid bigint, n bigint, payload binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+def linked(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, rk, n, component_id, first (the rk of the component's one row to keep); null without shingles."""
     prints = keep(fingerprints(docs), "prints")
     classes = (prints.filter("n > 0").groupBy("digest")
-               .agg(F.min("rk").alias("rk"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("regs").alias("regs")))
+               .agg(F.min("rk").alias("rk"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("least"), F.first("n").alias("n"), F.first("regs").alias("regs")))
     classes = keep(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
@@ -179,11 +179,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = keep(full_sets(docs, wanted), "sets")
     parts = connected(members, lambda rows: rows.join(sets, "rid"), _verified, "links", apart=True)
     joined = classes.select("rid", "digest", "least").join(parts, F.col("rid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rid"))
-    ids = joined.join(joined.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("digest", "component_id")
-    out = prints.select("doc_id", "n", "digest").join(ids, "digest", "left")
+    ids = joined.join(joined.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("digest", "first")
+    return (prints.select("doc_id", "rk", "n", "digest").join(ids, "digest", "left")
+            .select("doc_id", "rk", "n", F.col("first.doc_id").alias("component_id"), F.col("first.rk").alias("first")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept."""
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return linked(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+                               F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all their columns, with one row of each component: the smallest id (null last), and of rows
+    that share id and text one. Rows without shingles all stay."""
+    rows = keep(linked(docs).filter("n > 0").select("rk", "first"), "linked")
+    left = without(docs, rows.filter("rk <> first").select("rk"))
+    again = keep(rows.filter("rk = first").groupBy("rk").count().filter("count > 1").select("rk"), "repeated")
+    if again.isEmpty():
+        return left
+    marked = left.withColumn("__rk", row_hash()).join(again.select(F.col("rk").alias("__rk")), "__rk", "left_semi")
+    return without(left, again).unionByName(marked.dropDuplicates(["__rk"]).drop("__rk"))
 
 
 @query("op4_minhash_dedup")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparktab.llm.common import keep, query, table
 
@@ -30,6 +31,7 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 THRESHOLD = 0.5
+MARK = "__quality_"
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = """the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which
@@ -116,20 +118,36 @@ def measure(docs: DataFrame) -> DataFrame:
         run, f"doc_id {kind}, " + ", ".join(f"{k} {v}" for k, v in STATS.items()))
 
 
-def rules() -> dict[str, Column]:
+def measure_rows(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all their columns, with the numbers of STATS under names that start with MARK."""
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(MARK + k, T.LongType()) for k in STATS]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_stats(t.as_py()) for t in batch.column(at).cast(pa.binary())]
+            cols = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(STATS))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[f.name for f in schema.fields])
+
+    return docs.mapInArrow(run, schema)
+
+
+def rules(mark: str = "") -> dict[str, Column]:
     """Votes as columns over STATS: 1 good, -1 bad, 0 no opinion."""
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    lines = F.greatest(F.col("n_lines"), F.lit(1))
+    def stat(name: str) -> Column:
+        return F.col(mark + name)
+
+    n, lines = F.greatest(stat("n_words"), F.lit(1)), F.greatest(stat("n_lines"), F.lit(1))
 
     def vote(bad: Column, good: Column) -> Column:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
-    mean = F.col("word_chars") / n
-    symbols, dup, repeat = F.col("n_symbols") / n, F.col("n_dup_lines") / lines, F.col("n_repeat_words") / n
-    ended, letters, distinct = F.col("n_ended_lines") / lines, F.col("n_letter_words") / n, F.col("n_distinct_words") / n
-    stop, stutter = F.col("n_stop_words"), F.col("n_stutters") / n
+    mean = stat("word_chars") / n
+    symbols, dup, repeat = stat("n_symbols") / n, stat("n_dup_lines") / lines, stat("n_repeat_words") / n
+    ended, letters, distinct = stat("n_ended_lines") / lines, stat("n_letter_words") / n, stat("n_distinct_words") / n
+    stop, stutter = stat("n_stop_words"), stat("n_stutters") / n
     return {
-        "length": vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 50),
+        "length": vote(stat("n_words") < MIN_WORDS, stat("n_words") >= 50),
         "word_length": vote((mean < 2.5) | (mean > 12), (mean >= 3) & (mean <= 10)),
         "symbols": vote(symbols > 0.1, symbols <= 0.02),
         "symbol_flood": vote(symbols > 0.5, symbols <= 0.1),
@@ -137,9 +155,9 @@ def rules() -> dict[str, Column]:
         "repeats": vote(repeat > 0.3, repeat <= 0.05),
         "sentences": vote(ended < 0.2, ended >= 0.7),
         "letters": vote(letters < 0.7, letters >= 0.9),
-        "variety": vote((distinct < 0.15) & (F.col("n_words") < 2000), (distinct >= 0.3) | (F.col("n_words") >= 2000)),
+        "variety": vote((distinct < 0.15) & (stat("n_words") < 2000), (distinct >= 0.3) | (stat("n_words") >= 2000)),
         "stutter": vote(stutter > 0.1, stutter <= 0.03),
-        "stop_words": vote((stop < 2) & (F.col("n_words") >= MIN_WORDS), stop >= 4),
+        "stop_words": vote((stop < 2) & (stat("n_words") >= MIN_WORDS), stop >= 4),
     }
 
 
@@ -185,17 +203,30 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: i
     return VoteModel(tuple(names), prior, tuple(good.tolist()), tuple(bad.tolist()))
 
 
+def _verdict(stats: DataFrame, threshold: float, mark: str = "") -> dict[str, Column]:
+    """Fit on a written table of STATS; base_failed, posterior and kept as columns over it."""
+    votes = rules(mark)
+    names = sorted(votes)
+    counted = stats.groupBy(*[votes[n].alias(n) for n in names]).count().orderBy(*names).collect()  # at most 3 ** rules
+    model = fit([(tuple(r)[:-1], r["count"]) for r in counted], names)
+    words = F.col(mark + "n_words")
+    failed = (words < MIN_WORDS) | (F.col(mark + "n_repeat_words") * 100 > words * MAX_REPEAT_PERCENT)
+    chance = model.posterior(votes)
+    return {"base_failed": failed, "posterior": chance, "kept": ~failed & (chance >= threshold)}
+
+
 def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, STATS, votes (named), base_failed, posterior, kept: one row per document."""
+    """doc_id, STATS, votes (by rule), base_failed, posterior, kept: one row per document."""
     stats = keep(measure(docs), "quality-stats")
     votes = rules()
-    names = sorted(votes)
-    counted = stats.groupBy(*[votes[n].alias(n) for n in names]).count().orderBy(*names).collect()
-    model = fit([(tuple(r)[:-1], r["count"]) for r in counted], names)
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return (stats.withColumns({"base_failed": failed, "posterior": model.posterior(votes),
-                               "votes": F.create_map(*[x for n in names for x in (F.lit(n), votes[n])])})
-            .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)))
+    return stats.withColumns({**_verdict(stats, threshold),
+                              "votes": F.create_map(*[x for n in sorted(votes) for x in (F.lit(n), votes[n])])})
+
+
+def clean(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that `judge` would keep, with all their columns, without a shuffle."""
+    rows = keep(measure_rows(docs), "quality-rows")
+    return rows.filter(_verdict(rows, threshold, MARK)["kept"]).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 @query("op6_quality_rules")
