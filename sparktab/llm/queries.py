@@ -1,6 +1,6 @@
 """All queries of this package: importing it fills QUERIES and ORACLES."""
 
-from sparktab.llm import decontaminate, html, langid, mixing, neardup, pii, ppm, quality, sharding  # noqa: F401
+from sparktab.llm import chat, decontaminate, html, langid, mixing, neardup, pii, ppm, quality, sharding  # noqa: F401
 from sparktab.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
