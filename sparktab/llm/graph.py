@@ -12,15 +12,22 @@ from pyspark.sql import functions as F
 from sparktab.llm.common import keep
 
 BLOCK = 256
+TASK_EDGES = 250_000
+SENT_ROWS = 1_000_000
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) from (a, b): comp is the smallest node reachable. Nodes without edges don't appear.
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(node, comp) from a written table (a, b): comp is the smallest node reachable. Nodes without edges don't appear.
 
-    Alternates the large-star and small-star steps: every node passes its smallest neighbour on to its larger
-    and then to its smaller neighbours. Each round is a written table. Minima are partial aggregates and the joins
-    have one row per node on one side, so a node with very many neighbours can be split.
+    First every task contracts up to about task_edges edges to stars by itself. If that took more than one task, the
+    large-star and small-star steps alternate: every node passes its smallest neighbour on to its larger and then to its
+    smaller neighbours. Each round is a written table. Minima are partial aggregates and the joins have one row per
+    node on one side, so a node with very many neighbours can be split.
     """
+    parts = -(-edges.count() // task_edges) or 1
+    edges = keep(edges.coalesce(parts).mapInArrow(_contract, "a bigint, b bigint"), "contracted")
+    if parts == 1:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     now, seen = keep(_down(edges), "edges"), None
     while True:
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -38,6 +45,25 @@ def components(edges: DataFrame) -> DataFrame:
         now = keep(_down(small.select("e.a", "e.b")), "edges")
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars (node, smallest node) of the components of one task's edges, the smallest node itself included."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if a != b:
+                a, b = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+                root[max(a, b)] = min(a, b)
+    if root:
+        yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array([find(x) for x in root], pa.int64())], names=["a", "b"])
+
+
 def _down(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -100,17 +126,21 @@ def compare_groups(rows: DataFrame, link: Callable[[np.ndarray, list], np.ndarra
     return rows.select("g", "rid", "n", "payload").repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint")
 
 
-def connected(members: DataFrame, payloads: Callable[[DataFrame], DataFrame], link, label: str, apart: bool = False,
+def _with_payload(rows: DataFrame, data: DataFrame) -> DataFrame:
+    """Payloads go to their groups in one shuffle: while the counted (g, rid) rows are few, they are sent to the payloads."""
+    return (F.broadcast(rows) if rows.count() <= SENT_ROWS else rows).join(data, "rid")
+
+
+def connected(members: DataFrame, data: DataFrame, link, label: str, apart: bool = False,
               block: int = BLOCK) -> DataFrame:
     """(node, comp): the components of all links between members of one group; lone nodes don't appear.
 
-    members: (grp, rid, size), a written table, with size the members of the group; payloads adds n and payload to
-    rows with rid; apart: no rid is in two groups. Groups of up to `block` members are compared as a whole. In a
+    members: (grp, rid, size), a written table, with size the members of the group; data: (rid, n, payload); apart: no rid is in two groups. Groups of up to `block` members are compared as a whole. In a
     larger one every block meets the first block, and who is still not connected with the group's largest component
     then meets every block. So a dense group costs about its size, and no group is ever held by one task.
     """
     few = members.filter(F.col("size") <= block).select(F.xxhash64("grp").alias("g"), "rid")
-    whole = keep(compare_groups(payloads(few), link), label)
+    whole = keep(compare_groups(_with_payload(few, data), link), label)
     many = members.filter(F.col("size") > block)
     if many.isEmpty():
         return _joined(whole, None, apart)
@@ -118,7 +148,7 @@ def connected(members: DataFrame, payloads: Callable[[DataFrame], DataFrame], li
     many = many.withColumn("blk", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("nb")))
     dealt = many.select("grp", "rid", F.explode(F.when(F.col("blk") == 0, F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))
                                                 .otherwise(F.array("blk"))).alias("blk"))
-    edges = keep(compare_groups(payloads(dealt.select(F.xxhash64("grp", "blk").alias("g"), "rid")), link), label + "-large")
+    edges = keep(compare_groups(_with_payload(dealt.select(F.xxhash64("grp", "blk").alias("g"), "rid"), data), link), label + "-large")
     found = keep(_joined(whole, edges, apart), label + "-found")
     known = keep(many.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid")), label + "-known")
     parts = known.groupBy("grp", "comp").count()
@@ -133,7 +163,7 @@ def connected(members: DataFrame, payloads: Callable[[DataFrame], DataFrame], li
     everyone = known.select("grp", "rid", F.explode(i).alias("i"), F.col("blk").alias("j"))
     stray = known.filter("comp <> main").select("grp", "rid", own.alias("i"), F.explode(j).alias("j"))
     rest = everyone.union(stray).select(F.xxhash64("grp", "i", "j").alias("g"), "rid")
-    more = keep(compare_groups(payloads(rest), link), label + "-rest")
+    more = keep(compare_groups(_with_payload(rest, data), link), label + "-rest")
     if more.isEmpty():
         return found
     return _joined(whole, edges.union(more), apart)

@@ -172,12 +172,12 @@ def linked(docs: DataFrame) -> DataFrame:
     lists = lists.select(F.xxhash64("rids").alias("grp"), F.explode("rids").alias("rid"), F.size("rids").cast("bigint").alias("size"))
     groups = keep(lists.union(inside.filter(F.col("size") > 64).select("grp", "rid", "size")), "groups")
     regs = classes.select("rid", "n", F.col("regs").alias("payload"))
-    clusters = keep(connected(groups, lambda rows: rows.join(regs, "rid"), _maybe, "maybe"), "clusters")
+    clusters = keep(connected(groups, regs, _maybe, "maybe"), "clusters")
     sizes = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     members = keep(clusters.join(sizes, "comp").select(F.col("comp").alias("grp"), F.col("node").alias("rid"), "size"), "members")
     wanted = classes.join(clusters, F.col("rid") == F.col("node")).select("rk", "rid")
     sets = keep(full_sets(docs, wanted), "sets")
-    parts = connected(members, lambda rows: rows.join(sets, "rid"), _verified, "links", apart=True)
+    parts = connected(members, sets, _verified, "links", apart=True)
     joined = classes.select("rid", "digest", "least").join(parts, F.col("rid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rid"))
     ids = joined.join(joined.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("digest", "first")
     return (prints.select("doc_id", "rk", "n", "digest").join(ids, "digest", "left")
