@@ -12,7 +12,7 @@ in one task; only 16 numbers per chunk of it are.
 
 Defined results: rows with a null conversation id are one conversation; turns are ordered by turn (null first), equal turn
 numbers by a hash of role and text; null text is empty text; a role that isn't known costs OTHER to label; equal rows are
-turns of their own; an empty table gives an empty result. Other columns are ignored. The output has a row per source
+turns of their own; of repairs with equal costs any one is taken; an empty table gives an empty result. Other columns are ignored. The output has a row per source
 turn and per inserted turn, so a merged or rendered conversation of any length is spread over rows: joining `rendered` in
 the order (conv_id, position, sub) gives the whole text.
 """
