@@ -33,6 +33,7 @@ def lookup(df: DataFrame, mapping: DataFrame, key: str, values: list[str],
         return df.join(F.broadcast(right), c(key).eqNullSafe(F.col("_k")), "left").drop("_k")
     if weight is None:
         return df.join(right, c(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    right = right.withColumn("_w", F.coalesce("_w", F.lit(0.0)))
     hot = right.filter(F.col("_w") > 1.0 / HOT_SHARE).drop("_w")
     for v in values:
         hot = hot.withColumnRenamed(v, "_h_" + v)
@@ -40,9 +41,10 @@ def lookup(df: DataFrame, mapping: DataFrame, key: str, values: list[str],
     cold = right.filter(~(F.col("_w") > 1.0 / HOT_SHARE)).drop("_w")
     out = df.join(F.broadcast(hot), c(key).eqNullSafe(F.col("_hk")), "left")
     spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
-    cold = cold.withColumn("_k", F.concat(F.lit("="), F.col("_k").cast("string")))
-    out = out.withColumn("_j", F.when(F.col("_hit"), spread)
-                         .otherwise(F.concat(F.lit("="), c(key).cast("string"))))
+    def tagged(col):  # a key for the join that keeps null apart from every value
+        return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit("0"))
+    cold = cold.withColumn("_k", tagged(F.col("_k")))
+    out = out.withColumn("_j", F.when(F.col("_hit"), spread).otherwise(tagged(c(key))))
     out = out.join(cold, F.col("_j") == F.col("_k"), "left")
     kept = [x for x in df.columns if x not in values]
     return out.select(*[c(x) for x in kept],

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,7 +108,15 @@ def lookup_series(df: DataFrame, per_series: DataFrame, keys: list[str]) -> Data
     salts = 32
     left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
     right = per_series.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return left.join(right, keys + ["_salt"], "left").drop("_salt")
+    return null_safe_join(left, right, keys + ["_salt"]).drop("_salt")
+
+
+def null_safe_join(df: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on equal keys where null equals null; the keys come once."""
+    names = {k: f"_right_{k}" for k in keys}
+    right = right.select(*[c(k).alias(names[k]) if k in names else c(k) for k in right.columns])
+    on = reduce(and_, [c(k).eqNullSafe(c(n)) for k, n in names.items()])
+    return df.join(right, on, "left").drop(*names.values())
 
 
 def fill_series(df: DataFrame, keys: list[str], order_by: list[str], forward: dict[str, str] | None = None,
@@ -136,6 +144,6 @@ def fill_series(df: DataFrame, keys: list[str], order_by: list[str], forward: di
     carry = carry.filter(reduce(or_, [F.col(f"_c{i}").isNotNull() for i in range(len(jobs))]))
     w = W.partitionBy("_pid", *cols).orderBy("_rid")
     out = st.withColumns({n: fill(s, ahead, w) for n, s, ahead in jobs})
-    out = out.join(F.broadcast(carry), ["_pid", *keys], "left")
+    out = null_safe_join(out, F.broadcast(carry), ["_pid", *keys])
     return (out.withColumns({n: F.coalesce(c(n), F.col(f"_c{i}")) for i, (n, _, _) in enumerate(jobs)})
             .drop("_pid", "_rid", *[f"_c{i}" for i in range(len(jobs))]))

@@ -78,20 +78,29 @@ def _topk(queries: pd.DataFrame, qm: np.ndarray, rows: pd.DataFrame, k: int, ski
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id: str,
              query_vec: str, corpus_vec: str, label: str | None = None, skip_same: bool = False,
              few: int = FEW_QUERIES, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """(query, id, d2, label, rank): the k nearest corpus rows of every query, ties by id."""
+    """(query, id, d2, label, rank): the k nearest corpus rows of every query, ties by id.
+
+    A query whose vector is null or holds null or NaN comes back once, with nulls; corpus rows of that kind are
+    nobody's neighbour.
+    """
     q = queries.select(c(query_id).alias("query"), c(query_vec).cast("array<double>").alias("qvec"))
     x = corpus.select(c(corpus_id).alias("id"), c(corpus_vec).cast("array<double>").alias("vec"),
                       (c(label) if label else F.lit(None).cast("double")).alias("label"))
+    broken = F.coalesce(F.exists("qvec", lambda v: v.isNull() | F.isnan(v)), F.lit(True))
+    x = x.filter(~F.coalesce(F.exists("vec", lambda v: v.isNull() | F.isnan(v)), F.lit(True)))
     schema = T.StructType([T.StructField("query", q.schema["query"].dataType),
                            T.StructField("id", x.schema["id"].dataType), T.StructField("d2", T.DoubleType()),
                            T.StructField("label", x.schema["label"].dataType)])
-    size = q.agg(F.count(F.lit(1)), F.max(F.size("qvec"))).first()
+    lost = q.filter(broken).select("query", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[1:]],
+                                   F.lit(None).cast("int").alias("rank"))
+    size = q.agg(F.count_if(~broken), F.max(F.size("qvec")), F.count_if(broken)).first()
+    q = q.filter(~broken)
     if size[0] <= few and size[0] * (size[1] or 0) * 8 <= FEW_BYTES:
-        best = _scan(q, x, k, schema, skip_same)
+        w = W.partitionBy("query").orderBy("d2", "id")
+        found = _scan(q, x, k, schema, skip_same).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     else:
-        return _by_distinct(stage(q, "knn-q"), stage(x, "knn-x"), k, schema, skip_same, size[0], block, pivots)
-    w = W.partitionBy("query").orderBy("d2", "id")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        found = _by_distinct(stage(q, "knn-q"), stage(x, "knn-x"), k, schema, skip_same, size[0], block, pivots)
+    return found.unionByName(lost) if size[2] else found
 
 
 def _by_distinct(q: DataFrame, x: DataFrame, k: int, schema, skip_same: bool, total: int, block: int,
@@ -234,7 +243,7 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
 
     Added until every class has as many rows as the largest. Base row,
     neighbour and place on the line depend on hashes of the key, so reruns agree.
-    Returns the old and new rows with a `synthetic` flag; new keys are null.
+    Returns the old and new rows with a `synthetic` flag; new keys are null. A class of one row is repeated.
     """
     base = df.select(c(key), c(label), *[c(f).cast("double").alias(f) for f in features])
     sizes = class_sizes(base, label)
@@ -242,7 +251,16 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
     out = base.withColumn("synthetic", F.lit(False))
     for value, n in sizes.items():
         need = top - n
-        if need <= 0 or n < 2:
+        if need <= 0:
+            continue
+        if n < 2:  # no neighbour to go towards: the row is repeated
+            parts = F.explode(F.sequence(F.lit(0), F.lit((need - 1) // COPIES)))
+            alone = base.filter(c(label) == F.lit(value)).withColumn("_part", parts)
+            if need > 10 * COPIES:
+                alone = alone.repartition("_part")
+            alone = alone.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.lit(need) - F.col("_part") * COPIES))))
+            out = out.unionByName(alone.select(F.lit(None).cast(df.schema[key].dataType).alias(key), c(label), *[c(f) for f in features],
+                                               F.lit(True).alias("synthetic")))
             continue
         rows = base.filter(c(label) == F.lit(value)).withColumn("_v", vector(features))
         kk = min(k, n - 1)

@@ -287,8 +287,8 @@ def heavy_outlier_shares(df: DataFrame, columns: list[str]) -> dict[str, float]:
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, target: str | None = None,
-              bins: int = 30, most: int = 12) -> DataFrame:
-    """Equal-width bins between min and max of up to `most` numeric columns."""
+              bins: int = 30, most: int | None = None) -> DataFrame:
+    """Equal-width bins between min and max of the numeric columns; `most` keeps the first ones only."""
     cols = columns or numeric_columns(df, exclude=[target] if target else [])[:most]
     span = wide_agg(df, {x: F.struct(F.min(dbl(x)), F.max(dbl(x))) for x in cols})
     cells = []

@@ -161,7 +161,9 @@ def inner_holdout(df: DataFrame, ts: str, key: str, share: float = 0.8) -> DataF
 
 
 def kfold(df: DataFrame, key: str | None = None, k: int = 3, seed: str = "fold") -> DataFrame:
-    return df.withColumn("fold", percent_slot(split_key(df, key), k, seed).cast("int"))
+    """Fold 0..k-1 by key; a row without a key (a synthetic one) gets its fold by a hash of the row."""
+    by_row = percent_slot(row_hash(df.columns), k, seed)
+    return df.withColumn("fold", F.coalesce(percent_slot(split_key(df, key), k, seed), by_row).cast("int"))
 
 
 def time_series_folds(df: DataFrame, ts: str, key: str, k: int = 3) -> DataFrame:

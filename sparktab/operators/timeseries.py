@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from sparktab.functions.aggregate import wide_agg
 from sparktab.functions.columns import c, dbl, micros
-from sparktab.functions.order import fill_series, lookup_series, series_window
+from sparktab.functions.order import fill_series, lookup_series, null_safe_join, series_window
 
 
 def lag_features(df, keys, order_by, value, lags=(1, 5, 10), **kw) -> DataFrame:
@@ -133,13 +133,13 @@ def grouped_gram(df: DataFrame, keys: list[str], columns: list[str], open_series
         for key, m in held.items():
             part = pd.DataFrame({"i": np.arange(width * width, dtype="int32"), "v": m.ravel()})
             for name, v in zip(keys, key):
-                part[name] = v
+                part[name] = _constant(v, len(part))
             yield part[[*keys, "i", "v"]]
 
     def partial(batches):
         held = {}
         for rows in batches:
-            groups = rows.groupby(keys, sort=False) if keys else [((), rows)]
+            groups = rows.groupby(keys, sort=False, dropna=False) if keys else [((), rows)]
             for key, part in groups:
                 m = part[xs].to_numpy()
                 held[key] = held.get(key, 0) + m.T @ m
@@ -154,6 +154,11 @@ def grouped_gram(df: DataFrame, keys: list[str], columns: list[str], open_series
                                                 lambda s: s["v"]).alias("gram"))
 
 
+def _constant(value, n: int):
+    """A column of one series key, as it is or all null."""
+    return pd.Series([None] * n, dtype=object) if pd.isna(value) else value
+
+
 def _ridge(gram: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     """Coefficients of the last column on the others from summed products."""
     p = gram.shape[0] - 1
@@ -181,10 +186,11 @@ def ar_forecast(df: DataFrame, keys: list[str], order_by: list[str], value: str,
     order = F.struct(*[c(o) for o in order_by])
     tail = F.max_by(F.array(*[F.col(f"_y{i}") for i in range(reach + 1)]), order)
     last = wide.groupBy(*[c(k) for k in keys]).agg(tail.alias("tail"))
-    fit = wide.filter(F.col(f"_y{reach}").isNotNull()).select(
+    known = F.forall(F.array(*[F.col(f"_y{i}") for i in range(reach + 1)]), lambda v: v.isNotNull())
+    fit = wide.filter(known).select(  # a gap keeps out only the rows that reach over it
         *[c(k) for k in keys], F.lit(1.0).alias("_one"), *[z(i).alias(f"_z{i}") for i in lags], z(0).alias("_z0"))
     gram = grouped_gram(fit, keys, ["_one", *[f"_z{i}" for i in lags], "_z0"])
-    both = last.join(gram, keys) if keys else last.withColumn("_j", F.lit(1)).join(
+    both = null_safe_join(last, gram, keys) if keys else last.withColumn("_j", F.lit(1)).join(
         gram.withColumn("_j", F.lit(1)), "_j").drop("_j")
     size = len(lags) + 2
     schema = T.StructType([both.schema[k] for k in keys] + [T.StructField("step", T.IntegerType()),
@@ -208,10 +214,17 @@ def ar_forecast(df: DataFrame, keys: list[str], order_by: list[str], value: str,
                     path[h] = y[-1]
                 out = pd.DataFrame({"step": np.arange(1, horizon + 1, dtype="int32"), "forecast": path})
                 for k in keys:
-                    out[k] = r[k]
+                    out[k] = _constant(r[k], horizon)
                 yield out[[*keys, "step", "forecast"]]
 
-    return both.filter(F.forall("tail", lambda v: v.isNotNull())).mapInPandas(run, schema)
+    can = F.coalesce(F.forall("tail", lambda v: v.isNotNull()), F.lit(False)) & F.col("gram").isNotNull()
+    return both.filter(can).mapInPandas(run, schema).unionByName(_no_forecast(both.filter(~can), keys, horizon))
+
+
+def _no_forecast(series: DataFrame, keys: list[str], horizon: int) -> DataFrame:
+    """Null forecasts of series that are too short or end in a gap: every series has its rows."""
+    return series.select(*[c(k) for k in keys], F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"),
+                         F.lit(None).cast("double").alias("forecast"))
 
 
 def recursive_forecast(df: DataFrame, keys: list[str], order_by: list[str], value: str, horizon: int,
@@ -224,7 +237,8 @@ def recursive_forecast(df: DataFrame, keys: list[str], order_by: list[str], valu
     last = wide.groupBy(*[c(k) for k in keys]).agg(
         F.max_by(F.array(*[F.col(f"_y{i}") for i in range(lookback)]),
                  F.struct(*[c(o) for o in order_by])).alias("tail"))
-    fit = wide.filter(F.col(f"_y{lookback}").isNotNull()).withColumn("_one", F.lit(1.0))
+    known = F.forall(F.array(*[F.col(f"_y{i}") for i in range(lookback + 1)]), lambda v: v.isNotNull())
+    fit = wide.filter(known).withColumn("_one", F.lit(1.0))
     names = ["_one", *[f"_y{i}" for i in range(1, lookback + 1)], "_y0"]
     gram = grouped_gram(fit, [], names).first()["gram"]
     size = len(names)
@@ -242,7 +256,8 @@ def recursive_forecast(df: DataFrame, keys: list[str], order_by: list[str], valu
                 y = np.column_stack([nxt, y[:, :-1]])
                 yield rows[keys].assign(step=np.int32(h), forecast=nxt * span + lo)
 
-    return last.filter(F.forall("tail", lambda v: v.isNotNull())).mapInPandas(run, schema)
+    can = F.coalesce(F.forall("tail", lambda v: v.isNotNull()), F.lit(False))
+    return last.filter(can).mapInPandas(run, schema).unionByName(_no_forecast(last.filter(~can), keys, horizon))
 
 
 DAY_US = 86_400_000_000
@@ -253,7 +268,7 @@ def _design(ts_us, start, end, hinges, periods, order):
     t = (ts_us.cast("double") - F.lit(float(start))) / F.lit(float(max(end - start, 1)))
     out = {"_one": F.lit(1.0), "_t": t}
     for i in range(1, hinges + 1):
-        out[f"_h{i}"] = F.greatest(t - 0.8 * i / (hinges + 1), F.lit(0.0))
+        out[f"_hinge{i}"] = F.greatest(t - 0.8 * i / (hinges + 1), F.lit(0.0))
     for name, us in periods.items():
         phase = F.lit(2 * math.pi) * (ts_us % us) / F.lit(float(us))
         for k in range(1, order + 1):
@@ -278,7 +293,7 @@ def trend_season_forecast(train: DataFrame, test: DataFrame, ts: str, value: str
                                                       dbl(value).alias("_y"))
     gram = grouped_gram(fit, keys, [*names, "_y"])
     size = len(names) + 1
-    pen = np.array([1e-6 if n in ("_one", "_t") else (1 / changepoint_scale if n.startswith("_h") else 1 / season_scale)
+    pen = np.array([1e-6 if n in ("_one", "_t") else (1 / changepoint_scale if n.startswith("_hinge") else 1 / season_scale)
                     for n in names])
     schema = T.StructType([gram.schema[k] for k in keys] + [T.StructField("_beta", T.ArrayType(T.DoubleType()))])
 

@@ -38,22 +38,13 @@ class Prepared:
     def step_log(self) -> DataFrame:
         return self.train.sparkSession.createDataFrame(self.log, "step string, action string, reason string, status string")
 
-    def report(self) -> dict:
-        counts = {r["status"]: r["n"] for r in self.step_log().groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-        return {"total_steps": len(self.log), "applied": counts.get("applied", 0), "skipped": counts.get("skipped", 0),
-                "task_type": self.task_type, "features_final": len(self.features), "train_samples": self.train.count(),
-                "test_samples": self.test.count(), "class_weights": self.class_weights}
-
-    def markdown(self) -> str:
-        r = self.report()
-        lines = ["## Preprocessing Summary", f"- **Task Type**: {r['task_type']}", f"- **Final Features**: {r['features_final']}",
-                 f"- **Train Samples**: {r['train_samples']}", f"- **Test Samples**: {r['test_samples']}"]
-        for title, status in (("Applied Steps", "applied"), ("Skipped Steps", "skipped")):
-            lines += ["", f"### {title}"]
-            for step, action, reason, s in self.log:
-                if s == status:
-                    lines += [f"- **{step}**: {action}", f"  - *Reason*: {reason}"]
-        return "\n".join(lines)
+    def overview(self) -> dict:
+        """Steps by outcome, and the size of what came out."""
+        outcome: dict[str, int] = {}
+        for *_, status in self.log:
+            outcome[status] = outcome.get(status, 0) + 1
+        return {"task": self.task_type, "outcome": outcome, "columns": self.features,
+                "rows": {"train": self.train.count(), "test": self.test.count()}, "weights": self.class_weights}
 
 
 class AutoPreprocessor:

@@ -172,7 +172,8 @@ def test_auto_preprocess_flow(spark):
     a = sorted(map(tuple, p.model.transform(df).select("id", *p.features).collect()))
     b = sorted(map(tuple, PipelineModel.load(path).transform(df).select("id", *p.features).collect()))
     assert a == b and len(a) == 600
-    assert p.report()["test_samples"] == p.test.count() and "Applied Steps" in p.markdown()
+    seen = p.overview()
+    assert seen["rows"]["test"] == p.test.count() and sum(seen["outcome"].values()) == len(p.log)
 
 
 def test_auto_preprocess_without_key_and_in_time(spark):
