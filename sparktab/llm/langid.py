@@ -145,8 +145,9 @@ def fit(docs: DataFrame, calibration: int = CALIBRATION) -> Coder | None:
     weights = np.stack([np.log(freq[c == 1].mean(axis=0)) - (np.log(freq[c == -1].mean(axis=0)) if (c == -1).any() else 0)
                         for c in code.T], axis=1).astype(np.float32)
     coder = Coder(languages, code, weights, np.ones(code.shape))
-    key = F.xxhash64("lang", "text")
-    sample = rows.select("lang", key.alias("k"), F.col("text").cast("binary").alias("t")).orderBy("k", "lang").limit(calibration)
+    keyed = rows.select("lang", F.xxhash64("lang", "text").alias("k"), F.col("text").cast("binary").alias("t"))
+    cut = keyed.select("k").orderBy("k").limit(calibration).agg(F.max("k")).first()[0]  # keys only: no text meets another
+    sample = keyed.filter(F.col("k") <= cut)
     sums = judge_bits(sample, coder).collect()
     right = np.ones(code.shape) * 0.9
     weight = np.ones(len(languages))
