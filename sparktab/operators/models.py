@@ -400,6 +400,7 @@ def train_many(train: DataFrame, test: DataFrame, features: list[str], label: st
     """Fit the named models as concurrent Spark jobs over one stored feature table."""
     task = task.lower()
     labels: list[str] = []
+    train, test = train.filter(c(label).isNotNull()), test.filter(c(label).isNotNull())  # nothing to learn from or to score
     if task == "classification":
         coder = StringIndexer(inputCol=label, outputCol="_code", stringOrderType="alphabetAsc",
                               handleInvalid="keep").fit(train)

@@ -16,12 +16,34 @@ from sparktab.functions.columns import c
 RAW = "_raw_row"
 
 
-def _csv(spark: SparkSession, paths, encoding: str, schema: T.StructType | None) -> DataFrame:
-    opts = {"header": True, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
-            "columnNameOfCorruptRecord": RAW}
-    if schema is None:
-        schema = spark.read.options(**opts, inferSchema=True).csv(paths).schema
-        schema = T.StructType([f for f in schema if f.name != RAW])
+def _options(encoding: str, multi_line: bool) -> dict:
+    return {"header": True, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+            "columnNameOfCorruptRecord": RAW, "multiLine": multi_line}
+
+
+def _infer(spark: SparkSession, paths, encoding: str, multi_line: bool) -> T.StructType:
+    schema = spark.read.options(**_options(encoding, multi_line), inferSchema=True).csv(paths).schema
+    return T.StructType([f for f in schema if f.name != RAW])
+
+
+def _common(schemas: list[T.StructType]) -> T.StructType:
+    """One schema over files read apart: equal types stay, whole numbers widen, numbers become double, all else text."""
+    def kind(types: list[T.DataType]) -> T.DataType:
+        if all(t == types[0] for t in types):
+            return types[0]
+        if all(isinstance(t, (T.IntegerType, T.LongType)) for t in types):
+            return T.LongType()
+        return T.DoubleType() if all(isinstance(t, (T.IntegerType, T.LongType, T.DoubleType)) for t in types) else T.StringType()
+
+    by: dict[str, list[T.DataType]] = {}
+    for s in schemas:
+        for f in s.fields:
+            by.setdefault(f.name, []).append(f.dataType)
+    return T.StructType([T.StructField(n, kind(t)) for n, t in by.items()])
+
+
+def _csv(spark: SparkSession, paths, encoding: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    opts = _options(encoding, multi_line)
     full = T.StructType(schema.fields + [T.StructField(RAW, T.StringType())])
     rows = spark.read.options(**opts).schema(full).csv(paths)
     # short and long rows both keep their text; only a long row fills one column more
@@ -44,11 +66,17 @@ def resolve_encoding(spark: SparkSession, path) -> dict[str, list[str]]:
     return out
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, encoding: str | None = None) -> DataFrame:
-    """Header CSV. Rows with too many fields are left out, short rows are padded with null."""
-    if encoding:
-        return _csv(spark, path, encoding, schema)
-    parts = [_csv(spark, sorted(files), enc, schema) for enc, files in sorted(resolve_encoding(spark, path).items())]
+def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, encoding: str | None = None,
+             multi_line: bool = True) -> DataFrame:
+    """Header CSV. Rows with too many fields are left out, short rows are padded with null.
+
+    Line breaks inside quotes belong to the field, which makes a file one split; where none occur, `multi_line=False`
+    lets large files be split. Types are inferred once over the files of all encodings.
+    """
+    groups = {encoding: path} if encoding else {e: sorted(f) for e, f in sorted(resolve_encoding(spark, path).items())}
+    if schema is None:
+        schema = _common([_infer(spark, files, e, multi_line) for e, files in groups.items()])
+    parts = [_csv(spark, files, e, schema, multi_line) for e, files in groups.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

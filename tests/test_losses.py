@@ -68,3 +68,11 @@ def test_short_and_gappy_series_have_forecasts(spark):
         assert {s: len(x) for s, x in got.items()} == {s: 3 for s in ("long", "gap", "short", "tail", "end", None)}
         assert all(x is not None for s in ("long", "gap", None) for x in got[s])
         assert all(x is None for s in ("short", "tail", "end") for x in got[s])
+
+
+def test_csv_with_breaks_in_quotes_and_two_encodings(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text,n\n1,"two\nlines",5\n2,"a ""q"" b",6\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_bytes("id,text,n\n3,café,x\n4,short\n".encode("iso-8859-1"))
+    from sparktab.sources import io
+    got = rows(io.read_csv(spark, str(tmp_path)))
+    assert got == [(1, "two\nlines", "5"), (2, 'a "q" b', "6"), (3, "café", "x"), (4, "short", None)]
