@@ -10,7 +10,9 @@ loop over a page's tags.
 
 Defined results: null or empty html gives the empty text; scripts, styles, comments, the head and form controls are never
 text; markup left open or cut off is closed at the end; equal pages get equal texts; an empty table gives an empty
-result. A `<br>` is white space. Other columns are ignored.
+result. A `<br>` is white space. Other columns are ignored. A head without an end tag ends at the first tag or text that
+can't be in one; any other hidden element without one ends with its parent or at the next block (scripts, styles, titles
+and textareas run on to the end, as in HTML).
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import functools
 import html as codec
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,10 +43,13 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Element names of HTML by their role in parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style head title noscript template iframe svg canvas object textarea select button datalist audio video math".split())
-RAW = frozenset("script style title textarea noscript iframe template svg select".split())
+RAW = frozenset("script style title textarea".split())  # read on to their end tag, or to the end of the page
+FALLBACK = frozenset(("noscript", "iframe"))  # read on to their end tag if they have one
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 BARRIER = frozenset("ul ol dl table body html article section div main aside nav form".split())
+STOPS = BARRIER | HIDDEN  # no end tag of an inline element reaches past these
 
 # Tag groups and words in class, id and role that hint at a part of a page.
 TAGS = {t: g for g, names in {
@@ -63,6 +69,7 @@ HINTS = {w: g for g, words in {
     "share": "share sharing social follow likes twitter facebook",
     "body": "article content main post entry story body text page blog news",
 }.items() for w in words.split()}
+BLOCK = frozenset(TAGS) - INLINE - VOID - {"#root", "picture", "legend"}  # what ends a hidden element that was left open
 GROUPS = sorted(set(TAGS.values())) + ["other"]
 KINDS = sorted(set(HINTS.values()))
 BINS = ["own0", "own1", "own6", "own20", "all0", "all1", "all10", "all50", "all150", "links0", "links1", "links5", "links8", "ends", "stops3", "copy", "first"]
@@ -81,15 +88,62 @@ class Page:
     label: list[bool]
 
 
+def _tags(source: str) -> tuple[list[tuple[str, str, str, str]], dict[int, int]]:
+    """The text before each tag with the tag (text, end tag, start tag, attributes); where hidden elements with an end tag end."""
+    out: list[tuple[str, str, str, str]] = []
+    ends: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []  # without inline elements
+    count: Counter[str] = Counter()
+    lost: set[str] = set()              # names without a further end tag
+    at, foreign, size, find = 0, False, len(source), _TOKEN.search
+    while at < size:
+        m = find(source, at)
+        if m is None:
+            out.append((source[at:], "", "", ""))
+            break
+        before, at = source[at:m.start()], m.end()
+        end, name = (m["end"] or "").lower(), (m["tag"] or m["broken"] or "").lower()
+        attrs = m["attrs"] or m["rest"] or ""
+        here = len(out)
+        out.append((before, end, name, attrs))
+        if end:
+            if end in ("svg", "math"):
+                foreign = False
+            if count[end]:
+                while opened:
+                    top, start = opened.pop()
+                    count[top] -= 1
+                    if top == end:
+                        if top in HIDDEN:
+                            ends[start] = here
+                        break
+        elif name in RAW and not (foreign and name in ("style", "title")):
+            stop = re.compile("</" + name + r"(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            at = stop.end() if stop else size
+        elif name in FALLBACK and not attrs.endswith("/") and name not in lost:
+            stop = re.compile("<(/?)" + name + r"(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            if stop is None:
+                lost.add(name)
+            elif stop[1]:
+                ends[here], at = here, stop.end()
+        elif name and name not in INLINE and name not in VOID and name not in FALLBACK and not (name in HIDDEN and attrs.endswith("/")):
+            foreign = name in ("svg", "math") or foreign and name not in BLOCK
+            opened.append((name, here))
+            count[name] += 1
+    return out, ends
+
+
 def parse(source: str) -> Page:
     """Nodes and text of a page. Plain inline elements belong to the node around them."""
     tag, hints, parent, own, links, label = ["#root"], [()], [-1], [0], [0], [False]
     tail: list[str] = [""]
     flow: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and their nodes
-    at, hidden, linked = 0, None, 0
+    at, hidden, linked = 0, 0, 0                    # hidden: place in the stack of the outermost hidden element, or 0
 
     def text(chunk: str) -> None:
+        if stack[-1][0] == "head" and chunk.strip():
+            close(hidden)
         if not chunk or hidden:
             return
         chunk = codec.unescape(chunk)
@@ -103,57 +157,53 @@ def parse(source: str) -> Page:
             links[node] += words
 
     def close(upto: int) -> None:
-        nonlocal linked
-        for name, _ in stack[upto:]:
+        nonlocal linked, hidden
+        for i in range(upto, len(stack)):
+            name = stack[i][0]
             linked -= name == "a"
-            if name not in INLINE:
+            if name not in INLINE and not (hidden and i >= hidden):
                 flow.append((-1, ""))
         del stack[upto:]
-
-    size, find = len(source), _TOKEN.search
-    while at < size:
-        m = find(source, at)
-        if m is None:
-            text(source[at:])
-            break
-        if m.start() > at:
-            text(source[at:m.start()])
-        at = m.end()
-        end = m["end"]
+        if upto <= hidden:
+            hidden = 0
+
+    tags, ends = _tags(source)
+    while at < len(tags):
+        before, end, name, attrs = tags[at]
+        here, at = at, at + 1
+        text(before)
         if end:
-            end = end.lower()
-            if hidden:
-                if end == hidden:
-                    hidden = None
-                continue
-            if end == "p" and not any(n == "p" for n, _ in stack):
+            if end == "p" and not hidden and not any(n == "p" for n, _ in stack):
                 flow.append((-1, ""))
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == end:
                     close(i)
                     break
-                if stack[i][0] in BARRIER and end in INLINE:
+                if stack[i][0] in STOPS and end in INLINE:
                     break
             continue
-        name = m["tag"] or m["broken"]
-        if not name or hidden:
-            continue
-        name, attrs = name.lower(), m["attrs"] or m["rest"] or ""
-        if name in RAW:
-            stop = re.compile("</" + name + r"(?=[\s/>])[^>]*>?", re.I).search(source, at)
-            at = stop.end() if stop else size
+        if not name:
             continue
+        if hidden and (name not in IN_HEAD if stack[hidden][0] == "head" else name in BLOCK or name == stack[hidden][0] and name in ("button", "select")):
+            close(hidden)
         if name in HIDDEN:
-            if not attrs.endswith("/"):
-                hidden = name
+            if here in ends and name != "head":
+                at = ends[here] + 1
+            elif name not in RAW and not attrs.endswith("/"):
+                stack.append((name, stack[-1][1]))
+                hidden = hidden or len(stack) - 1
             continue
         if name == "br":
             text(" ")
             continue
         if name in VOID:
-            if name == "hr":
+            if name == "hr" and not hidden:
                 flow.append((-1, ""))
             continue
+        if hidden:
+            stack.append((name, stack[-1][1]))
+            linked += name == "a"
+            continue
         if name in ("html", "body") and any(n == name for n, _ in stack):
             continue
         if name not in INLINE:

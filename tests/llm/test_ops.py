@@ -67,6 +67,22 @@ def test_codewords_stand_apart():
     assert min((c != d).sum() for c, d in itertools.combinations(langid.codewords(4), 2)) == 4
 
 
+def test_html_hidden_elements_left_open():
+    weights, pair = html.fit()
+    article = "<article><h1>Title</h1>" + "<p>A long paragraph of the article has many words in it, and it ends well.</p>" * 5 + "</article>"
+    got = lambda page: html.article_texts([page], weights, pair)[0]
+    want = got(f"<html><head><title>x</title></head><body>{article}</body></html>")
+    assert want.count("\n") == 5
+    for head in ("<head><title>x</title><meta charset=a><body>", "<head><title>x</title>", "<head><noscript>inner<body>", "<head><template>inner</head>"):
+        assert got(f"<html>{head}{article}") == want, head
+    for name in "button object audio video canvas math select noscript svg template iframe datalist".split():
+        for page in (f"<div><{name}>inner</div>{article}", f"<{name}>inner{article}", f"<div><{name}>inner</div>{article}<{name}>x</{name}>",
+                     f"<div><{name}>inner <b>x</b></{name}></div>{article}", f"<ul><li><{name}>inner<li></ul>{article}"):
+            assert got(f"<html><head></head><body>{page}") == want, (name, page[:60])
+    for name in "object video svg template noscript".split():  # with an end tag, all between is hidden
+        assert got(f"<body><article><h1>Title</h1><{name}><div><p>inner</p></div></{name}>{article[23:]}") == want, name
+
+
 def test_html_layouts_and_odd_pages(spark):
     weights, pair = html.fit()
     exact = 0
