@@ -28,7 +28,7 @@ KEY = "example key: pass your own"
 FIRST_DAY, DAYS = -25567, 73049  # 1900-01-01 to 2099-12-31, in days since 1970
 
 # Fixed patterns. Each is bounded on the left, so a long run is read once.
-CREDENTIAL = r"(?<=\b(?:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"',;]{8,64}"
+CREDENTIAL = r"(?<=\b(?i:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"',;]{8,}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
 PHONE = r"(?<![\d(+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)"
@@ -38,7 +38,7 @@ ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])"
 ANY = "|".join((ACCESS_KEY, MAIL, PHONE, SOCIAL, DATE, ADDRESS, CARD, CREDENTIAL))
 #: No value without one of these, so most texts are read by this pattern only.
-SIGN = r"[0-9@]|(?:password|passwd|token|secret|api_?key)\s{0,2}[=:]"
+SIGN = r"[0-9@]|(?i:password|passwd|token|secret|api_?key)\s{0,2}[=:]"
 
 
 def let(value: Column, then) -> Column:

@@ -284,6 +284,17 @@ def test_votes_find_the_bad_class():
     assert quality.fit([], ["a"]).prior == 0.5
 
 
+def test_long_secrets_and_upper_case_names(spark):
+    token = "".join(random.Random(7).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(200))
+    texts = [f"token={token} end", f"Password: {token[:20]} end", f"API_KEY='{token}' end", "Secret = HunterTwoIsLong", "PASSWD:abcdefgh"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    for was, now in zip(texts, got):
+        assert len(now) == len(was) and now.startswith(was[:was.index("=" if "=" in was else ":") + 1])
+    parts = [token[i:i + 8] for i in range(0, 193)]
+    assert not any(p in now for p in parts for now in got[:3]) and got[0][6:206] == got[2][9:209]
+    assert "HunterTwoIsLong" not in got[3] and "abcdefgh" not in got[4] and all(x.endswith(" end") for x in got[:2])
+
+
 def test_pseudonyms(spark, odd, none):
     text = ("call +1 (988) 555-2485 or (212) 555-0199, card 4111 1111 1111 1111 and 4111111111111112, ssn 123-45-6789 not 000-12-3456, on 2024-02-29 not 2023-02-29, "
             "13/02/2024, ip 70.123.182.155 not 300.1.1.1, mail bob.42@mail8.example.com password=e3b3ed3cc8548923d6")
