@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktab.functions.aggregate import exact_quantiles, wide_agg
-from sparktab.functions.columns import c, dbl, percent_slot, spread
-from sparktab.functions.staging import stage_path
+from sparktab.functions.columns import c, dbl, spread
+from sparktab.functions.lookup import lookup
+from sparktab.functions.staging import stage, stage_path
+
+BLOCK_ROWS = 4096  # of either side of a block of pairs in shap_kernel
 
 
 def feature_importance(model: Model | list[Model], features: list[str], spark, top: int = 15) -> DataFrame:
@@ -148,42 +152,59 @@ def output_column(pred: DataFrame, classifier: bool):
 
 
 def shap_kernel(df: DataFrame, background: DataFrame, key: str, features: list[str], model: Model,
-                permutations: int = 4, background_rows: int = 50, classifier: bool = False, seed: int = 42) -> DataFrame:
-    """Sampled Shapley values of any model: seeded feature orders against background rows.
-
-    Every row is expanded to (orders x features) variants that switch one more
-    feature from the background row to its own value; one transform scores all
-    of them, and a grouped sum turns score differences into contributions.
+                permutations: int = 4, classifier: bool = False, seed: int = 42) -> DataFrame:
+    """Shapley values of any model over seeded feature orders: (key, feature, contribution, base_value).
+
+    The value of a set of features is the mean prediction over all background
+    rows with these features taken from the row, so the contributions of a row
+    add up to its prediction minus `base_value`, the mean prediction of the
+    background. Rows that agree in the set are valued once, and background rows
+    that agree outside it count as one with a weight. The pairs of a set are
+    dealt in blocks of bounded size.
     """
     rng = random.Random(seed)
-    orders = []
+    share: dict[tuple, dict[int, float]] = {}  # set of features -> feature -> weight of the set's value
     for _ in range(permutations):
         o = list(range(len(features)))
         rng.shuffle(o)
-        orders.append(o)
-    hashed = background.select(*[c(f).cast("double").alias(f) for f in features]).orderBy(
-        F.xxhash64(*[c(f) for f in features])).limit(background_rows)
-    bg = [list(map(float, r)) for r in hashed.collect()]
-    d = len(features)
-    lit2 = lambda m, kind: F.array(*[F.array(*[F.lit(v) for v in r]) for r in m])
-    base = df.select(c(key), *[c(f).cast("double").alias(f) for f in features])
-    wide = base.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    pick = percent_slot(F.concat_ws("|", c(key).cast("string"), F.col("_p").cast("string")), len(bg), str(seed))
-    wide = wide.withColumn("_b", F.get(lit2(bg, float), pick.cast("int"))).withColumn(
-        "_o", F.get(lit2(orders, int), F.col("_p"))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(d))))
-    # place of feature i in the order is below the step: take the row's own value
-    mixed = [F.when(F.array_position("_o", i) <= F.col("_s"), c(f)).otherwise(F.col("_b")[i]).alias(f)
-             for i, f in enumerate(features)]
-    grid = VectorAssembler(inputCols=features, outputCol="features").transform(
-        wide.select(c(key), "_p", "_s", "_o", *mixed))
-    scored = model.transform(grid)
+        for s, i in enumerate(o):
+            for part, sign in ((o[:s + 1], 1.0), (o[:s], -1.0)):
+                held = share.setdefault(tuple(sorted(part)), {})
+                held[i] = held.get(i, 0.0) + sign / permutations
+    sets = sorted(share)
+    none = sets.index(())
+    own = lambda inside: F.array(*[F.struct(F.lit(n).alias("_s"), F.array(F.lit(float(n)), *[
+        c(f) if (i in s) == inside else F.lit(0.0) for i, f in enumerate(features)]).alias("_x")) for n, s in enumerate(sets)])
+    rows = df.select(c(key), *[(dbl(f) + F.lit(0.0)).alias(f) for f in features])  # -0.0 and 0.0 are one value
+    given = background.select(*[(dbl(f) + F.lit(0.0)).alias(f) for f in features])
+    total, against = rows.count(), given.count()
+    if not against:
+        raise ValueError("the background has no rows")
+    cells = stage(rows.select(F.inline(own(True))).groupBy("_s", "_x").agg((F.count(F.lit(1)) / max(total, 1)).alias("share")), "shap-cells")
+    if not total:  # the base value is still that of the background
+        cells = cells.sparkSession.createDataFrame([(none, [float(none)] + [0.0] * len(features), 0.0)], cells.schema)
+    others = stage(given.select(F.inline(own(False))).groupBy("_s", F.col("_x").alias("_b")).agg(F.count(F.lit(1)).alias("_w")), "shap-background")
+    na, nb = (max(1, math.ceil(x.groupBy("_s").count().agg(F.max("count")).first()[0] / BLOCK_ROWS)) for x in (cells, others))
+    slots = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = cells.select("_s", "_x", F.pmod(F.xxhash64("_x"), F.lit(na)).cast("int").alias("_a")).withColumn("_c", slots(nb))
+    right = others.withColumn("_c", F.pmod(F.xxhash64("_b"), F.lit(nb)).cast("int")).withColumn("_a", slots(na))
+    inside = F.array(*[F.array(*[F.lit(i in s) for i in range(len(features))]) for s in sets])
+    grid = left.join(right, ["_s", "_a", "_c"]).select("_x", "_w", *[
+        F.when(F.get(F.get(inside, F.col("_s")), F.lit(i)), F.get("_x", F.lit(i + 1))).otherwise(F.get("_b", F.lit(i + 1))).alias(f)
+        for i, f in enumerate(features)])
+    scored = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(grid))
     scored = scored.withColumn("_f", output_column(scored, classifier))
-    moves = F.array_compact(F.array(
-        F.when(F.col("_s") > 0, F.struct(F.get("_o", F.col("_s") - 1).alias("i"), F.col("_f").alias("v"))),
-        F.when(F.col("_s") < d, F.struct(F.get("_o", F.col("_s")).alias("i"), (-F.col("_f")).alias("v")))))
-    sums = scored.select(c(key), F.inline(moves)).groupBy(c(key), "i").agg((F.sum("v") / permutations).alias("contribution"))
+    values = scored.groupBy("_x").agg((F.sum(F.col("_f") * F.col("_w")) / F.sum("_w")).alias("_v"))
+    values = stage(values.join(cells.select("_x", "share"), "_x"), "shap-values")
+    base = values.filter(F.get("_x", F.lit(0)) == float(none)).first()["_v"]
+    parts = rows.select(c(key), F.inline(own(True))).filter(F.col("_s") != none)
+    weights = F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in sorted(share[s].items())]) for s in sets])
+    moves = lookup(parts, values, "_x", ["_v"], "share").select(c(key), "_v", F.inline(F.get(weights, F.col("_s"))))
+    # what the empty set takes off is the same for each row
+    off = F.get(F.array(*[F.lit(share[()].get(i, 0.0) * base) for i in range(len(features))]), F.col("i"))
     names = F.array(*[F.lit(f) for f in features])
-    return sums.select(c(key), F.get(names, F.col("i")).alias("feature"), "contribution")
+    return (moves.groupBy(c(key), "i").agg(F.sum(F.col("_v") * F.col("w")).alias("_v"))
+            .select(c(key), F.get(names, F.col("i")).alias("feature"), (F.col("_v") + off).alias("contribution"), F.lit(base).alias("base_value")))
 
 
 def shap_importance(contributions: DataFrame, top: int = 15) -> DataFrame:

@@ -102,6 +102,19 @@ def test_kernel_contributions_of_a_linear_model(data):
     assert r > 0.97
 
 
+def test_kernel_contributions_add_up_over_the_whole_background(data, spark):
+    tr = models.assemble(data[2], F3, "y", "id")
+    m = models.make_estimator("Decision Tree", "regression", 600, F3, params={"max_depth": 4}).fit(tr)
+    some = tr.filter("row_id % 5 = 0")
+    back = tr.filter("row_id % 4 = 1").unionByName(tr.filter("row_id % 8 = 1"))  # half of them twice
+    phi = explain.shap_kernel(some, back, "row_id", F3, m)
+    mean = m.transform(back).agg(F.avg("prediction")).first()[0]
+    assert [round(r[0], 6) for r in phi.select("base_value").distinct().collect()] == [round(mean, 6)]
+    total = phi.groupBy("row_id").agg(F.sum("contribution").alias("s"), F.count(F.lit(1)).alias("n"))
+    gap = m.transform(some).join(total, "row_id").agg(F.count(F.lit(1)), F.max(F.abs(F.col("prediction") - F.col("s") - mean)), F.min("n")).first()
+    assert gap[0] == some.count() and gap[1] < 1e-6 and gap[2] == len(F3)
+
+
 def test_saved_models_agree(data, spark):
     tr = models.assemble(data[2], F3, "y", "id")
     live = {n: models.make_estimator(n, "regression", 600, F3, params={"n_estimators": 3}).fit(tr)
