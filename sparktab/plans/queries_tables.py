@@ -231,8 +231,8 @@ def _(t):
 def _(t):
     chunks = retrieval.chunk_documents(t.documents, "doc_id", "text")
     emb = retrieval.embed_text(chunks, retrieval.fit_embedder(chunks))
-    return emb.select("doc_id", "chunk", F.size("embedding").alias("size"),
-                      F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    return emb.select("doc_id", "chunk", F.col("embedding.size").alias("size"),
+                      F.round(F.aggregate("embedding.values", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
 @query("retrieve_chunks")

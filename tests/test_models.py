@@ -182,3 +182,16 @@ def test_ragged_and_quoted_csv(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes(b"id,name,v\n5,caf\xe9,7\n")
     out = {r["id"]: (r["name"], r["v"]) for r in io.read_csv(spark, str(tmp_path)).collect()}
     assert out == {1: ("x,y", 2.5), 2: ("short", None), 4: ("café", None), 5: ("café", 7.0)}
+
+
+def test_chunks_of_a_large_vocabulary_are_told_apart(spark):
+    n = 1200
+    rows = [(i, " ".join(f"w{i * 7 + j}x" for j in range(7))) for i in range(n)]  # 8,400 words, none shared
+    chunks = spark.createDataFrame(rows, "id int, chunk_text string")
+    model = retrieval.fit_embedder(chunks)
+    asks = chunks.filter("id % 10 = 3").withColumnRenamed("id", "q")
+    got = [retrieval.retrieve(asks, chunks, model, "q", "chunk_text", "id", 2, few, block).orderBy("query", "rank").collect()
+           for few, block in ((1000, 1000), (50, 500))]
+    assert [r["id"] for r in got[0] if r["rank"] == 1] == [r["query"] for r in got[0] if r["rank"] == 1] == list(range(3, n, 10))
+    assert all(r["d2"] < 1e-9 for r in got[0] if r["rank"] == 1) and all(r["d2"] > 1.5 for r in got[0] if r["rank"] == 2)
+    assert [(r["query"], r["id"], r["rank"]) for r in got[0]] == [(r["query"], r["id"], r["rank"]) for r in got[1]]
