@@ -361,28 +361,32 @@ def encode(docs: DataFrame, vocab: Vocabulary, *keep: Column) -> DataFrame:
     return rows.mapInArrow(run, f"{_shape(rows.drop('__t'))}, ids array<int>")
 
 
-def decode(tokens: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """All columns and text: the bytes of the ids (array of int; null: none) in a row; bytes that aren't UTF-8 become U+FFFD."""
+def decode(tokens: DataFrame, vocab: Vocabulary, *keep: Column) -> DataFrame:
+    """The columns named in keep (all unless given) and text: the bytes of the ids (array of int; null: none) in a row.
+
+    Bytes that aren't UTF-8 become U+FFFD.
+    """
+    rows = tokens.select(*(keep or [F.col(f"`{x}`") for x in tokens.columns]), F.col("ids").alias("__ids"))
+    names = rows.columns[:-1]
     shared = tokens.sparkSession.sparkContext.broadcast(vocab)
-    names = tokens.columns
-    at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = shared.value.spelling.__getitem__
-        for batch in _slices(batches, at, 1 << 20):
-            ids = batch.column(at)
-            flat, ends = ids.values.to_pylist(), np.asarray(ids.offsets).tolist()
+        for batch in _slices(batches, len(names), 1 << 20):
+            ids = batch.column(len(names))
+            ends = np.asarray(ids.offsets)
+            flat, ends = ids.flatten().to_pylist(), (ends - ends[0]).tolist()
             texts = [b"".join(map(spell, flat[a:b])).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    return tokens.mapInArrow(run, f"{_shape(tokens)}, text string")
+    return rows.mapInArrow(run, f"{_shape(rows.drop('__ids'))}, text string")
 
 
 @query("op13_bpe_coding")
 def op13_bpe_coding(spark, folder):
     import public_tokenizers
     vocab = Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
-    coded = decode(encode(table(spark, folder, "documents"), vocab), vocab)
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    coded = encode(table(spark, folder, "documents"), vocab)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    whole = decode(coded, vocab, F.col("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"))
+    return whole.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
