@@ -367,7 +367,45 @@ def damage(turns: DataFrame) -> DataFrame:
             .withColumn("copy", F.explode(times)).drop("copy", "kind"))
 
 
-@query("op12_conversation_repair")
+#: The same by dynamic programming over (row, place) in one statement; texts and conversation ids of any kind, turns as whole numbers.
+SQL = f"""
+with recursive keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+hashed as (select *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda ch: cast(ascii(ch) as bigint))), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 as kind from keyed),
+hurt as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case when kind = 3 then [0, 1] else [0] end) as copy from hashed where kind <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, left(text, {HEAD}), md5(text), copy) as i,
+    count(*) over (partition by conv_id) as n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from hurt),
+rows_ as materialized (select conv_id, turn, role, text, i, n, left(role, 1) as letter, lead(left(role, 1)) over (partition by conv_id order by i) as follow,
+    case when body = '' then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2 when right(body, 1) not in ('.', '!', '?') then 3 else 0 end as fault
+    from placed),
+step(place, letter, then_) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+given(place, who, then_) as (values (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+ins(place, pre, lines, then_) as (select place, '', '', place from given union all select place, 'I', who || ':', then_ from given
+    union all select g.place, 'II', g.who || ':' || chr(10) || h.who || ':', h.then_ from given g join given h on g.then_ = h.place),
+way as (select distinct conv_id, n, 0 as i, 0 as place, 0 as c, '' as a, '' as t from rows_
+  union all
+  select conv_id, n, i, place, c, a, t from (select *, row_number() over (partition by conv_id, place order by c, a) as best from (
+    select w.conv_id, w.n, r.i, o.then_ as place, w.c + 2 * length(p.pre) + o.cost as c, w.a || p.pre || o.edit as a,
+      w.t || case when w.t <> '' and p.lines <> '' then chr(10) else '' end || p.lines
+        || case when o.line is null then '' else case when w.t <> '' or p.lines <> '' then chr(10) else '' end || o.line end as t
+    from way w join rows_ r on r.conv_id is not distinct from w.conv_id and r.i = w.i + 1 join ins p on p.place = w.place
+    join lateral (select 'D' as edit, 3 as cost, p.then_ as then_, null as line
+      union all select 'K', case when r.fault = 3 then 1 else 0 end, s.then_, r.role || ':' || r.text from step s where s.place = p.then_ and s.letter = r.letter and r.fault in (0, 3)
+      union all select 'R', case when r.fault = 3 then 3 else 2 end, g.then_, g.who || ':' || r.text from given g where g.place = p.then_ and r.fault in (0, 3)) o on true)) where best = 1),
+done as (select conv_id, c + case place when 1 then 4 when 2 then 2 else 0 end as cost, a || case place when 1 then 'II' when 2 then 'I' else '' end as audit,
+    t || case place when 1 then chr(10) || 'user:' || chr(10) || 'assistant:' when 2 then chr(10) || 'assistant:' else '' end as t from way where i = n),
+best as (select * from done qualify row_number() over (partition by conv_id order by cost, audit) = 1),
+told as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate,
+    count(*) filter (fault = 3) as truncated, count(*) filter (follow is not null and letter || follow not in ('su', 'ua', 'au')) as illegal from rows_ group by conv_id)
+select o.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(blank, 0) as bigint) as blank, cast(coalesce(duplicate, 0) as bigint) as duplicate,
+  cast(coalesce(truncated, 0) as bigint) as truncated, cast(coalesce(illegal, 0) as bigint) as illegal, cast(coalesce(cost, 0) as bigint) as cost,
+  coalesce(audit, '') as audit, sha256(coalesce(t, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join told on told.conv_id is not distinct from o.conv_id left join best on best.conv_id is not distinct from o.conv_id"""
+
+
+@query("op12_conversation_repair", SQL)
 def op12_conversation_repair(spark, folder):
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return summary(turns, repair(damage(turns)))
