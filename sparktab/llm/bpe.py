@@ -37,7 +37,7 @@ from sparktab.llm.common import query, table
 
 LANES = 128
 LANE_CELLS = 1 << 21     # cells of one numpy tree
-CACHE = 24 << 20         # bytes of distinct pieces kept by a task
+CACHE = 6 << 20          # bytes of distinct pieces kept by a task
 STRETCH = 1 << 18
 _NONE = np.int32(2 ** 31 - 1)
 
@@ -131,6 +131,30 @@ class Vocabulary:
     def known(self) -> dict[int, int]:
         return dict(zip(self.pairs.tolist(), self.rank_of.tolist()))
 
+    @cached_property
+    def letters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, number of bytes) of each token in (all bytes in a row)."""
+        size = np.array([len(x or b"") for x in self.spelling])
+        return np.cumsum(size) - size, size, np.frombuffer(b"".join(x or b"" for x in self.spelling), dtype=np.uint8)
+
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of runs of tokens; the first begins at ends[0]."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.spelling) or any(self.spelling[i] is None for i in np.unique(ids).tolist())):
+            raise ValueError("an id isn't in the vocabulary")
+        start, size, letters = self.letters
+        size = size[ids]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        data = letters[np.repeat(start[ids] - stop[:-1], size) + np.arange(stop[-1])]
+        edge = stop[ends]
+        try:
+            data.tobytes().decode("utf-8")
+            whole = not ((data[edge[:-1][edge[:-1] < len(data)]] & 0xC0) == 0x80).any()  # no text begins inside a character
+        except UnicodeDecodeError:
+            whole = False
+        if whole:
+            return pa.StringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data))
+        return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(edge, edge[1:])], pa.string())
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, _NONE where it can't merge."""
         keys = left.astype(np.int64) << 32 | right
@@ -344,21 +368,28 @@ def _shape(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def encode(docs: DataFrame, vocab: Vocabulary, *keep: Column) -> DataFrame:
-    """The columns named in keep (doc_id unless given) and ids (array of int) of every whole text."""
+def encode(docs: DataFrame, vocab: Vocabulary, *keep: Column, back: bool = False) -> DataFrame:
+    """The columns named in keep (doc_id unless given) and ids (array of int) of every whole text.
+
+    With `back` also decoded: the text that the ids spell, found in the same pass so that they travel once.
+    """
     rows = docs.select(*(keep or [F.col("doc_id")]), F.coalesce("text", F.lit("")).alias("__t"))
     names = rows.columns[:-1]
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # as large as the vocabulary file
+    made = ["ids", "decoded"] if back else ["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in _slices(batches, len(names), 4 << 20):
+        for batch in _slices(batches, len(names), 2 << 20):
             found = encoder.encode(batch.column(len(names)).to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*names, "ids"])
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+            ids = np.concatenate(found)
+            out = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))]
+            if back:
+                out.append(encoder.vocab.spell(ids, ends))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], names=[*names, *made])
 
-    return rows.mapInArrow(run, f"{_shape(rows.drop('__t'))}, ids array<int>")
+    return rows.mapInArrow(run, ", ".join([_shape(rows.drop("__t")), "ids array<int>", "decoded string"][:len(made) + 1]))
 
 
 def decode(tokens: DataFrame, vocab: Vocabulary, *keep: Column) -> DataFrame:
@@ -371,13 +402,11 @@ def decode(tokens: DataFrame, vocab: Vocabulary, *keep: Column) -> DataFrame:
     shared = tokens.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = shared.value.spelling.__getitem__
-        for batch in _slices(batches, len(names), 1 << 20):
+        for batch in _slices(batches, len(names), 1 << 19):
             ids = batch.column(len(names))
             ends = np.asarray(ids.offsets)
-            flat, ends = ids.flatten().to_pylist(), (ends - ends[0]).tolist()
-            texts = [b"".join(map(spell, flat[a:b])).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*names, "text"])
+            texts = shared.value.spell(ids.flatten().to_numpy(zero_copy_only=False), ends - ends[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*names, "text"])
 
     return rows.mapInArrow(run, f"{_shape(rows.drop('__ids'))}, text string")
 
@@ -386,7 +415,7 @@ def decode(tokens: DataFrame, vocab: Vocabulary, *keep: Column) -> DataFrame:
 def op13_bpe_coding(spark, folder):
     import public_tokenizers
     vocab = Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
-    coded = encode(table(spark, folder, "documents"), vocab)
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
-    whole = decode(coded, vocab, F.col("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"))
-    return whole.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    coded = encode(table(spark, folder, "documents"), vocab, back=True)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -257,3 +257,17 @@ def test_coding_of_odd_rows(spark, coder):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         bpe.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_spelling(coder, library):
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        runs = [rng.integers(0, 50257, rng.integers(0, 30)) if rng.random() < 0.7 else rng.integers(0, 256, 3) for _ in range(5)]
+        runs += [np.array(library.encode("é日本 x").ids)]
+        ends = np.cumsum([0, *map(len, runs)])
+        assert coder.spell(np.concatenate(runs).astype(np.int32), ends).to_pylist() == [library.decode(r.tolist(), skip_special_tokens=False) for r in runs]
+    one = coder.first[np.frombuffer("é".encode(), dtype=np.uint8)]
+    assert coder.spell(one, np.array([0, 1, 2])).to_pylist() == ["�", "�"]  # a character over two texts
+    for bad in (-1, 50257):
+        with pytest.raises(ValueError):
+            coder.spell(np.array([bad]), np.array([0, 1]))
