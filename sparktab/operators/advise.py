@@ -1,4 +1,4 @@
-"""Advice from rules and past experiments: row-wise expressions, no pairwise joins."""
+"""Advice from rules and past experiments: row-wise expressions; matching of tables is in `match`."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.functions.columns import c
+from sparktab.operators import match
 
 # fixed values: rules of the knowledge base as (condition, models, reason)
 RULES = [
@@ -66,28 +67,11 @@ def similar_experiments(experiments: DataFrame, stats: dict) -> DataFrame:
                     cols.alias("features")))
 
 
-def _clean(col: Column) -> Column:
-    return F.lower(F.replace(col, F.lit(" "), F.lit("")))
-
-
-MAX_KNOWN = 1_000
-
-
 def match_names(df: DataFrame, column: str, known: list[str]) -> DataFrame:
-    """Free name to known name: exact, then without case and blanks, then containment; else null.
-
-    The known names are a short list (checked), held as literals.
-    """
-    if len(known) > MAX_KNOWN:
-        raise ValueError("known names must be a short list")
-    keys = {k.lower().replace(" ", ""): k for k in known}
-    clean = _clean(c(column))
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in keys.items()])
-    exact = F.when(c(column).isin(known), c(column))
-    same = F.get(F.filter(pairs, lambda p: p["k"] == clean), F.lit(0))["v"]
-    part = F.get(F.filter(pairs, lambda p: F.contains(clean, p["k"]) | F.contains(p["k"], clean)), F.lit(0))["v"]
-    return df.withColumn("match", F.coalesce(exact, same, part)).withColumn(
-        "kind", F.when(exact.isNotNull(), "exact").when(same.isNotNull(), "normalized").when(part.isNotNull(), "partial"))
+    """match.match_names for known names given as a list, in its order; of any length."""
+    spark = df.sparkSession
+    table = spark.createDataFrame(list(enumerate(known)), "place bigint, name string")
+    return match.match_names(df, column, table, "name", "place")
 
 
 def matched_names(df: DataFrame, column: str, known: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from sparktab.functions.staging import stage_path
-from sparktab.operators import advise, models, neighbors, retrieval, score, split
+from sparktab.operators import advise, match, models, neighbors, retrieval, score, split
 from sparktab.operators.encode import Encoder
 from sparktab.plans.auto import AutoPreprocessor, simple_preprocess
 from sparktab.plans.catalog import query
@@ -154,6 +154,17 @@ def _(t):
                                       {"total_rows": rows, "total_columns": 6, "task_type": "regression"})
 
 
+@query("similar_runs", EXP + """, r as (select l_suppkey, count(*) as total_rows, count(distinct l_linenumber) + l_suppkey % 20 as total_columns,
+ case when l_suppkey % 2 = 0 then 'classification' else 'REGRESSION' end as task_type from lineitem group by 1)
+select l_suppkey, dataset_name as dataset, best_model, best_score, n as total_rows, k::bigint as features from r join e on lower(e.task_type) = lower(r.task_type)
+ and best_model is not null and (abs(n - total_rows / 50.0) / greatest(total_rows / 50.0, 1) < 0.5 or abs(k - total_columns) / greatest(total_columns, 1) < 0.3)""")
+def _(t):
+    profiles = t.lineitem.groupBy("l_suppkey").agg((F.count(F.lit(1)) / 50.0).alias("total_rows"),
+                                                   (F.countDistinct("l_linenumber") + F.expr("l_suppkey % 20")).alias("total_columns"))
+    task = F.when(F.col("l_suppkey") % 2 == 0, "classification").otherwise("REGRESSION")
+    return match.similar_runs(stored_experiments(t).current(), profiles.withColumn("task_type", task), "l_suppkey")
+
+
 @query("experiment_timeline", """select event_id, user_id, (row_number() over (partition by user_id order by ts, event_id) - 1) as seq from events""")
 def _(t):
     return registry.timeline(t.events.select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"]).drop("ts")
@@ -203,8 +214,7 @@ TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     f"when contains(lower(replace(p_name, ' ', '')), '{k.lower()}') or contains('{k.lower()}', lower(replace(p_name, ' ', ''))) then '{k}'"
     for k in TYPES) + " end as match from part")
 def _(t):
-    known = sorted(r[0] for r in t.part.select("p_type").distinct().limit(advise.MAX_KNOWN + 1).collect())
-    return advise.match_names(t.part.select("p_partkey", "p_name"), "p_name", known).drop("kind")
+    return match.match_names(t.part.select("p_partkey", "p_name"), "p_name", t.part.select("p_type").distinct(), "p_type").drop("kind")
 
 
 @query("match_names_kinds", """select p_partkey, p_type as match, case when p_partkey % 3 = 0 then 'exact' when p_partkey % 3 = 1 then 'normalized'
@@ -212,8 +222,19 @@ def _(t):
 def _(t):
     free = F.expr("case when p_partkey % 3 = 0 then p_type when p_partkey % 3 = 1 then lower(concat(substring(p_type, 1, 2), ' ', substring(p_type, 3)))"
                   " else concat('the ', p_type, ' one') end")
-    known = sorted(r[0] for r in t.part.select("p_type").distinct().limit(advise.MAX_KNOWN + 1).collect())
-    return advise.match_names(t.part.select("p_partkey", free.alias("free")), "free", known).drop("free")
+    return match.match_names(t.part.select("p_partkey", free.alias("free")), "free", t.part.select("p_type"), "p_type").drop("free")
+
+
+@query("match_names_tables", """with k as (select lower(replace(c_name, ' ', '')) as key, min(c_name) as place, max(c_name) as name from customer group by 1),
+f as (select s_suppkey, s_name as free from supplier union all select 100000 + c_custkey, substr(c_name, 1 + (c_custkey % 14)::int, 3 + (c_custkey % 9)::int) from customer
+ union all select 200000 + c_custkey, 'the ' || upper(c_name) || '!' from customer)
+select s_suppkey, free, case when free in (select c_name from customer) then free else coalesce((select name from k where key = lower(replace(free, ' ', ''))),
+ (select arg_min(name, place) from k where contains(lower(replace(free, ' ', '')), key) or contains(key, lower(replace(free, ' ', ''))))) end as match from f""")
+def _(t):
+    free = (t.supplier.select("s_suppkey", F.col("s_name").alias("free"))
+            .unionAll(t.customer.select(F.expr("100000 + c_custkey"), F.expr("substr(c_name, 1 + c_custkey % 14, 3 + c_custkey % 9)")))
+            .unionAll(t.customer.select(F.expr("200000 + c_custkey"), F.expr("concat('the ', upper(c_name), '!')"))))
+    return match.match_names(free, "free", t.customer, "c_name").drop("kind")
 
 
 @query("chunk_documents", """select doc_id, (s // 450)::int as chunk, substr(text, s + 1, 500) as chunk_text from (
