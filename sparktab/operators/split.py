@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from sparktab.functions.aggregate import exact_quantiles, wide_agg
+from sparktab.functions.aggregate import select_ranks
 from sparktab.functions.columns import c, micros, percent_slot, row_hash, timestamp_columns
-from sparktab.operators.profile import class_sizes
+from sparktab.functions.lookup import lookup
+from sparktab.functions.order import null_safe_join
+from sparktab.functions.staging import stage
 
 
 def split_key(df: DataFrame, key: str | None) -> Column:
@@ -25,59 +28,55 @@ def split_random(df: DataFrame, key: str | None = None, test_size: float = 0.2,
 def split_stratified(df: DataFrame, target: str, key: str, test_size: float = 0.2) -> DataFrame:
     """Exactly round(test_size * n) rows of each class, by hash order; random if a class has one row.
 
-    The cut of each class is found by counting passes, so rows are neither
-    sorted nor moved, however large a class is.
+    The cut of each class is found by counting passes, so rows are neither sorted nor moved, however large a class is
+    and however many classes there are: sizes, cuts and lookups are tables, not lists on the driver.
     """
-    sizes = class_sizes(df, target)
-    if min(sizes.values(), default=0) < 2:
+    counts = class_balance_all(df, target)
+    least, total = counts.agg(F.min("n"), F.sum("n")).first()
+    if (least or 0) < 2:
         return split_random(df, key, test_size)
-    quota = {v: int(n * test_size + 0.5) for v, n in sizes.items()}
-    work = df.withColumn("_h", percent_slot(c(key), 1 << HASH_BITS))
-    cuts = group_cuts(work.select(c(target), "_h", _tie(df, key).alias("_k")), target, quota)
-    cuts = cuts.withColumnRenamed(target, "_g")  # one row per class
-    out = work.join(F.broadcast(cuts), c(target).eqNullSafe(F.col("_g")), "left")
-    test = (F.col("_h") < F.col("_hc")) | ((F.col("_h") == F.col("_hc")) & (_tie(df, key) < F.col("_kc")))
+    quota = counts.select("_g", F.floor(F.col("n") * test_size + 0.5).cast("bigint").alias("rank"), (F.col("n") / total).alias("share"))
+    work = df.select(c(target).alias("_g"), percent_slot(c(key), 1 << HASH_BITS).alias("_h"), _tie(df, key).alias("_tk"))
+    cuts = group_cuts(work, quota)
+    out = df.withColumns({"_h": percent_slot(c(key), 1 << HASH_BITS), "_tk": _tie(df, key)})
+    out = lookup(out, cuts, target, ["_hc", "_kc"], weight="share", right_key="_g")
+    test = (F.col("_h") < F.col("_hc")) | ((F.col("_h") == F.col("_hc")) & (F.col("_tk") < F.col("_kc")))
     return out.withColumn("split", F.when(test, "test").otherwise("train")).select(*[c(x) for x in df.columns], "split")
 
 
 HASH_BITS, DIGIT = 32, 16
 
 
-def group_cuts(df: DataFrame, group: str, ranks: dict) -> DataFrame:
-    """(group, _hc, _kc): hash and key of the row at the given rank of each group.
+def class_balance_all(df: DataFrame, target: str) -> DataFrame:
+    """(_g, n) of every class, null included; a written stage."""
+    return stage(df.groupBy(c(target).alias("_g")).agg(F.count(F.lit(1)).alias("n")), "classes")
 
-    Radix selection: each pass counts one digit of the hash per group, and the
-    digit that holds the rank is kept. All groups share a pass, whatever their sizes.
+
+def group_cuts(df: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(_g, _hc, _kc, share): hash and key of the row at the given rank of each group.
+
+    `df` has _g, _h (hash), _tk (key); `ranks` one row per group: _g, rank, share of all rows. Radix selection:
+    each pass counts one digit of the hash per group in all tasks together and keeps, per group, the digit that holds
+    the rank. What is known of the groups stays a table from pass to pass.
     """
-    spark, kind = df.sparkSession, df.schema[group].dataType
-    left = {g: (0, r) for g, r in ranks.items()}  # hash prefix, rank inside it
+    known = ranks.withColumn("_p", F.lit(0).cast("bigint"))
+    one = W.partitionBy("_g").orderBy("_d")
     for shift in range(HASH_BITS - DIGIT, -1, -DIGIT):
-        known = spark.createDataFrame([(g, p) for g, (p, _) in left.items()], T.StructType([
-            T.StructField("_g", kind), T.StructField("_p", T.LongType())]))
-        rows = df.join(F.broadcast(known), c(group).eqNullSafe(F.col("_g")) & (
-            F.shiftright("_h", shift + DIGIT) == F.col("_p")))
-        counts: dict = {}
-        for r in rows.groupBy("_g", F.shiftright("_h", shift).alias("d")).count().collect():
-            counts.setdefault(r["_g"], []).append((r["d"], r["count"]))
-        for g, (p, rank) in left.items():
-            for d, n in sorted(counts.get(g, [])):
-                if rank < n:
-                    left[g] = (d, rank)
-                    break
-                rank -= n
-            else:  # the rank is past the end: every row of the group is before it
-                left[g] = ((p + 1) << DIGIT, 0)
+        rows = lookup(df.select("_g", "_h"), known, "_g", ["_p"], weight="share")
+        digits = (rows.filter(F.shiftright("_h", shift + DIGIT) == F.col("_p")).groupBy("_g", F.shiftright("_h", shift).alias("_d"))
+                  .agg(F.count(F.lit(1)).alias("n")).withColumn("_end", F.sum("n").over(one)))
+        hit = null_safe_join(digits, known, ["_g"]).filter((F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("n")))
+        hit = hit.select("_g", F.col("_d").alias("_np"), (F.col("rank") - F.col("_end") + F.col("n")).alias("_nr"))
+        past = (F.col("_p") + 1) * (1 << DIGIT)  # the rank is past the end: every row of the group is before it
+        known = null_safe_join(known, hit, ["_g"]).select(
+            "_g", F.coalesce("_np", past).alias("_p"), F.coalesce("_nr", F.lit(0)).cast("bigint").alias("rank"), "share")
+        known = stage(known, "cuts")
     # rows that share a full hash are told apart by key: few distinct keys per hash value
-    open_ = {g: v for g, v in left.items() if v[1] > 0}
-    keys = {}
-    if open_:
-        known = spark.createDataFrame([(g, p) for g, (p, _) in open_.items()], T.StructType([
-            T.StructField("_g", kind), T.StructField("_p", T.LongType())]))
-        ties = df.join(F.broadcast(known), c(group).eqNullSafe(F.col("_g")) & (F.col("_h") == F.col("_p")))
-        for r in ties.groupBy("_g").agg(F.sort_array(F.collect_set("_k")).alias("ks")).collect():
-            keys[r["_g"]] = r["ks"][min(open_[r["_g"]][1], len(r["ks"]) - 1)]
-    return spark.createDataFrame([(g, p, keys.get(g, LOWEST)) for g, (p, _) in left.items()], T.StructType([
-        T.StructField(group, kind), T.StructField("_hc", T.LongType()), T.StructField("_kc", T.LongType())]))
+    ties = lookup(df.select("_g", "_h", "_tk"), known.filter("rank > 0"), "_g", ["_p"], weight="share").filter(F.col("_h") == F.col("_p"))
+    nth = (null_safe_join(ties.select("_g", "_tk").distinct().withColumn("_i", F.row_number().over(W.partitionBy("_g").orderBy("_tk"))), known, ["_g"])
+           .filter(F.col("_i") <= F.col("rank") + 1).groupBy("_g").agg(F.max("_tk").alias("_key")))
+    out = null_safe_join(known, nth, ["_g"]).select("_g", F.col("_p").alias("_hc"), F.coalesce("_key", F.lit(LOWEST)).alias("_kc"), "share")
+    return stage(out, "cuts")
 
 
 def _time_value(df: DataFrame, ts: str) -> Column:
@@ -97,37 +96,20 @@ def rank_cuts(df: DataFrame, first: Column, second: Column,
               asks: list[tuple[Column | None, int]]) -> list[tuple[int, int]]:
     """(first, second) of the row at a rank of the (first, second) order, per (condition, rank).
 
-    Order statistics by counting passes over integer columns (`first` below 2**53); all
-    cuts share the passes. The second column is split in halves, which are exact as
-    doubles, and is only looked at where the rank falls inside ties.
+    Order statistics by counting passes over whole-number columns; all cuts share the passes. The second column
+    is only looked at where the rank falls inside ties of the first.
     """
-    k = second.cast("bigint")
-    base = df.select(first.cast("bigint").alias("_l0"), F.shiftright(k, 32).alias("_l1"),
-                     k.bitwiseAND(F.lit(0xFFFFFFFF)).alias("_l2"),
+    base = df.select(first.cast("bigint").alias("_f"), second.cast("bigint").alias("_s"),
                      *[(F.lit(True) if cond is None else cond).alias(f"_c{i}") for i, (cond, _) in enumerate(asks)])
-    ok = {i: F.col(f"_c{i}") for i in range(len(asks))}
-    rank = {i: r for i, (_, r) in enumerate(asks)}
-    size = wide_agg(base, {i: F.count_if(x) for i, x in ok.items()})
-    cut = {i: [] for i in ok}
-    for level in ("_l0", "_l1", "_l2"):
-        live = [i for i in ok if level == "_l0" or rank[i] > 0]
-        if not live:
-            break
-        cols = base.select(*[F.when(ok[i], F.col(level)).alias(f"v{i}") for i in live])
-        found = exact_quantiles(cols, {f"v{i}": [rank[i] / max(size[i] - 1, 1)] for i in live})
-        for i in live:
-            cut[i].append(int(round(found[f"v{i}"][0])))
-        seen = wide_agg(base, {(i, s): F.count_if(ok[i] & f) for i in live for s, f in (
-            ("below", F.col(level) < cut[i][-1]), ("ties", F.col(level) == cut[i][-1]))})
-        for i in live:
-            ok[i] = ok[i] & (F.col(level) == cut[i][-1])
-            rank[i], size[i] = rank[i] - seen[i, "below"], seen[i, "ties"]
-    out = []
-    for i in range(len(asks)):
-        parts = cut[i][1:]
-        key = LOWEST if not parts else (parts[0] << 32) + (parts[1] if len(parts) > 1 else 0)
-        out.append((cut[i][0], key))
-    return out
+    shared = all(cond is None for cond, _ in asks)
+    names = ["all"] if shared else list(range(len(asks)))
+    wanted = {n: [r for i, (_, r) in enumerate(asks) if shared or i == n] for n in names}
+    found = select_ranks(base, {n: F.col("_f") if shared else F.when(F.col(f"_c{n}"), F.col("_f")) for n in names}, lambda n, _: wanted[n])
+    top = [found["all" if shared else i, r] for i, (_, r) in enumerate(asks)]
+    inside = {i: r - top[i].below for i, (_, r) in enumerate(asks) if r > top[i].below}
+    tied = {i: F.when(F.col(f"_c{i}") & (F.col("_f") == top[i].value), F.col("_s")) for i in inside}
+    keys = select_ranks(base, tied, lambda i, _: [inside[i]]) if inside else {}
+    return [(top[i].value, keys[i, inside[i]].value if i in inside else LOWEST) for i in range(len(asks))]
 
 
 def _before(first: Column, second: Column, cut: tuple[int, int]) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktab.functions import lookup as lk
-from sparktab.functions.aggregate import exact_quantiles, gram_matrix
+from sparktab.functions.aggregate import exact_quantiles, gram_matrix, select_ranks
 from sparktab.functions.order import (fill_series, prefix_sums, series_index, series_window, with_position)
 from sparktab.operators import split
 
@@ -19,7 +19,7 @@ def hot_series(spark, n=3000):
 
 
 @pytest.mark.parametrize("kind", ["normal", "hot", "heavy"])
-def test_quantiles_by_narrowing(spark, kind):
+def test_quantiles_by_radix_selection(spark, kind):
     rng = np.random.default_rng(1)
     x = rng.normal(size=20_000)
     if kind == "hot":
@@ -29,14 +29,50 @@ def test_quantiles_by_narrowing(spark, kind):
     probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.999, 1.0]
     df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
     want = np.quantile(x, probs)
-    for few in (40, 100_000):
-        assert np.allclose(exact_quantiles(df, {"x": probs}, few)["x"], want, rtol=1e-9)
+    assert np.allclose(exact_quantiles(df.repartition(5), {"x": probs})["x"], want, rtol=1e-9)
 
 
 def test_quantiles_of_nothing(spark):
     assert exact_quantiles(spark.createDataFrame([(None,)], "x double"), {"x": [0.5]})["x"] == [None]
 
 
+@pytest.mark.parametrize("kind", ["wide", "tiny", "longs"])
+def test_ranks_of_any_values(spark, kind):
+    rng = np.random.default_rng(9)
+    if kind == "longs":
+        x = np.unique(np.concatenate([rng.integers(-(1 << 63), (1 << 63) - 1, 400), np.arange(50), [(1 << 63) - 1, -(1 << 63)]])).tolist() + [7] * 30
+        df = spark.createDataFrame([(int(v),) for v in x] + [(None,)], "x bigint")
+    else:
+        x = [0.0, -0.0, float("inf"), float("-inf"), 5e-324, -5e-324, 1.7e308, -1.7e308, 2.0 ** -1022] + [1.0] * 300
+        x += (np.exp(rng.normal(size=400) * 150) * rng.choice([-1, 1], 400)).tolist() if kind == "wide" else (rng.integers(-99, 99, 300) * 5e-324).tolist()
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    want = sorted(x)
+    ranks = sorted({0, 1, 5, len(x) // 3, len(x) // 2, len(x) - 2, len(x) - 1})
+    got = select_ranks(df.repartition(4), {"x": F.col("x")}, lambda _, n: [*ranks, n, n + 5])
+    assert {r for _, r in got} == set(ranks)
+    for (_, r), p in got.items():
+        assert p.value == want[r] and p.below == sum(v < want[r] for v in x) and p.ties == sum(v == want[r] for v in x)
+
+
+def test_no_quantile_meets_one_task(spark):
+    """The picked parts alone reach the driver, and no aggregate without a key holds values."""
+    df = spark.range(100_000).select((F.col("id") % 977 * 1.5).alias("x"))
+    seen = []
+    plain = type(df).collect
+    try:
+        type(df).collect = lambda self: seen.append((self._jdf.queryExecution().executedPlan().toString(), out := plain(self))) or out
+        exact_quantiles(df, {"x": [0.25, 0.5]})
+    finally:
+        type(df).collect = plain
+    assert seen and all("percentile" not in p and len(rows) <= 4 for p, rows in seen)
+
+
+def test_stratified_split_of_many_classes(spark):
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 12_000).alias("y"))
+    got = split.split_stratified(df, "y", "id", 0.5).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect()
+    assert len(got) > 10_000 and all(r["t"] == int(r["n"] * 0.5 + 0.5) for r in got)
+
+
 def test_gram(spark):
     x = np.random.default_rng(2).normal(size=(500, 4))
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double")
