@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktab.functions.aggregate import exact_quantiles, wide_agg
+from sparktab.functions.aggregate import exact_quantiles, gram_matrix, wide_agg
 from sparktab.functions.columns import c, dbl, spread
 from sparktab.functions.lookup import lookup
 from sparktab.functions.staging import stage, stage_path
@@ -30,12 +34,70 @@ def feature_importance(model: Model | list[Model], features: list[str], spark, t
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def shap_linear(df: DataFrame, key: str, coefs: dict[str, float], means: dict[str, float] | None = None) -> DataFrame:
-    """coef * (x - mean) for every row and feature; the mean is taken over `df` unless given."""
-    means = means or wide_agg(df, {f: F.avg(dbl(f)) for f in coefs})
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), dbl(f).alias("value"),
-                               (F.lit(w) * (dbl(f) - F.lit(means[f]))).alias("contribution"))
-                      for f, w in coefs.items()])
+ALL_SUBSETS, ORDERS = 12, 1000  # features up to which all feature sets are averaged; seeded orders beyond
+
+
+def conditional_map(coefs: list[float], cov: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Matrix M with contributions = M (x - mean) of a linear model whose features vary together.
+
+    The value of a set of features is the model's mean given them, which is linear in them: their own coefficients plus the
+    others' through the regression on the set. Averaging what a feature adds over all orders keeps it linear, so one
+    matrix serves every row. All sets are averaged exactly up to ALL_SUBSETS features, else ORDERS seeded orders.
+    """
+    beta, p = np.array(coefs, dtype=float), len(coefs)
+
+    def value(held: tuple[int, ...]) -> np.ndarray:
+        row, at = np.zeros(p), list(held)
+        rest = [i for i in range(p) if i not in held]
+        if at:
+            row[at] = beta[at] + np.linalg.pinv(cov[np.ix_(at, at)]) @ cov[np.ix_(at, rest)] @ beta[rest]
+        return row
+
+    out = np.zeros((p, p))
+    if p <= ALL_SUBSETS:
+        values = {s: value(s) for n in range(p + 1) for s in itertools.combinations(range(p), n)}
+        for s, v in values.items():
+            for i in range(p):
+                if i not in s:
+                    share = math.factorial(len(s)) * math.factorial(p - len(s) - 1) / math.factorial(p)
+                    out[i] += share * (values[tuple(sorted((*s, i)))] - v)
+        return out
+    rng = random.Random(seed)
+    for _ in range(ORDERS):
+        order, before = rng.sample(range(p), p), np.zeros(p)
+        for n, i in enumerate(order):
+            now = value(tuple(sorted(order[:n + 1])))
+            out[i] += (now - before) / ORDERS
+            before = now
+    return out
+
+
+def shap_linear(df: DataFrame, key: str, coefs: dict[str, float], means: dict[str, float] | None = None,
+                together: bool = False) -> DataFrame:
+    """Contributions of every row and feature to a linear model: (key, feature, value, contribution).
+
+    Features on their own: coef * (x - mean), the mean over `df` unless given. With `together`, features that vary together share
+    what they tell of each other (see conditional_map); means and covariances come from one pass over the rows of `df` without gaps.
+    """
+    names = list(coefs)
+    if together:
+        known = df.select(*[dbl(f).alias(f) for f in names]).dropna()
+        sums = gram_matrix(known.select(F.lit(1.0).alias("_one"), *[c(f) for f in names]))
+        n = max(sums[0, 0], 1.0)
+        mean = sums[0, 1:] / n
+        cov = sums[1:, 1:] / n - np.outer(mean, mean)
+        means = dict(zip(names, map(float, mean))) if means is None else means
+        weight = conditional_map([coefs[f] for f in names], cov)
+    else:
+        means = means or wide_agg(df, {f: F.avg(dbl(f)) for f in names})
+        weight = np.diag([float(coefs[f]) for f in names])
+    off = {f: dbl(f) - F.lit(means[f]) for f in names}
+
+    def told(i: int) -> Column:
+        parts = [F.lit(float(w)) * off[g] for g, w in zip(names, weight[i]) if w or g == names[i]]
+        return reduce(add, parts)
+
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), dbl(f).alias("value"), told(i).alias("contribution")) for i, f in enumerate(names)])
     return df.select(c(key), F.inline(cells))
 
 
@@ -43,8 +105,30 @@ def linear_base(coefs: dict[str, float], intercept: float, means: dict[str, floa
     return intercept + sum(w * means[f] for f, w in coefs.items())
 
 
-def leaf_paths(model: Model, spark, value_of_class: int = 1) -> list[tuple[float, list[tuple]]]:
-    """(leaf value, [(feature, low, high, cover share)]) of all trees, from the model's saved node table."""
+@dataclass
+class Tree:
+    """Node arrays of one tree; node 0 is the root, left = -1 marks a leaf.
+
+    A row goes left if its feature is at most `cut`, or one of `left_set` (categories) where that is given.
+    """
+    left: list[int]
+    right: list[int]
+    feature: list[int]
+    cut: list[float]
+    left_set: list[list[float] | None]
+    value: list[float]      # times the tree's weight
+    cover: list[float]      # training rows
+
+    def goes_left(self, node: int, x: np.ndarray) -> np.ndarray:
+        of = x[:, self.feature[node]]
+        return of <= self.cut[node] if self.left_set[node] is None else np.isin(of, self.left_set[node])
+
+    def share(self, node: int, child: int) -> float:
+        return self.cover[child] / self.cover[node] if self.cover[node] else 0.0
+
+
+def model_trees(model: Model, spark, value_of_class: int = 1) -> list[Tree]:
+    """Node arrays of all trees of a tree model, from its saved node table."""
     path = stage_path(spark, "tree")
     model.write().save(path)
     nodes = spark.read.parquet(path + "/data")
@@ -54,92 +138,112 @@ def leaf_paths(model: Model, spark, value_of_class: int = 1) -> list[tuple[float
     forest = type(model).__name__.startswith("RandomForest")
     boosted = type(model).__name__.startswith("GBT")
     classes = not boosted and type(model).__name__.endswith("ClassificationModel")
-    scale = 1.0 / len(weights) if forest else 1.0
-    trees: dict[int, dict] = {}
+    found: dict[int, dict] = {}
     for r in nodes.select("treeID", "nodeData.*").collect():  # nodes of one model, not rows of data
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    leaves = []
-    for t, nodes_of in trees.items():
-        stack = [(0, {})]
-        while stack:
-            at, held = stack.pop()
-            n = nodes_of[at]
-            if n["leftChild"] < 0:
-                stats = n["impurityStats"]
-                v = stats[value_of_class] / (sum(stats) or 1.0) if classes else n["prediction"]
-                leaves.append((v * weights[t] * scale if not forest else v * scale,
-                               [(f, lo, hi, z) for f, (lo, hi, z) in held.items()]))
-                continue
-            f, cut = n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"][0]
-            for child, low in ((n["leftChild"], False), (n["rightChild"], True)):
-                lo, hi, z = held.get(f, (-np.inf, np.inf, 1.0))
-                share = nodes_of[child]["rawCount"] / max(n["rawCount"], 1)
-                stack.append((child, {**held, f: (max(lo, cut) if low else lo, hi if low else min(hi, cut), z * share)}))
-    return leaves
-
-
-MAX_TABLE = 12  # features on a path up to which all in/out patterns are tabulated
-
-
-def _leaf_weights(inside: np.ndarray, share: list[float], v: float) -> np.ndarray:
-    """Shapley values of one leaf for rows of in/out flags (path-dependent, Lundberg et al. 2020)."""
-    d = len(share)
-    weight = [1.0 / d]
-    for s in range(1, d):
-        weight.append(weight[-1] * s / (d - s))
-    out = np.zeros((len(inside), d))
-    for j in range(d):
-        poly = np.zeros((len(inside), d))
-        poly[:, 0] = 1.0
-        for k in range(d):
-            if k != j:
-                shifted = np.concatenate([np.zeros((len(inside), 1)), poly[:, :-1]], 1)
-                poly = poly * share[k] + shifted * inside[:, [k]]
-        out[:, j] = v * (inside[:, j] - share[j]) * (poly @ np.array(weight))
+        found.setdefault(r["treeID"], {})[r["id"]] = r
+    out = []
+    for t, held in sorted(found.items()):
+        scale = 1.0 / len(weights) if forest else weights[t]
+        rows = [held[i] for i in range(len(held))]
+        split = [r["split"] for r in rows]
+        inner = [r["leftChild"] >= 0 for r in rows]
+        classed = [s["numCategories"] != -1 for s in split]
+        out.append(Tree(
+            [r["leftChild"] for r in rows], [r["rightChild"] for r in rows], [s["featureIndex"] for s in split],
+            [s["leftCategoriesOrThreshold"][0] if i and not k else math.nan for s, i, k in zip(split, inner, classed)],
+            [list(s["leftCategoriesOrThreshold"]) if i and k else None for s, i, k in zip(split, inner, classed)],
+            [scale * (r["impurityStats"][value_of_class] / (sum(r["impurityStats"]) or 1.0) if classes else r["prediction"]) for r in rows],
+            [float(r["rawCount"]) for r in rows]))
     return out
 
 
-def leaf_tables(leaves: list) -> list:
-    """Per leaf its path and, for short paths, the values of every in/out pattern."""
-    out = []
-    for v, path in leaves:
-        d, table = len(path), None
-        if 0 < d <= MAX_TABLE:
-            bits = ((np.arange(2 ** d)[:, None] >> np.arange(d)) & 1).astype(float)
-            table = _leaf_weights(bits, [p[3] for p in path], v)
-        out.append((v, path, table))
-    return out
+def _with(poly: list[np.ndarray], zero: float, one: np.ndarray) -> list[np.ndarray]:
+    """Coefficients after a factor (zero + one t) is taken in: by how many features of the path a row has kept."""
+    out = [poly[0] * zero]
+    out += [poly[i] * zero + poly[i - 1] * one for i in range(1, len(poly))]
+    return [*out, poly[-1] * one]
 
 
-def _leaf_contributions(x: np.ndarray, tables: list) -> np.ndarray:
-    out = np.zeros_like(x)
-    for v, path, table in tables:
-        if not path:
-            continue
-        flags = [(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi, _ in path]
-        if table is None:
-            part = _leaf_weights(np.stack(flags, 1).astype(float), [p[3] for p in path], v)
-        else:
-            part = table[sum(m.astype("int32") << i for i, m in enumerate(flags))]
-        for j, (f, *_) in enumerate(path):
-            out[:, f] += part[:, j]
+def _without(poly: list[np.ndarray], zero: float, one: np.ndarray) -> list[np.ndarray]:
+    """Coefficients after the factor is taken out again."""
+    m = len(poly) - 1
+    out = [poly[0]] * m
+    above = poly[m]
+    for i in range(m - 1, -1, -1):  # divided by (zero + t) from the top where one is 1, by zero elsewhere
+        out[i] = np.where(one, above, poly[i] / zero if zero else 0.0)
+        above = poly[i] - out[i] * zero
     return out
 
 
-def tree_base(leaves: list) -> float:
-    return float(sum(v * np.prod([p[3] for p in path]) if path else v for v, path in leaves))
+def _leaf_sum(poly: list[np.ndarray], zero: float, one: np.ndarray, weight: list[float]) -> np.ndarray:
+    """Sum of weight times the coefficients without one factor, without keeping them."""
+    m = len(poly) - 1
+    total, above = 0.0, poly[m]
+    plain = sum(w * p for w, p in zip(weight, poly[:m])) / zero if zero else np.zeros_like(above)
+    for i in range(m - 1, -1, -1):
+        total = total + weight[i] * above
+        above = poly[i] - above * zero
+    return np.where(one, total, plain)
+
 
+def path_contributions(x: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    """Shapley values of each row and feature, what a row doesn't know being averaged by the trees' covers.
 
-def shap_tree(df: DataFrame, key: str, features: list[str], leaves: list) -> DataFrame:
+    A walk over the nodes carries, for each feature on the way, the share of covers and whether a row agrees, and the polynomial of
+    all of them: going down takes a factor in, a feature met again has its old one taken out first. A leaf's value is dealt by what is left
+    without each feature's factor. The work is rows x leaves x depth^2, the memory rows x depth, whatever the depth.
+    """
+    phi = np.zeros_like(x)
+    rows = len(x)
+    weights: dict[int, list[float]] = {}
+    for tree in trees:
+        todo = [(0, {}, [np.ones(rows)])]
+        while todo:
+            node, held, poly = todo.pop()
+            if tree.left[node] < 0:
+                d = len(held)
+                if not d:
+                    continue
+                weight = weights.setdefault(d, [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)])
+                for f, (zero, one) in held.items():
+                    phi[:, f] += tree.value[node] * (one - zero) * _leaf_sum(poly, zero, one, weight)
+                continue
+            f, goes = tree.feature[node], tree.goes_left(node, x)
+            zero, one = held.get(f, (1.0, None))
+            base = poly if one is None else _without(poly, zero, one)
+            for child, follows in ((tree.left[node], goes), (tree.right[node], ~goes)):
+                share = zero * tree.share(node, child)
+                now = follows if one is None else one & follows
+                if not share and not now.any():
+                    continue  # no training row went there and none of these does
+                todo.append((child, {**held, f: (share, now)}, _with(base, share, now)))
+    return phi
+
+
+def tree_base(trees: list[Tree]) -> float:
+    """Mean output by covers."""
+    total = 0.0
+    for tree in trees:
+        todo = [(0, 1.0)]
+        while todo:
+            node, share = todo.pop()
+            if tree.left[node] < 0:
+                total += share * tree.value[node]
+            else:
+                todo += [(child, share * tree.share(node, child)) for child in (tree.left[node], tree.right[node])]
+    return float(total)
+
+
+def shap_tree(df: DataFrame, key: str, features: list[str], trees: list[Tree]) -> DataFrame:
     """Contributions of all rows to a tree model's output (class-1 share for classifiers)."""
     src = df.select(c(key), *[c(f).cast("double").alias(f) for f in features])
-    shared = df.sparkSession.sparkContext.broadcast(leaf_tables(leaves))
+    shared = df.sparkSession.sparkContext.broadcast(trees)  # as large as the model
     kind = T.StructType([src.schema[key], T.StructField("phi", T.ArrayType(T.DoubleType())),
                          *[T.StructField(f, T.DoubleType()) for f in features]])
 
     def run(batches):
         for rows in batches:
-            phi = _leaf_contributions(rows[features].to_numpy(dtype="float64"), shared.value)
+            phi = path_contributions(rows[features].to_numpy(dtype="float64"), shared.value)
             yield rows.assign(phi=list(phi))[[key, "phi", *features]]
 
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), c(f).alias("value"), F.col("phi")[i].alias("contribution"))

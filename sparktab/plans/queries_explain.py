@@ -84,20 +84,65 @@ def additivity(data, phi, base, out):
 @query("shap_tree", "select count(*) as n, true as additive from (select distinct * from lineitem)")
 def _(t):
     data, model = fitted(t, "Random Forest", {"n_estimators": 5, "max_depth": 5})
-    leaves = explain.leaf_paths(model, t.spark)
+    trees = explain.model_trees(model, t.spark)
     data = data.dropDuplicates(["row_id"])
-    phi = explain.shap_tree(data, "row_id", LI, leaves)
-    return additivity(model.transform(data), phi, explain.tree_base(leaves), F.col("prediction"))
+    phi = explain.shap_tree(data, "row_id", LI, trees)
+    return additivity(model.transform(data), phi, explain.tree_base(trees), F.col("prediction"))
 
 
 @query("shap_tree_classifier", "select count(*) as n, true as additive from embeddings")
 def _(t):
     data = models.assemble(vectors(t), VEC, "odd", "vec_id")
     model = models.make_estimator("Random Forest", "classification", 0, VEC, 2, {"n_estimators": 5, "max_depth": 4}).fit(data)
-    leaves = explain.leaf_paths(model, t.spark)
+    trees = explain.model_trees(model, t.spark)
     pred = model.transform(data)
-    phi = explain.shap_tree(data, "row_id", VEC, leaves)
-    return additivity(pred, phi, explain.tree_base(leaves), explain.output_column(pred, True))
+    phi = explain.shap_tree(data, "row_id", VEC, trees)
+    return additivity(pred, phi, explain.tree_base(trees), explain.output_column(pred, True))
+
+
+@query("shap_linear_together", """with m as (select avg(p_size) as ms, avg(p_retailprice) as mp, var_pop(p_size) as vs, var_pop(p_retailprice) as vp,
+ covar_pop(p_size, p_retailprice) as v from part)
+select p_partkey, 'p_size' as feature, p_size::double as value, round((2 * 2.5 + -0.75 * v / vs) / 2 * (p_size - ms) - 2.5 * v / vp / 2 * (p_retailprice - mp), 6) + 0.0 as contribution
+ from part, m union all select p_partkey, 'p_retailprice', p_retailprice, round((2 * -0.75 + 2.5 * v / vp) / 2 * (p_retailprice - mp) + 0.75 * v / vs / 2 * (p_size - ms), 6) + 0.0
+ from part, m""")
+def _(t):
+    return rounds(explain.shap_linear(t.part, "p_partkey", PC, together=True), "contribution", digits=6)
+
+
+def grown(t):
+    """A tree of depth 2 with given cuts; covers and values from the rows."""
+    side, low = F.col("l_quantity") <= 25, F.col("l_quantity") > 25
+    leaf = (F.when(side & (F.col("l_discount") <= 0.05), 3).when(side, 4).when(low & (F.col("l_tax") <= 0.04), 5).otherwise(6))
+    at = {r["leaf"]: r for r in t.lineitem.groupBy(leaf.alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("v")).collect()}
+    n = [float(at[i]["n"]) for i in (3, 4, 5, 6)]
+    return [explain.Tree([1, 3, 5, -1, -1, -1, -1], [2, 4, 6, -1, -1, -1, -1], [0, 1, 2, -1, -1, -1, -1], [25.0, 0.05, 0.04, 0, 0, 0, 0], [None] * 7,
+                         [0.0, 0.0, 0.0, *(at[i]["v"] for i in (3, 4, 5, 6))], [sum(n), n[0] + n[1], n[2] + n[3], *n])]
+
+
+TREE = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+@query("shap_tree_parts", f"""with s as (select distinct {TREE} as key, l_quantity as q, l_discount as d, l_tax as x from lineitem),
+n as (select avg((l_quantity <= 25)::int) as p, count(*) filter (where l_quantity <= 25 and l_discount <= 0.05) / count(*) filter (where l_quantity <= 25)::double as a,
+ count(*) filter (where l_quantity > 25 and l_tax <= 0.04) / count(*) filter (where l_quantity > 25)::double as b,
+ avg(l_extendedprice) filter (where l_quantity <= 25 and l_discount <= 0.05) as v3, avg(l_extendedprice) filter (where l_quantity <= 25 and l_discount > 0.05) as v4,
+ avg(l_extendedprice) filter (where l_quantity > 25 and l_tax <= 0.04) as v5, avg(l_extendedprice) filter (where l_quantity > 25 and l_tax > 0.04) as v6 from lineitem),
+f as (select *, (q <= 25)::int as o, (d <= 0.05)::int as e, (x <= 0.04)::int as g from s, n)
+select key, 'l_quantity' as feature, q as value, round((o - p) * (v3 * (a + e) + v4 * (1 - a + 1 - e)) / 2 - (o - p) * (v5 * (b + g) + v6 * (1 - b + 1 - g)) / 2, 4) + 0.0 as contribution from f
+union all select key, 'l_discount', d, round((e - a) * (v3 - v4) * (p + o) / 2, 4) + 0.0 from f
+union all select key, 'l_tax', x, round((g - b) * (v5 - v6) * (1 - p + 1 - o) / 2, 4) + 0.0 from f""")
+def _(t):
+    rows = t.lineitem.select(F.expr(TREE).alias("key"), "l_quantity", "l_discount", "l_tax").distinct()
+    return rounds(explain.shap_tree(rows, "key", ["l_quantity", "l_discount", "l_tax"], grown(t)), "contribution", digits=4)
+
+
+@query("shap_forest", "select count(*) as n, true as additive from supplier")
+def _(t):
+    """A forest of 100 trees without a limit on their depth."""
+    data = models.assemble(t.supplier, ["s_suppkey", "s_nationkey"], "s_acctbal", "s_suppkey")
+    model = models.make_estimator("Random Forest", "regression", 0, ["s_suppkey", "s_nationkey"], 2, {"n_estimators": 100, "max_depth": 30}).fit(data)
+    trees = explain.model_trees(model, t.spark)
+    return additivity(model.transform(data), explain.shap_tree(data, "row_id", ["s_suppkey", "s_nationkey"], trees), explain.tree_base(trees), F.col("prediction"))
 
 
 @query("shap_kernel")

@@ -1,6 +1,9 @@
 """Models against closed forms and naive predictions; explanations add up; saved models agree."""
+import math
+
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sparktab.functions.staging import stage_path
@@ -67,30 +70,106 @@ def test_failures_become_rows(data, spark):
 def test_tree_contributions_add_up(data, spark, name, depth):
     tr = models.assemble(data[2], F3, "y", "id")
     m = models.make_estimator(name, "regression", 600, F3, params={"n_estimators": 4, "max_depth": depth}).fit(tr)
-    leaves = explain.leaf_paths(m, spark)
-    s = explain.shap_tree(tr, "row_id", F3, leaves).groupBy("row_id").agg(F.sum("contribution").alias("s"))
-    gap = m.transform(tr).join(s, "row_id").agg(F.max(F.abs(F.col("prediction") - F.col("s") - explain.tree_base(leaves)))).first()[0]
+    trees = explain.model_trees(m, spark)
+    s = explain.shap_tree(tr, "row_id", F3, trees).groupBy("row_id").agg(F.sum("contribution").alias("s"))
+    gap = m.transform(tr).join(s, "row_id").agg(F.max(F.abs(F.col("prediction") - F.col("s") - explain.tree_base(trees)))).first()[0]
     assert gap < 1e-8
 
 
+def random_tree(rng, depth, features, empty=0.1):
+    """Random node arrays: features come again, some splits are sets of categories, some nodes have no cover."""
+    tree = explain.Tree([], [], [], [], [], [], [])
+
+    def grow(d, cover):
+        at = len(tree.left)
+        for x, v in ((tree.left, -1), (tree.right, -1), (tree.feature, -1), (tree.cut, 0.0), (tree.left_set, None), (tree.value, float(rng.normal())), (tree.cover, cover)):
+            x.append(v)
+        if d and rng.random() < 0.9:
+            tree.feature[at] = int(rng.integers(features))
+            tree.cut[at] = float(rng.integers(0, 5))
+            tree.left_set[at] = sorted(set(map(float, rng.integers(0, 5, 2)))) if rng.random() < 0.3 else None
+            part = 0.0 if rng.random() < empty else float(rng.integers(0, int(cover) + 1))
+            tree.left[at] = grow(d - 1, part)
+            tree.right[at] = grow(d - 1, cover - part)
+        return at
+
+    grow(depth, 64.0)
+    return tree
+
+
 def test_tree_contributions_by_definition(spark):
     """Shapley values from the value function over all feature subsets."""
+    from itertools import combinations
+    rng = np.random.default_rng(11)
+    for depth, features in ((0, 2), (1, 1), (2, 2), (5, 3), (8, 4)):
+        trees = [random_tree(rng, depth, features) for _ in range(3)]
+        x = rng.integers(0, 5, (40, features)).astype(float)
+
+        def value(row, known, tree, node=0):
+            if tree.left[node] < 0:
+                return tree.value[node]
+            a, b = tree.left[node], tree.right[node]
+            if tree.feature[node] in known:
+                return value(row, known, tree, a if tree.goes_left(node, row[None])[0] else b)
+            return tree.share(node, a) * value(row, known, tree, a) + tree.share(node, b) * value(row, known, tree, b)
+
+        want = np.zeros_like(x)
+        for r, row in enumerate(x):
+            for i in range(features):
+                rest = [f for f in range(features) if f != i]
+                for n in range(features):
+                    for s in combinations(rest, n):
+                        w = math.factorial(n) * math.factorial(features - n - 1) / math.factorial(features)
+                        want[r, i] += w * sum(value(row, {*s, i}, t) - value(row, set(s), t) for t in trees)
+        assert np.allclose(explain.path_contributions(x, trees), want, atol=1e-9)
+        assert np.isclose(explain.tree_base(trees), sum(value(x[0], set(), t) for t in trees))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double, d double")
+    got = {(r["id"], r["feature"]): r["contribution"] for r in explain.shap_tree(df.repartition(3), "id", list("abcd"), trees).collect()}
+    assert np.allclose([[got[i, f] for f in "abcd"] for i in range(len(x))], want)
+
+
+def test_full_forests_and_categories_add_up(data, spark):
+    from pyspark.ml.feature import VectorIndexer
+    from pyspark.ml.regression import RandomForestRegressor
+    tr = models.assemble(data[2].withColumn("cat", (F.hash("id") % 7 + 7).cast("double")), [*F3, "cat"], "y", "id")
+    tr = VectorIndexer(inputCol="features", outputCol="indexed", maxCategories=20).fit(tr).transform(tr)
+    m = RandomForestRegressor(featuresCol="indexed", labelCol="label", numTrees=100, maxDepth=30, seed=1).fit(tr)
+    rows = tr.select("row_id", "label", "indexed", *[vector_to_array("indexed")[i].alias(f) for i, f in enumerate([*F3, "cat"])])
+    trees = explain.model_trees(m, spark)
+    assert any(s is not None for t in trees for s in t.left_set)
+    total = explain.shap_tree(rows, "row_id", [*F3, "cat"], trees).groupBy("row_id").agg(F.sum("contribution").alias("s"))
+    gap = m.transform(rows).join(total, "row_id").agg(F.max(F.abs(F.col("prediction") - F.col("s") - explain.tree_base(trees)))).first()[0]
+    assert gap < 1e-8
+
+
+def test_linear_contributions_of_features_that_vary_together(spark):
+    """The average over all orders of what a feature adds to the mean given the features before it."""
     from itertools import permutations
-    leaves = [(1.0, [(0, -np.inf, 0.0, 0.4)]), (5.0, [(0, 0.0, np.inf, 0.6), (1, -np.inf, 2.0, 0.5)]),
-              (9.0, [(0, 0.0, np.inf, 0.6), (1, 2.0, np.inf, 0.5)])]
-    x = np.array([1.0, 3.0])
-
-    def value(known):
-        return sum(v * np.prod([((x[f] > lo) & (x[f] <= hi)) if f in known else z for f, lo, hi, z in p]) for v, p in leaves)
-    want = np.zeros(2)
-    for order in permutations(range(2)):
-        seen = set()
-        for f in order:
-            want[f] += (value(seen | {f}) - value(seen)) / 2
-            seen.add(f)
-    df = spark.createDataFrame([(0, 1.0, 3.0)], "id int, a double, b double")
-    got = {r["feature"]: r["contribution"] for r in explain.shap_tree(df, "id", ["a", "b"], leaves).collect()}
-    assert np.allclose([got["a"], got["b"]], want)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 3)) @ np.array([[1, 0.8, 0], [0, 1, 0.3], [0, 0, 1]])
+    x = np.column_stack([x, x[:, 0]])  # and one feature twice
+    beta = [2.0, -1.0, 0.5, 3.0]
+    mean, cov = x.mean(axis=0), np.cov(x.T, bias=True)
+
+    def value(row, held):
+        held, rest = list(held), [i for i in range(4) if i not in held]
+        guess = mean.copy()
+        if held:
+            guess[held] = row[held]
+            guess[rest] = mean[rest] + cov[np.ix_(rest, held)] @ np.linalg.pinv(cov[np.ix_(held, held)]) @ (row[held] - mean[held])
+        return float(np.dot(beta, guess))
+
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(999, None, 1.0, 1.0, 1.0)], "id int, a double, b double, c double, d double")
+    got = {(r["id"], r["feature"]): r["contribution"] for r in explain.shap_linear(df, "id", dict(zip("abcd", beta)), together=True).collect()}
+    for i in (0, 7, 100):
+        want = np.zeros(4)
+        for order in permutations(range(4)):
+            for n, f in enumerate(order):
+                want[f] += (value(x[i], order[:n + 1]) - value(x[i], order[:n])) / 24
+        assert np.allclose([got[i, f] for f in "abcd"], want, atol=1e-8)
+    assert got[999, "a"] is None
+    wide = explain.conditional_map([1.0] * 14, np.eye(14))
+    assert np.allclose(wide, np.eye(14))  # features apart: the plain form, by orders too
 
 
 def test_kernel_contributions_of_a_linear_model(data):
