@@ -31,15 +31,15 @@ def split_stratified(df: DataFrame, target: str, key: str, test_size: float = 0.
     The cut of each class is found by counting passes, so rows are neither sorted nor moved, however large a class is
     and however many classes there are: sizes, cuts and lookups are tables, not lists on the driver.
     """
-    counts = class_balance_all(df, target)
+    counts, few = class_balance_all(df, target)
     least, total = counts.agg(F.min("n"), F.sum("n")).first()
     if (least or 0) < 2:
         return split_random(df, key, test_size)
     quota = counts.select("_g", F.floor(F.col("n") * test_size + 0.5).cast("bigint").alias("rank"), (F.col("n") / total).alias("share"))
     work = df.select(c(target).alias("_g"), percent_slot(c(key), 1 << HASH_BITS).alias("_h"), _tie(df, key).alias("_tk"))
-    cuts = group_cuts(work, quota)
+    cuts = group_cuts(work, quota, few)
     out = df.withColumns({"_h": percent_slot(c(key), 1 << HASH_BITS), "_tk": _tie(df, key)})
-    out = lookup(out, cuts, target, ["_hc", "_kc"], weight="share", right_key="_g")
+    out = lookup(out, cuts, target, ["_hc", "_kc"], weight="share", rows=0 if few else None, right_key="_g")
     test = (F.col("_h") < F.col("_hc")) | ((F.col("_h") == F.col("_hc")) & (F.col("_tk") < F.col("_kc")))
     return out.withColumn("split", F.when(test, "test").otherwise("train")).select(*[c(x) for x in df.columns], "split")
 
@@ -47,12 +47,24 @@ def split_stratified(df: DataFrame, target: str, key: str, test_size: float = 0.
 HASH_BITS, DIGIT = 32, 16
 
 
-def class_balance_all(df: DataFrame, target: str) -> DataFrame:
-    """(_g, n) of every class, null included; a written stage."""
-    return stage(df.groupBy(c(target).alias("_g")).agg(F.count(F.lit(1)).alias("n")), "classes")
+FEW_CLASSES = 10_000
 
 
-def group_cuts(df: DataFrame, ranks: DataFrame) -> DataFrame:
+def settled(per_class: DataFrame, few: bool | None = None) -> tuple[DataFrame, bool]:
+    """A table of one row per class as fixed values: in the plan while there are few classes, else a written stage; which of them."""
+    if few is not False:
+        rows = per_class.limit(FEW_CLASSES + 1).collect()
+        if len(rows) <= FEW_CLASSES:
+            return per_class.sparkSession.createDataFrame(rows, per_class.schema), True
+    return stage(per_class, "classes"), False
+
+
+def class_balance_all(df: DataFrame, target: str) -> tuple[DataFrame, bool]:
+    """(_g, n) of every class, null included, and whether they are few."""
+    return settled(df.groupBy(c(target).alias("_g")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def group_cuts(df: DataFrame, ranks: DataFrame, few: bool | None = None) -> DataFrame:
     """(_g, _hc, _kc, share): hash and key of the row at the given rank of each group.
 
     `df` has _g, _h (hash), _tk (key); `ranks` one row per group: _g, rank, share of all rows. Radix selection:
@@ -62,7 +74,7 @@ def group_cuts(df: DataFrame, ranks: DataFrame) -> DataFrame:
     known = ranks.withColumn("_p", F.lit(0).cast("bigint"))
     one = W.partitionBy("_g").orderBy("_d")
     for shift in range(HASH_BITS - DIGIT, -1, -DIGIT):
-        rows = lookup(df.select("_g", "_h"), known, "_g", ["_p"], weight="share")
+        rows = lookup(df.select("_g", "_h"), known, "_g", ["_p"], weight="share", rows=0 if few else None)
         digits = (rows.filter(F.shiftright("_h", shift + DIGIT) == F.col("_p")).groupBy("_g", F.shiftright("_h", shift).alias("_d"))
                   .agg(F.count(F.lit(1)).alias("n")).withColumn("_end", F.sum("n").over(one)))
         hit = null_safe_join(digits, known, ["_g"]).filter((F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("n")))
@@ -70,13 +82,13 @@ def group_cuts(df: DataFrame, ranks: DataFrame) -> DataFrame:
         past = (F.col("_p") + 1) * (1 << DIGIT)  # the rank is past the end: every row of the group is before it
         known = null_safe_join(known, hit, ["_g"]).select(
             "_g", F.coalesce("_np", past).alias("_p"), F.coalesce("_nr", F.lit(0)).cast("bigint").alias("rank"), "share")
-        known = stage(known, "cuts")
+        known, few = settled(known, few)
     # rows that share a full hash are told apart by key: few distinct keys per hash value
-    ties = lookup(df.select("_g", "_h", "_tk"), known.filter("rank > 0"), "_g", ["_p"], weight="share").filter(F.col("_h") == F.col("_p"))
+    ties = lookup(df.select("_g", "_h", "_tk"), known.filter("rank > 0"), "_g", ["_p"], weight="share", rows=0 if few else None).filter(F.col("_h") == F.col("_p"))
     nth = (null_safe_join(ties.select("_g", "_tk").distinct().withColumn("_i", F.row_number().over(W.partitionBy("_g").orderBy("_tk"))), known, ["_g"])
            .filter(F.col("_i") <= F.col("rank") + 1).groupBy("_g").agg(F.max("_tk").alias("_key")))
     out = null_safe_join(known, nth, ["_g"]).select("_g", F.col("_p").alias("_hc"), F.coalesce("_key", F.lit(LOWEST)).alias("_kc"), "share")
-    return stage(out, "cuts")
+    return settled(out, few)[0]
 
 
 def _time_value(df: DataFrame, ts: str) -> Column:
