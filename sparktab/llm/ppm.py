@@ -139,11 +139,12 @@ class Level:
     """Tables of one order: seen pairs with the log of 2 count - 1, contexts with their escapes."""
     pairs: np.ndarray      # context and byte, sorted
     log_count: np.ndarray
+    plain: np.ndarray      # log chance of a pair whose context is the first one met
     contexts: np.ndarray   # sorted
-    log_all: np.ndarray    # log(2n)
     escape: np.ndarray     # log of the escape chance when nothing is excluded
     log_rest: np.ndarray   # log(2n') of the next shorter context without this one's bytes
     escape_rest: np.ndarray  # log of the escape chance there
+    link: np.ndarray       # index of the next shorter context
 
 
 class Model:
@@ -162,7 +163,7 @@ class Model:
         for k, (pairs, n) in enumerate(tables):
             contexts, at, q = np.unique(pairs >> np.uint64(8), return_inverse=True, return_counts=True)
             total = np.bincount(at, weights=n, minlength=len(contexts))
-            log_rest, escape_rest = np.zeros(len(contexts)), np.zeros(len(contexts))
+            log_rest, escape_rest, mine = np.zeros(len(contexts)), np.zeros(len(contexts)), np.zeros(len(contexts), dtype=np.int64)
             if k and len(contexts):
                 below, low_n = tables[k - 1]
                 low = self.levels[k - 1]
@@ -172,7 +173,8 @@ class Model:
                 some = fresh > 0
                 log_rest[some] = np.log(rest[some])
                 escape_rest[some] = np.log(fresh[some]) - log_rest[some]
-            self.levels.append(Level(pairs, np.log(np.maximum(2 * n - 1, 1)), contexts, np.log(2 * total), np.log(q) - np.log(2 * total), log_rest, escape_rest))
+            log_count, log_all = np.log(np.maximum(2 * n - 1, 1)), np.log(2 * total)
+            self.levels.append(Level(pairs, log_count, log_count - log_all[at], contexts, np.log(q) - log_all, log_rest, escape_rest, mine.astype(np.int32)))
             self._n, self._q = total, q
             if k == 0:
                 self.unseen = -math.log(SYMBOLS - q[0]) if len(q) and q[0] < SYMBOLS else -math.log(SYMBOLS)
@@ -181,29 +183,30 @@ class Model:
         """Natural log of the chance of each byte after its context; 0 for contexts of other slices."""
         out = np.zeros(len(keys))
         left = np.arange(len(keys)) if self.parts == 1 else np.flatnonzero(slice_of(keys, self.parts) == self.part)
-        sum_, rest, escape, after = np.zeros(len(left)), np.zeros(len(left)), np.zeros(len(left)), np.zeros(len(left), dtype=bool)
+        sum_, rest, escape = np.zeros(len(left)), np.zeros(len(left)), np.zeros(len(left))
+        ctx = np.full(len(left), -1)  # of the order above, once one is known
         for k in range(self.order, -1, -1):
             level = self.levels[k]
             key = keys[left] & np.uint64((1 << (8 * (k + 1))) - 1)
             at, hit = _find(level.pairs, key)
-            ctx_left = left[~hit]
-            if hit.any():
-                here = np.flatnonzero(hit)
-                plain = here[~after[here]]
-                out[left[here]] = sum_[here] + level.log_count[at[here]] - rest[here]
-                if len(plain):
-                    out[left[plain]] -= level.log_all[_find(level.contexts, key[plain] >> np.uint64(8))[0]]
+            after = ctx >= 0
+            here = np.flatnonzero(hit)
+            if len(here):
+                out[left[here]] = np.where(after[here], sum_[here] + level.log_count[at[here]] - rest[here], level.plain[at[here]])
             miss = np.flatnonzero(~hit)
-            sum_, rest, escape, after, key = sum_[miss], rest[miss], escape[miss], after[miss], key[miss]
-            ctx, known = _find(level.contexts, key >> np.uint64(8))
-            new = known & ~after
+            if not len(miss):
+                return out
+            left, sum_, rest, escape, after, ctx, key = left[miss], sum_[miss], rest[miss], escape[miss], after[miss], ctx[miss], key[miss]
+            if k < self.order:
+                ctx = np.where(after, self.levels[k + 1].link[np.maximum(ctx, 0)], -1) if len(self.levels[k + 1].link) else ctx
+            fresh = np.flatnonzero(~after)
+            found, known = _find(level.contexts, key[fresh] >> np.uint64(8))
+            ctx[fresh[known]] = found[known]
             sum_[after] += escape[after]
+            new = fresh[known]
             sum_[new] += level.escape[ctx[new]]
-            rest[known], escape[known] = level.log_rest[ctx[known]], level.escape_rest[ctx[known]]
-            after |= known
-            left = ctx_left
-            if not len(left):
-                return out
+            seen = np.flatnonzero(ctx >= 0)
+            rest[seen], escape[seen] = level.log_rest[ctx[seen]], level.escape_rest[ctx[seen]]
         out[left] = sum_ + self.unseen
         return out
 
@@ -247,7 +250,8 @@ def text_scores(model: Model, texts: list[bytes]) -> np.ndarray:
     """log10 probability of each text, its end included."""
     out = np.zeros(len(texts))
     for keys, owner in _segments(texts, model.order):
-        out += np.bincount(owner, weights=model.log_chances(keys), minlength=len(texts))
+        runs, at = np.unique(keys, return_inverse=True)  # each distinct run is looked up once, in the tables' order
+        out += np.bincount(owner, weights=model.log_chances(runs)[at], minlength=len(texts))
     return out / math.log(10)
 
 
