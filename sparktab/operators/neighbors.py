@@ -14,6 +14,8 @@ is dropped, so the result is the same as a full scan.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from sparktab.functions.aggregate import wide_agg
 from sparktab.functions.columns import c, dbl, percent_slot, spread, unit_hash
 from sparktab.functions.lookup import lookup
 from sparktab.functions.staging import stage
@@ -40,9 +43,20 @@ def vector(columns: list[str]):
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
+    if not len(series):
+        return np.zeros((0, 0))
     return np.concatenate(series.to_numpy()).astype("float64", copy=False).reshape(len(series), -1)
 
 
+def _spans(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Distances [rows, pivots], one pivot at a time: from differences, with no larger array than x itself."""
+    out = np.empty((len(x), len(p)))
+    for j, one in enumerate(p):
+        gap = x - one
+        out[:, j] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
+
+
 def _nearest(q: np.ndarray, x: np.ndarray, k: int, qid=None, xid=None):
     """(query row, x row, squared distance) of at least the k nearest x rows per query.
 
@@ -159,7 +173,7 @@ def _cells(q: DataFrame, x: DataFrame, keep: int, schema, block: int, pivots: in
     def assign(batches):
         for rows in batches:
             m = _matrix(rows["vec"]) if len(rows) else np.zeros((0, p.value.shape[1]))
-            d = np.sqrt(np.maximum(((m[:, None, :] - p.value[None, :, :]) ** 2).sum(2), 0))
+            d = _spans(m, p.value)
             cell = d.argmin(1)
             yield rows.assign(cell=cell.astype("int32"), pd=d[np.arange(len(m)), cell])
 
@@ -185,7 +199,7 @@ def _cells(q: DataFrame, x: DataFrame, keep: int, schema, block: int, pivots: in
             if len(rows) == 0:
                 continue
             m = _matrix(rows["qvec"])
-            d = np.sqrt(((m[:, None, :] - p.value[ids][None, :, :]) ** 2).sum(2))
+            d = _spans(m, p.value[ids])
             reach = (d[:, :, None] + steps[None, :, :]).reshape(len(m), -1)
             bound = (np.partition(reach, keep - 1, axis=1)[:, keep - 1] if reach.shape[1] >= keep
                      else np.full(len(m), np.inf))
@@ -217,6 +231,171 @@ def _cells(q: DataFrame, x: DataFrame, keep: int, schema, block: int, pivots: in
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, schema)
 
 
+CELL_ROWS = 2_000      # rows wanted in a leaf of the two-level index
+INDEX_BYTES = 32 << 20  # of all pivots: they travel with the tasks
+TUNE_QUERIES = 200     # searched exactly to learn how many cells to visit
+
+
+def _pivot_sample(x: DataFrame, rows: int, wanted: int) -> DataFrame:
+    """(vec, _h): some `wanted` distinct vectors or more, taken by their hash, so copies don't count; all if that gives too few."""
+    hashed = x.select("vec", F.xxhash64(F.to_json(F.struct("vec"))).alias("_h"))
+    share = math.ceil(min(1.0, wanted / max(rows, 1)) * (1 << 20))
+    some = stage(hashed.filter(F.pmod("_h", F.lit(1 << 20)) < share).distinct(), "ann-sample")
+    return some if share == 1 << 20 or some.count() * 4 >= wanted else stage(hashed.distinct(), "ann-sample")
+
+
+def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id: str, query_vec: str, corpus_vec: str,
+               label: str | None = None, skip_same: bool = False, probes: int | None = None, target: float = 0.95,
+               cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
+    """(query, id, d2, label, rank) like `knn_join`, from the cells nearest to each query only: exact distances, some neighbours may be missed.
+
+    `probes` cells are visited for each query. Unless given, the number is measured: TUNE_QUERIES queries (by hash) are searched exactly, and
+    enough cells are taken that the share `target` of their neighbours lies within. Vectors without structure need a large part of all cells,
+    clustered ones a few.
+
+    An index of pivots in two levels: rows fall to the nearest of sqrt(cells) upper pivots, then to the nearest of its own
+    lower ones. A query measures the upper pivots, the lower ones of as many as `probes` cells need, and visits the `probes` nearest cells. Work per
+    query: some sqrt(cells) pivots and probes x cell rows, whatever the size. The pivots are the rows of least hash (a bounded,
+    documented sample); every row is indexed. Cells above `block` rows are dealt over shares. Pivots are held to INDEX_BYTES, beyond
+    which cells grow. Vectors that are null or hold null or NaN are nobody's neighbour and find none. Measure with `recall`.
+    """
+    clean = lambda v: ~F.coalesce(F.exists(v, lambda e: e.isNull() | F.isnan(e)), F.lit(True))
+    q = stage(queries.select(c(query_id).alias("query"), c(query_vec).cast("array<double>").alias("qvec")).filter(clean("qvec")), "ann-q")
+    x = stage(corpus.select(c(corpus_id).alias("id"), c(corpus_vec).cast("array<double>").alias("vec"),
+                            (c(label) if label else F.lit(None).cast("double")).alias("label")).filter(clean("vec")), "ann-x")
+    n, dims = x.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    schema = T.StructType([T.StructField("query", q.schema["query"].dataType), T.StructField("id", x.schema["id"].dataType),
+                           T.StructField("d2", T.DoubleType()), T.StructField("label", x.schema["label"].dataType)])
+    if not n or q.isEmpty():
+        return q.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
+    sc = q.sparkSession.sparkContext
+    width = max(1, math.isqrt(min(max(1, n // cell_rows), INDEX_BYTES // (8 * max(1, dims or 1)))))
+    sample = _pivot_sample(x, n, 16 * width * width)
+    upper = [r[0] for r in sample.orderBy("_h", "vec").limit(width).collect()]
+    top = sc.broadcast(np.array(upper, dtype="float64").reshape(len(upper), -1))
+
+    def place_upper(batches):
+        for rows in batches:
+            if len(rows):
+                yield rows.assign(up=_spans(_matrix(rows["vec"]), top.value).argmin(1).astype("int32"))
+
+    placed = sample.mapInPandas(place_upper, T.StructType(sample.schema.fields + [T.StructField("up", T.IntegerType())]))
+    w = W.partitionBy("up").orderBy("_h", "vec")
+    lower: dict[int, list] = {u: [] for u in range(len(upper))}
+    for r in placed.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= width).select("up", "vec").collect():  # width x width at most
+        lower[r["up"]].append(r["vec"])
+    lower = {u: held or [upper[u]] for u, held in lower.items()}
+    ups = sorted(lower)
+    first = np.cumsum([0, *[len(lower[u]) for u in ups]])
+    tree = sc.broadcast((np.array(ups), {u: (int(first[i]), np.array(lower[u], dtype="float64")) for i, u in enumerate(ups)}))
+
+    def place(batches):
+        for rows in place_upper(batches):
+            m, up, cell = _matrix(rows["vec"]), rows["up"].to_numpy(), np.zeros(len(rows), dtype="int32")
+            for u in np.unique(up):
+                own = np.flatnonzero(up == u)
+                start, pivots = tree.value[1][int(u)]
+                cell[own] = start + _spans(m[own], pivots).argmin(1)
+            yield rows.drop(columns="up").assign(cell=cell)
+
+    def visit(batches):
+        ids, below = tree.value
+        for rows in batches:
+            if not len(rows):
+                continue
+            m = _matrix(rows["qvec"])
+            far = _spans(m, top.value[ids])
+            sizes = np.array([len(below[u][1]) for u in ids])
+            order = far.argsort(1, kind="stable")
+            reach = np.cumsum(sizes[order], axis=1) - sizes[order] < 4 * probes  # upper cells until four times the wanted leaves are met
+            cells, gaps, owner = [], [], []
+            for i, u in enumerate(ids.tolist()):
+                own = np.flatnonzero((reach & (order == i)).any(1))
+                if not len(own):
+                    continue
+                start, pivots = below[u]
+                d = _spans(m[own], pivots)
+                owner.append(np.repeat(own, len(pivots)))
+                cells.append(np.tile(np.arange(start, start + len(pivots)), len(own)))
+                gaps.append(d.ravel())
+            found = pd.DataFrame({"o": np.concatenate(owner), "cell": np.concatenate(cells).astype("int32"), "d": np.concatenate(gaps)})
+            found = found.sort_values(["o", "d", "cell"], kind="stable")
+            found = found[found.groupby("o").cumcount() < probes]
+            yield pd.DataFrame({"query": rows["query"].to_numpy()[found["o"]], "qvec": rows["qvec"].to_numpy()[found["o"]], "cell": found["cell"].to_numpy()})
+
+    cell = T.StructField("cell", T.IntegerType())
+    leaves = stage(x.mapInPandas(place, T.StructType(x.schema.fields + [cell])), "ann-cells")
+    if probes is None:
+        some = stage(q.orderBy(F.xxhash64("query"), "query").limit(TUNE_QUERIES), "ann-some")
+        exact = knn_join(some, x, k, "query", "id", "qvec", "vec", skip_same=skip_same).select("query", "id")
+        at = exact.join(leaves.select("id", "cell"), "id").groupBy("query").agg(F.collect_list("cell").alias("cells")).join(some, "query").collect()
+        pivots = np.concatenate([tree.value[1][u][1] for u in ups])
+        ranks = [r for row in at for r in np.argsort(np.argsort(_spans(np.array([row["qvec"]]), pivots)[0], kind="stable"))[row["cells"]]]
+        probes = int(np.quantile(ranks, target, method="higher")) + 1 if ranks else 1
+    visits = stage(q.mapInPandas(visit, T.StructType(q.schema.fields + [cell])), "ann-visits")
+    sizes = leaves.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell")
+    shares = F.broadcast(stage(sizes.select("cell", F.ceil(F.col("n") / block).cast("int").alias("xs"), F.ceil(F.col("m") / block).cast("int").alias("qs")), "ann-shares"))
+    slots = lambda s: F.explode(F.sequence(F.lit(0), F.col(s) - 1))
+    left = leaves.join(shares, "cell").withColumn("a", F.pmod(F.xxhash64("id"), F.col("xs")).cast("int")).withColumn("b", slots("qs")).drop("xs", "qs")
+    right = visits.join(shares, "cell").withColumn("b", F.pmod(F.xxhash64("query"), F.col("qs")).cast("int")).withColumn("a", slots("xs")).drop("xs", "qs")
+
+    def best(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) == 0 or len(asks) == 0:
+            return pd.DataFrame({f.name: [] for f in schema})
+        return _topk(asks[["query"]], _matrix(asks["qvec"]), rows, k, skip_same)
+
+    key = ["cell", "a", "b"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, schema)
+    w = W.partitionBy("query").orderBy("d2", "id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(queries, recall): share of the exact neighbours (query, id) that were found, of all queries."""
+    hit = exact.filter("id is not null").select("query", "id").join(found.select("query", "id").withColumn("_hit", F.lit(1)), ["query", "id"], "left")
+    return hit.agg(F.countDistinct("query").alias("queries"), (F.count("_hit") / F.count(F.lit(1))).alias("recall"))
+
+
+def gap_impute(df: DataFrame, key: str, columns: list[str], k: int = 5, few: int = FEW_QUERIES, **kw) -> DataFrame:
+    """Fill the nulls of several columns from the k nearest rows, distances taken over the parts that both rows know.
+
+    The squared distance is scaled by columns / known parts. A null in a column takes the mean of that column over the k nearest rows that
+    have it, ties by key; rows that share no part are no neighbours, and where there are none at all the column's mean is taken. NaN counts as null.
+
+    Rows are grouped by which parts they know. For two such patterns the shared parts are fixed, so the search within
+    the pair is an ordinary one (`knn_join`, exact, without comparing all pairs); the pairs' answers are merged by the scaled distance.
+    There are as many searches as pairs of patterns that occur: bounded by the columns, not by the rows.
+    """
+    base = df.select(c(key).alias("_id"), *[dbl(x).alias(x) for x in columns])
+    bits = reduce(add, [F.when(c(x).isNotNull(), F.lit(1 << i)).otherwise(0) for i, x in enumerate(columns)])
+    base = stage(base.withColumn("_known", bits.cast("bigint")), "gap-rows")
+    seen = sorted(r[0] for r in base.select("_known").distinct().collect())  # at most 2 ** columns
+    means = wide_agg(base, {x: F.avg(c(x)) for x in columns})
+    out = df
+    for i, x in enumerate(columns):
+        found = None
+        for ask in seen:
+            if ask >> i & 1:
+                continue
+            for give in seen:
+                shared = [y for j, y in enumerate(columns) if ask & give & 1 << j]
+                if not give >> i & 1 or not shared:
+                    continue
+                rows = base.withColumn("_v", vector(shared))
+                near = knn_join(rows.filter(F.col("_known") == ask), rows.filter(F.col("_known") == give), k, "_id", "_id", "_v", "_v", x, few=few, **kw)
+                near = near.select("query", "id", (F.col("d2") * (len(columns) / len(shared))).alias("d2"), "label")
+                found = near if found is None else found.unionByName(near)
+        if found is not None:
+            w = W.partitionBy("query").orderBy(F.round("d2", 9), "id")
+            fill = (found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).groupBy(F.col("query").alias("_q"))
+                    .agg(F.avg("label").alias("_fill")))
+            out = out.join(fill, c(key) == F.col("_q"), "left")
+        else:
+            out = out.withColumns({"_fill": F.lit(None).cast("double"), "_q": F.lit(None)})
+        out = out.withColumn(x, F.coalesce(dbl(x), F.col("_fill"), F.lit(means[x]))).drop("_fill", "_q")
+    return out.select(*[c(x) for x in df.columns])
+
+
 def knn_classify(test: DataFrame, train: DataFrame, key: str, vec: str, label: str, k: int = 5, **kw) -> DataFrame:
     """Majority of the k nearest, smallest label on ties."""
     near = knn_join(test, train, k, key, key, vec, vec, label, **kw)
@@ -266,6 +445,10 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
         kk = min(k, n - 1)
         near = knn_join(rows, rows, kk, key, key, "_v", "_v", skip_same=True, **kw).select(
             F.col("query").alias(key), F.col("id").alias("_nb"), F.col("rank").alias("_pick"))
+        # the vectors of the kk neighbours lie on the row before it is copied, so no copy takes part in a join
+        mate = rows.select(c(key).alias("_nb"), F.col("_v").alias("_w"))
+        near = near.join(mate, "_nb").groupBy(c(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pick", "_w"))), lambda s: s["_w"]).alias("_near"))
+        rows = stage(rows.join(near, key), "smote-rows")
         # need // n copies each, and one more for the first need % n rows in hash order
         copies = F.lit(need // n)
         if need % n:
@@ -281,10 +464,8 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], k: int = 5,
             F.lit(1), F.least(F.lit(COPIES), F.col("_copies") - F.col("_part") * COPIES)))).withColumn(
             "_copy", F.col("_copy") + F.col("_part") * COPIES)
         tag = F.concat_ws("|", c(key).cast("string"), F.col("_copy").cast("string"))
-        more = more.withColumn("_pick", (percent_slot(tag, kk, seed + "n") + 1).cast("int")) \
+        more = more.withColumn("_w", F.get("_near", percent_slot(tag, kk, seed + "n").cast("int"))) \
             .withColumn("_gap", unit_hash(tag, seed + "g"))
-        mate = rows.select(c(key).alias("_nb"), F.col("_v").alias("_w"))
-        more = more.join(near, [key, "_pick"]).join(mate, "_nb")
         new = [(F.col("_v")[i] + F.col("_gap") * (F.col("_w")[i] - F.col("_v")[i])).alias(f)
                for i, f in enumerate(features)]
         out = out.unionByName(more.select(F.lit(None).cast(df.schema[key].dataType).alias(key), c(label), *new,

@@ -189,6 +189,15 @@ def _(t):
     return rounds(out.drop("label"), "d2")
 
 
+@query("vector_topk_approx", "select count(*) as queries, true as found from embeddings")
+def _(t):
+    """Neighbours from a two-level index: at least nine of ten of the exact ones, over all rows as queries."""
+    e = t.embeddings
+    near = nb.knn_approx(e, e, 3, "vec_id", "vec_id", "embedding", "embedding", skip_same=True, cell_rows=40)
+    exact = nb.knn_join(e, e, 3, "vec_id", "vec_id", "embedding", "embedding", skip_same=True)
+    return nb.recall(near, exact).select("queries", (F.col("recall") >= 0.9).alias("found"))
+
+
 PARTS = f"""with s as (select *, {SLOT.format('vec_id::varchar')} % 100 < 20 as is_test from embeddings),
 te as (select * from s where is_test), tr as (select * from s where not is_test), n as (select * from {TOP.format('te', 'tr')} where rank <= 5)"""
 
@@ -218,6 +227,28 @@ def _(t):
     return rounds(nb.knn_impute(df, "p_partkey", "p_size", ["p_retailprice"]), "p_size")
 
 
+GAPS = """select s_suppkey, case when s_suppkey % 5 = 0 then null else s_nationkey::double end as a, case when s_suppkey % 7 = 1 then null else s_acctbal end as b,
+ case when s_suppkey % 3 = 2 then null else (s_suppkey * 37 % 101)::double end as c from supplier"""
+
+
+def gap_sql(x):
+    return f"""(select q as s_suppkey, avg(v) as fill from (select q.s_suppkey as q, r.{x} as v, row_number() over (partition by q.s_suppkey order by
+ round(3.0 / ((q.a is not null and r.a is not null)::int + (q.b is not null and r.b is not null)::int + (q.c is not null and r.c is not null)::int)
+ * (coalesce(pow(q.a - r.a, 2), 0) + coalesce(pow(q.b - r.b, 2), 0) + coalesce(pow(q.c - r.c, 2), 0)), 9), r.s_suppkey) as n from g q, g r
+ where q.{x} is null and r.{x} is not null and (q.a is not null and r.a is not null or q.b is not null and r.b is not null or q.c is not null and r.c is not null))
+ where n <= 5 group by 1) f{x}"""
+
+
+@query("impute_knn_gaps", f"""with g as ({GAPS}) select g.s_suppkey, """ + ", ".join(
+    f"round(coalesce(g.{x}, f{x}.fill, (select avg({x}) from g)), 6) as {x}" for x in "abc") + " from g " + " ".join(
+    f"left join {gap_sql(x)} on f{x}.s_suppkey = g.s_suppkey" for x in "abc"))
+def _(t):
+    df = t.supplier.select("s_suppkey", F.expr("case when s_suppkey % 5 = 0 then null else double(s_nationkey) end").alias("a"),
+                           F.expr("case when s_suppkey % 7 = 1 then null else s_acctbal end").alias("b"),
+                           F.expr("case when s_suppkey % 3 = 2 then null else double(s_suppkey * 37 % 101) end").alias("c"))
+    return rounds(nb.gap_impute(df, "s_suppkey", ["a", "b", "c"]), "a", "b", "c")
+
+
 @query("smote_counts", """with c as (select toxic, count(*) as n from labels group by 1)
 select toxic, (select max(n) from c) as n, (select max(n) from c) - n as synthetic from c""")
 def _(t):

@@ -51,3 +51,44 @@ def test_smote_rows_lie_between_parents(spark):
     again = nb.smote(df.repartition(9), "id", "y", ["a", "b"]).filter("synthetic").collect()
     assert sorted((r["a"], r["b"]) for r in new) == sorted((r["a"], r["b"]) for r in again)
     assert out.filter("not synthetic").count() == 200
+
+
+def test_approximate_neighbours(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 8)) * 20
+    x = np.concatenate([centres[rng.integers(30, size=900)] + rng.normal(size=(900, 8)), np.repeat(centres[:1], 300, axis=0)])  # a third are copies
+    rows = [(i, [float(v) for v in r], i % 3) for i, r in enumerate(x)] + [(5000, None, 1), (5001, [float("nan")] * 8, 1), (5002, [None] * 8, 1)]
+    df = spark.createDataFrame(rows, "id int, vec array<double>, label int")
+    exact = nb.knn_join(df, df, 4, "id", "id", "vec", "vec", skip_same=True)
+    for block in (20_000, 50):
+        got = nb.knn_approx(df, df.repartition(5), 4, "id", "id", "vec", "vec", "label", skip_same=True, cell_rows=30, block=block)
+        r = nb.recall(got, exact).first()
+        assert r["queries"] == 1200 and r["recall"] >= 0.9
+        found = got.collect()
+        assert all(abs(f["d2"] - ((x[f["query"]] - x[f["id"]]) ** 2).sum()) < 1e-9 and f["query"] != f["id"] and f["label"] == f["id"] % 3 for f in found)
+        assert max(f["rank"] for f in found) == 4 and len({(f["query"], f["id"]) for f in found}) == len(found)
+    whole = nb.knn_approx(df, df, 4, "id", "id", "vec", "vec", skip_same=True, cell_rows=30, probes=10**6)
+    assert nb.recall(whole, exact).first()["recall"] == 1.0
+    assert nb.knn_approx(df.limit(0), df, 3, "id", "id", "vec", "vec").count() == 0
+    assert nb.knn_approx(df, df.limit(0), 3, "id", "id", "vec", "vec").count() == 0
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_gaps_in_several_columns(spark, few):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 3)).round(2)
+    x[rng.random(x.shape) < 0.25] = np.nan
+    x[0] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r], "z") for i, r in enumerate(x)]
+    got = nb.gap_impute(spark.createDataFrame(rows, "id int, a double, b double, c double, other string").repartition(4), "id", ["a", "b", "c"], 3, few)
+    assert got.columns == ["id", "a", "b", "c", "other"]
+    want = x.copy()
+    for i, j in zip(*np.nonzero(np.isnan(x))):
+        near = []
+        for r in range(len(x)):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[r])
+            if not np.isnan(x[r, j]) and both.any():
+                near.append((round(3 / both.sum() * ((x[i] - x[r])[both] ** 2).sum(), 9), r))
+        own = [x[r, j] for _, r in sorted(near)[:3]]
+        want[i, j] = np.mean(own) if own else np.nanmean(x[:, j])
+    assert np.allclose([r[1:4] for r in sorted(got.collect())], want)
