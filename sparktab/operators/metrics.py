@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from sparktab.functions.columns import c, dbl, rounded
 from sparktab.functions.order import prefix_sums
+from sparktab.functions.staging import stage
 from sparktab.operators.profile import histogram
 
 
@@ -28,76 +29,72 @@ def regression_metrics(df: DataFrame, label: str, prediction: str, by: list[str]
 
 
 def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Non-zero cells only; the label and prediction domains are classes, hence few."""
+    """Non-zero cells only, of any number of classes."""
     return (df.filter(c(label).isNotNull() & c(prediction).isNotNull())
             .groupBy(c(label).alias("label"), c(prediction).alias("prediction"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-MAX_CLASSES = 1_000
+def confusion_matrix(df: DataFrame, label: str, prediction: str, zeros: bool = True) -> DataFrame:
+    """Count per (label, prediction): over all pairs of classes, or with `zeros` off only those that occur.
 
-
-def _cells(df: DataFrame, label: str, prediction: str) -> tuple[dict, list]:
-    rows = confusion_counts(df, label, prediction).limit(MAX_CLASSES ** 2 + 1).collect()
-    if len(rows) > MAX_CLASSES ** 2:
-        raise ValueError("label and prediction are not classes")
-    cells = {(r[0], r[1]): r[2] for r in rows}
-    return cells, sorted({k for pair in cells for k in pair}, key=lambda v: (str(type(v)), v))
-
-
-def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Count per (label, prediction) over all classes, zeros kept."""
+    All pairs of k classes are k * k rows by definition; with many classes take the ones that occur.
+    """
     counts = confusion_counts(df, label, prediction)
-    _, names = _cells(df, label, prediction)
-    grid = df.sparkSession.createDataFrame([(a, b) for a in names for b in names], counts.select(
-        "label", "prediction").schema)
+    if not zeros:
+        return counts
+    counts = stage(counts, "confusion")
+    names = counts.select("label").union(counts.select("prediction")).distinct()
+    grid = names.crossJoin(names.withColumnRenamed("label", "prediction"))
     return (grid.join(counts, ["label", "prediction"], "left")
             .select("label", "prediction", F.coalesce("n", F.lit(0)).alias("n")))
 
 
-def _safe(a: float, b: float) -> float:
-    return a / b if b else 0.0
+def class_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """(class, support, chosen, hits, precision, recall, f1) of every class that is a label or a prediction."""
+    counts = confusion_counts(df, label, prediction)
+    zero, n = F.lit(0).cast("bigint"), F.col("n")
+    sides = F.array(F.struct(F.col("label").alias("class"), n.alias("support"), zero.alias("chosen"), F.when(F.col("label") == F.col("prediction"), n).otherwise(zero).alias("hits")),
+                    F.struct(F.col("prediction").alias("class"), zero.alias("support"), n.alias("chosen"), zero.alias("hits")))
+    per = counts.select(F.inline(sides)).groupBy("class").agg(*[F.sum(x).alias(x) for x in ("support", "chosen", "hits")])
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    per = per.withColumns({"precision": share(F.col("hits"), F.col("chosen")), "recall": share(F.col("hits"), F.col("support"))})
+    p, r = F.col("precision"), F.col("recall")
+    return per.withColumn("f1", share(2 * p * r, p + r))
 
 
-def class_report_values(df: DataFrame, label: str, prediction: str) -> dict:
-    cells, names = _cells(df, label, prediction)
-    out = {}
-    for k in names:
-        tp = cells.get((k, k), 0)
-        support = sum(n for (a, _), n in cells.items() if a == k)
-        chosen = sum(n for (_, b), n in cells.items() if b == k)
-        p, r = _safe(tp, chosen), _safe(tp, support)
-        out[k] = {"precision": p, "recall": r, "f1": _safe(2 * p * r, p + r), "support": support,
-                  "chosen": chosen, "hits": tp}
-    return out
+def per_class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    kind = df.schema[label].dataType
+    per = class_counts(df, label, prediction)
+    return per.select(F.col("class").cast(kind).alias("class"), *[F.round(x, 4).alias(x) for x in ("precision", "recall", "f1")], "support")
 
 
-def per_class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    rep = class_report_values(df, label, prediction)
-    kind = df.schema[label].dataType.simpleString()
-    rows = [(k, round(v["precision"], 4), round(v["recall"], 4), round(v["f1"], 4), v["support"])
-            for k, v in rep.items()]
-    return df.sparkSession.createDataFrame(
-        rows, f"class {kind}, precision double, recall double, f1 double, support bigint")
+def _safe(a: float, b: float) -> float:
+    return a / b if b else 0.0
 
 
 def classification_values(df: DataFrame, label: str, prediction: str, pos_label=None) -> dict:
-    """accuracy, f1, precision, recall (binary for two label classes, else support-weighted), mcc, kappa."""
-    rep = class_report_values(df, label, prediction)
-    n = sum(v["support"] for v in rep.values())
-    hit = sum(v["hits"] for v in rep.values())
-    classes = [k for k, v in rep.items() if v["support"]]
+    """accuracy, f1, precision, recall (binary for two label classes, else support-weighted), mcc, kappa.
+
+    One row of sums over the classes reaches the driver, however many there are.
+    """
+    per = stage(class_counts(df, label, prediction), "classes")
+    whole = lambda x: F.col(x).cast("decimal(18,0)")
+    support = F.col("support")
+    row = per.agg(F.sum("support").alias("n"), F.sum("hits").alias("hit"), F.count_if(support > 0).alias("classes"),
+                  *[F.sum(F.col(m) * support).alias(m) for m in ("f1", "precision", "recall")],
+                  F.sum(whole("support") * whole("chosen")).alias("cross"), F.sum(whole("chosen") * whole("chosen")).alias("chosen2"),
+                  F.sum(whole("support") * whole("support")).alias("support2"),
+                  F.max(F.when(support > 0, F.col("class"))).alias("last"), F.max((support > 0) & (F.col("class").cast("string").try_cast("double") == 1)).alias("one")).first()
+    n, hit, cross = int(row["n"] or 0), int(row["hit"] or 0), int(row["cross"] or 0)
     out = {"accuracy": _safe(hit, n)}
-    if len(classes) == 2:
-        pos = pos_label if pos_label is not None else (1 if 1 in classes else max(classes))
-        one = rep.get(pos, {"f1": 0.0, "precision": 0.0, "recall": 0.0})
-        out |= {m: one[m] for m in ("f1", "precision", "recall")}
+    if row["classes"] == 2:
+        pos = pos_label if pos_label is not None else (1 if row["one"] else row["last"])
+        one = per.filter(F.col("class") == F.lit(pos)).first()
+        out |= {m: float(one[m]) if one else 0.0 for m in ("f1", "precision", "recall")}
     else:
-        out |= {m: _safe(sum(v[m] * v["support"] for v in rep.values()), n)
-                for m in ("f1", "precision", "recall")}
-    cross = sum(v["support"] * v["chosen"] for v in rep.values())
-    a = n * n - sum(v["chosen"] ** 2 for v in rep.values())
-    b = n * n - sum(v["support"] ** 2 for v in rep.values())
+        out |= {m: _safe(float(row[m] or 0), n) for m in ("f1", "precision", "recall")}
+    a, b = n * n - int(row["chosen2"] or 0), n * n - int(row["support2"] or 0)
     out["mcc"] = _safe(hit * n - cross, (a * b) ** 0.5)
     expected = _safe(cross, n * n)
     out["kappa"] = _safe(out["accuracy"] - expected, 1 - expected)
@@ -177,10 +174,8 @@ def multi_output_metrics(df: DataFrame, pairs: dict[str, tuple[str, str]], task:
         names = ["accuracy", "f1"]
         rows = []
         for t, (y, p) in pairs.items():
-            rep = class_report_values(df, y, p)
-            n = sum(v["support"] for v in rep.values())
-            rows.append((t, round(_safe(sum(v["hits"] for v in rep.values()), n), 4),
-                         round(_safe(sum(v["f1"] * v["support"] for v in rep.values()), n), 4)))
+            n, hit, f1 = class_counts(df, y, p).agg(F.sum("support"), F.sum("hits"), F.sum(F.col("f1") * F.col("support"))).first()
+            rows.append((t, round(_safe(hit or 0, n or 0), 4), round(_safe(f1 or 0.0, n or 0), 4)))
         per = df.sparkSession.createDataFrame(rows, "target string, accuracy double, f1 double")
     mean = per.agg(F.lit("mean").alias("target"), *[rounded(F.avg(m)).alias(m) for m in names])
     return per.unionByName(mean)

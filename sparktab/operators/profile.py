@@ -6,12 +6,11 @@ import itertools
 import math
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.functions.aggregate import (adjusted_skewness, exact_quantiles, gram_matrix,
+from sparktab.functions.aggregate import (WIDTH, adjusted_skewness, exact_quantiles, gram_matrix,
                                           wide_agg)
 from sparktab.functions.columns import (c, dbl, long_rows, micros, numeric_columns, rounded, spread,
                                         string_columns, timestamp_columns)
@@ -86,33 +85,81 @@ def categorical_profile(df: DataFrame, columns: list[str] | None = None) -> Data
                         .when(F.col("n_unique") > 10, "medium").otherwise("low")))
 
 
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson r per pair over rows where both are known, flagged above 0.95."""
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None, high: float = HIGH_CORRELATION) -> DataFrame:
+    """Pearson r per pair over rows where both are known, flagged above `high`; null where it isn't defined."""
     cols = columns or numeric_columns(df)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "left string, right string, r double, is_high boolean")
-    rows = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), _corr(a, b).alias("r"))
-            for a, b in itertools.combinations(cols, 2)]
-    return (_long(df, rows, 200).withColumn("is_high", F.abs("r") > HIGH_CORRELATION)
-            .withColumn("r", rounded(F.col("r"))))
+    if len(cols) * (len(cols) - 1) // 2 <= WIDTH:
+        rows = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), _corr(a, b).alias("r"))
+                for a, b in itertools.combinations(cols, 2)]
+        pairs = _long(df, rows, WIDTH)
+    else:
+        pairs = masked_correlations(df, cols)
+    return pairs.withColumn("is_high", F.abs("r") > high).withColumn("r", rounded(F.col("r")))
 
 
 def _corr(a: str, b: str) -> Column:
     return F.nullif(F.corr(dbl(a), dbl(b)), F.lit(float("nan")))
 
 
+FLAT = 1e-12  # share of a column's squares below which its variance is rounding
+
+
+def masked_correlations(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(left, right, r) of all pairs of many columns, each over the rows where both are known, in one pass.
+
+    Each task multiplies matrices of its rows (values, squares and which are known) and sends one row per column: six sums
+    for each of its partners. They are added up column by column as a stream, so no task or driver holds more than a column's sums, and the
+    coefficients are worked out there. Values are taken relative to the means of the first rows, which only guards digits.
+    """
+    p = len(cols)
+    src = df.select(*[dbl(x).alias(f"v{i}") for i, x in enumerate(cols)])
+    near = src.limit(1000).agg(*[F.avg(x).alias(x) for x in src.columns]).first()
+    shift = np.array([0.0 if v is None or not math.isfinite(v) else v for v in near])
+
+    def products(batches):
+        total = np.zeros((6, p, p))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype("float64") for i in range(p)]) - shift
+            known = ~np.isnan(x)
+            x[~known] = 0.0
+            m = known.astype("float64")
+            square = x * x
+            for i, (a, b) in enumerate(((m, m), (x, m), (m, x), (square, m), (m, square), (x, x))):
+                total[i] += a.T @ b
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p), pa.int32()), pa.array([total[:, i, :].ravel() for i in range(p)], pa.list_(pa.float64()))],
+                                         names=["i", "s"])
+
+    def told(i: int, s: np.ndarray) -> pa.RecordBatch:
+        n, sx, sy, qx, qy, xy = s.reshape(6, p)[:, i + 1:]
+        with np.errstate(all="ignore"):
+            vx, vy = qx - sx * sx / n, qy - sy * sy / n
+            r = (xy - sx * sy / n) / np.sqrt(vx * vy)
+        r[~((n > 1) & (vx > FLAT * qx) & (vy > FLAT * qy) & np.isfinite(r))] = np.nan
+        r = np.clip(r, -1, 1)
+        return pa.RecordBatch.from_arrays([pa.array([cols[i]] * len(r), pa.string()), pa.array(cols[i + 1:], pa.string()), pa.array(r, from_pandas=True)],
+                                          names=["left", "right", "r"])
+
+    def added(batches):
+        now, total = None, None
+        for batch in batches:
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if i != now:
+                    if now is not None:
+                        yield told(now, total)
+                    now, total = i, np.zeros(6 * p)
+                total += s.values.to_numpy()
+        if now is not None:
+            yield told(now, total)
+
+    sums = src.mapInArrow(products, "i int, s array<double>")
+    return sums.repartition("i").sortWithinPartitions("i").mapInArrow(added, "left string, right string, r double")
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
-    """Upper triangle on the driver. Wide tables without nulls use one pass of ml.stat."""
-    pairs = list(itertools.combinations(columns, 2))
-    if len(pairs) > 400:
-        nulls = wide_agg(df, {x: F.count_if(dbl(x).isNull()) for x in columns})
-        if not any(nulls.values()):
-            vec = VectorAssembler(inputCols=columns, outputCol="_v").transform(
-                df.select(*[c(x).cast("double").alias(x) for x in columns]))
-            m = Correlation.corr(vec, "_v").first()[0].toArray()
-            at = {x: i for i, x in enumerate(columns)}
-            return {(a, b): _known(m[at[a], at[b]]) for a, b in pairs}
-    return {k: _known(v) for k, v in wide_agg(df, {(a, b): _corr(a, b) for a, b in pairs}).items()}
+    """Upper triangle as a result on the driver, for a report; `masked_correlations` keeps it on Spark."""
+    return {(r["left"], r["right"]): _known(r["r"]) for r in masked_correlations(df, columns).collect()}
 
 
 def _known(v):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparktab.functions.aggregate import wide_agg
 from sparktab.functions.columns import dbl, numeric_columns
 from sparktab.operators.base import Fitted, Step
-from sparktab.operators.profile import correlation_matrix
+from sparktab.operators.profile import correlation_pairs
 
 
 class FeatureSelector(Step):
@@ -25,9 +25,9 @@ class FeatureSelector(Step):
             flat = [x for x in cols if var[x] is not None and var[x] <= self["min_variance"]]
         rest = [x for x in cols if x not in flat]
         if "correlation" in self["steps"] and len(rest) > 1:
-            r = correlation_matrix(df, rest)
-            twins = [b for j, b in enumerate(rest)
-                     if any((r[a, b] is not None and abs(r[a, b]) > self["max_correlation"]) for a in rest[:j])]
+            high = correlation_pairs(df, rest, self["max_correlation"]).filter("is_high").select("right").distinct()
+            found = {r[0] for r in high.collect()}  # names of columns
+            twins = [b for b in rest if b in found]
         return FeatureSelectorModel(low_variance=flat, high_correlation=twins)
 
 

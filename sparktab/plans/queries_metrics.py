@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparktab.operators import metrics
+from sparktab.operators import balance, metrics
 from sparktab.plans.catalog import query
 from sparktab.plans.queries_profile import union
 
@@ -108,6 +108,41 @@ def _(t):
     return metrics.classification_metrics(binary(t), "y", "p", 1).select("f1", "precision", "recall")
 
 
+PARTKEYS = """with s as (select l_partkey as y, case when l_linenumber % 3 = 0 then l_partkey + 1 else l_partkey end as p from lineitem)"""
+
+
+def part_guesses(t):
+    """As many classes as there are parts."""
+    return t.lineitem.select(F.col("l_partkey").alias("y"), F.expr("case when l_linenumber % 3 = 0 then l_partkey + 1 else l_partkey end").alias("p"))
+
+
+@query("confusion_matrix_many", PARTKEYS + " select y as label, p as prediction, count(*) as n from s group by 1, 2")
+def _(t):
+    return metrics.confusion_matrix(part_guesses(t), "y", "p", zeros=False)
+
+
+@query("per_class_report_many", PARTKEYS + """, a as (select y as class, count(*) as sup, count(*) filter (where y = p) as tp from s group by 1),
+b as (select p as class, count(*) as cho from s group by 1), f as (select class, coalesce(sup, 0) as sup, coalesce(tp / nullif(cho, 0), 0)::double as pr,
+ coalesce(tp / nullif(sup, 0), 0)::double as re from a full join b using (class))
+select class, round(pr, 4) as precision, round(re, 4) as recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 4) as f1, sup::bigint as support from f""")
+def _(t):
+    return metrics.per_class_report(part_guesses(t), "y", "p")
+
+
+@query("classification_metrics_many", PARTKEYS + """, a as (select y as class, count(*) as sup, count(*) filter (where y = p) as tp from s group by 1),
+b as (select p as class, count(*) as cho from s group by 1), f as (select coalesce(sup, 0) as sup, coalesce(cho, 0) as cho, coalesce(tp, 0) as tp, coalesce(tp / nullif(cho, 0), 0)::double as pr,
+ coalesce(tp / nullif(sup, 0), 0)::double as re from a full join b using (class)), g as (select *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) as f1 from f)""" + MULTI)
+def _(t):
+    return metrics.classification_metrics(part_guesses(t), "y", "p")
+
+
+@query("class_weights_many", """with c as (select l_partkey, count(*) as n from lineitem group by 1)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, round((select sum(n) from c) / ((select count(*) from c) * n)::double, 6) as weight from lineitem join c using (l_partkey)""")
+def _(t):
+    df = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return balance.class_weights(df, "l_partkey").withColumn("weight", F.round("weight", 6))
+
+
 RANKS = """select avg(r) filter (where y = 1) as m, count(*) filter (where y = 1)::double as p, count(*) filter (where y = 0)::double as n
  from (select y, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as r from s)"""
 

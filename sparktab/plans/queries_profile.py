@@ -78,7 +78,7 @@ def _(t):
     return profile.categorical_profile(t.orders)
 
 
-CORR = LI_NUM[3:] + ["net"]
+CORR = LI_NUM + ["net"]
 
 
 @query("correlation_pairs", "with n as (select *, round(l_extendedprice * (1 - l_discount), 2) as net from lineitem) "
@@ -89,6 +89,20 @@ def _(t):
     return profile.correlation_pairs(df, CORR)
 
 
+def gappy():
+    """23 columns of lineitem, each with gaps of its own."""
+    base = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey", "l_linenumber"]
+    return {f"g{i}": f"case when (l_orderkey * 31 + l_linenumber * 7) % {i + 5} = 0 then null else {base[i % 7]} * {1 + i // 7}.0 + {base[(i * 3 + 1) % 7]} * {i % 4}.0 end"
+            for i in range(23)}
+
+
+@query("correlation_pairs_many", "with n as (select " + ", ".join(f"({e})::double as {k}" for k, e in gappy().items()) + " from lineitem) "
+       + union(f"""select '{a}' as "left", '{b}' as "right", round(corr({a}, {b}), 4) + 0.0 as r, abs(corr({a}, {b})) > 0.95 as is_high from n"""
+               for a, b in itertools.combinations(gappy(), 2)))
+def _(t):
+    return profile.correlation_pairs(t.lineitem.select(*[F.expr(e).cast("double").alias(k) for k, e in gappy().items()]))
+
+
 TYPES = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_custkey"]
 
 

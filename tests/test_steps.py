@@ -181,3 +181,41 @@ def test_auto_preprocess_without_key_and_in_time(spark):
     df = spark.createDataFrame(rows, "day string, x double, y double").withColumn("day", F.to_timestamp("day"))
     p = AutoPreprocessor("y", is_time_series=True, date_col="day").fit_transform(df)
     assert (p.train.count(), p.test.count()) == (240, 60)
+
+
+def test_correlations_of_many_columns_with_gaps(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(400, 25)) * rng.choice([1e-3, 1, 1e6], 25) + rng.choice([0, 1e5], 25)
+    x[:, 3] = 0.1                                   # constant
+    x[:, 4] = x[:, 5] * -2 + 1                      # the same up to scale
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 7] = np.nan                                # never known
+    x[:, 8] = np.where(np.arange(400) == 5, 1.0, np.nan)
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in x], ", ".join(f"`c {i}` double" for i in range(25)))
+    got = {(r["left"], r["right"]): r["r"] for r in profile.masked_correlations(df.repartition(6), df.columns).collect()}
+    assert len(got) == 300
+    for i in range(25):
+        for j in range(i + 1, 25):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = x[both, i], x[both, j]
+            want = np.corrcoef(a, b)[0, 1] if both.sum() > 1 and len(set(a)) > 1 and len(set(b)) > 1 else None
+            r = got[f"c {i}", f"c {j}"]
+            assert (r is None) == (want is None) and (r is None or abs(r - want) < 1e-6), (i, j, r, want)
+    high = profile.correlation_pairs(df).filter("is_high").collect()
+    assert [(r["left"], r["right"]) for r in high] == [("c 4", "c 5")]
+    assert profile.masked_correlations(df.limit(0), df.columns).filter("r is not null").count() == 0
+
+
+def test_metrics_of_any_number_of_classes(spark):
+    from sparktab.operators import balance, metrics
+    df = spark.range(60_000).select((F.col("id") % 12_000).alias("y"), (F.col("id") % 11_997).alias("p"))
+    rows = [(i % 12_000, i % 11_997) for i in range(60_000)]
+    v = metrics.classification_values(df, "y", "p")
+    assert abs(v["accuracy"] - sum(a == b for a, b in rows) / 60_000) < 1e-12 and -1 <= v["mcc"] <= 1
+    assert metrics.per_class_report(df, "y", "p").count() == 12_000
+    assert metrics.confusion_matrix(df, "y", "p", zeros=False).agg(F.sum("n")).first()[0] == 60_000
+    assert balance.class_weights(df, "y").agg(F.min("weight"), F.max("weight"), F.count("weight")).first()[:] == (1.0, 1.0, 60_000)
+    text = spark.createDataFrame([("a", "a"), ("b", "a"), (None, "b"), ("b", None), ("b", "c")], "y string, p string")
+    assert {(r["label"], r["prediction"]): r["n"] for r in metrics.confusion_matrix(text, "y", "p").collect() if r["n"]} == {("a", "a"): 1, ("b", "a"): 1, ("b", "c"): 1}
+    assert metrics.classification_values(text, "y", "p")["recall"] == 0.0  # two label classes: of b
+    assert metrics.classification_values(text.limit(0), "y", "p")["accuracy"] == 0.0
