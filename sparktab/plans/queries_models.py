@@ -35,13 +35,13 @@ def fit_reg(t, name, params=None):
     return r.results(t.spark)
 
 
-VEC = [f"e{i}" for i in range(16)]
+VEC = [f"e{i}" for i in range(64)]
 
 
 def vectors(t):
-    """First sixteen parts of each embedding as features of its label."""
+    """All parts of each embedding as features of its label."""
     return split.split_random(t.embeddings.select("vec_id", "label", (F.col("label") % 2).alias("odd"), (F.col("label") % 3).alias("third"),
-                                                  *[F.col("embedding")[i].alias(VEC[i]) for i in range(16)]), "vec_id")
+                                                  *[F.col("embedding")[i].alias(x) for i, x in enumerate(VEC)]), "vec_id")
 
 
 def fit_cls(t, name, params=None, label="label"):
@@ -82,10 +82,10 @@ for _name, _key, _params, _label in [
         ("Random Forest", "random_forest_classifier", {"max_depth": 6}, "label"),
         ("Extra Trees", "extra_trees_classifier", {"n_estimators": 5}, "label"),
         ("Gradient Boosting", "gradient_boosting_classifier", {"n_estimators": 5}, "odd"),
-        ("Gradient Boosting", "gradient_boosting_multiclass", {"n_estimators": 3}, "third"),
+        ("Gradient Boosting", "gradient_boosting_multiclass", {"n_estimators": 3}, "label"),
         ("XGBoost", "xgboost_classifier", {"n_estimators": 5, "max_depth": 4}, "odd"),
         ("AdaBoost", "adaboost_classifier", {"n_estimators": 8}, "label"),
-        ("SVM", "svm_classifier", {}, "third"), ("SVM", "svm_classifier_linear", {"kernel": "linear"}, "odd"),
+        ("SVM", "svm_classifier", {}, "label"), ("SVM", "svm_classifier_linear", {"kernel": "linear"}, "odd"),
         ("KNN", "knn_model", {}, "label")]:
     query(_key)(lambda t, n=_name, p=_params, y=_label: fit_cls(t, n, p, y))
 
