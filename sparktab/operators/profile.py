@@ -5,16 +5,21 @@ from __future__ import annotations
 import itertools
 import math
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparktab.functions.aggregate import (WIDTH, adjusted_skewness, exact_quantiles, gram_matrix,
                                           wide_agg)
 from sparktab.functions.columns import (c, dbl, long_rows, micros, numeric_columns, rounded, spread,
                                         string_columns, timestamp_columns)
-from sparktab.functions.order import series_window
+from sparktab.functions.order import SERIES_ROWS, null_safe_join, series_window
 from sparktab.functions.staging import stage
 
 CLASS_LIMIT = 10         # distinct values up to which a numeric target is a class
@@ -267,9 +272,8 @@ def unit_root_p(t: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def adf_stationarity(df: DataFrame, value: str, order_by: list[str], max_lag: int | None = None,
-                     keys: list[str] | None = None, **kw) -> dict:
-    """Augmented Dickey-Fuller test with a constant and AIC choice of the lag.
+def adf_stationarity(df: DataFrame, value: str, order_by: list[str], max_lag: int | None = None, **kw) -> dict:
+    """Augmented Dickey-Fuller test of one series, with a constant and AIC choice of the lag; of many: adf_by_series.
 
     Lags come from the ordered helper; the regressions for all lag counts are
     solved on the driver from one matrix of summed products.
@@ -310,6 +314,76 @@ def adf_stationarity(df: DataFrame, value: str, order_by: list[str], max_lag: in
             "statistic": float(t), "p_value": p}
 
 
+ADF_ROWS = 65_536  # rows whose lag products are formed at once
+
+
+def adf_of(y: np.ndarray, max_lag: int | None = None) -> tuple:
+    """(verdict, n, lag, statistic, p_value) of a series in order, by the same rules as adf_stationarity.
+
+    The lag products of all lag counts are one matrix, summed over pieces of the series; the best lag's own sample only
+    has some rows more at the start, which are added to it.
+    """
+    n = len(y)
+    if n < 20:
+        return "Unknown", n, None, None, None
+    top = min(math.ceil(12 * (n / 100) ** 0.25) if max_lag is None else max_lag, n // 2 - 2)
+    y = y - y.mean()
+    dy = np.diff(y)
+
+    def products(first: int, last: int, k: int) -> np.ndarray:
+        """Over the steps first..last - 1: change, one, level before, k changes before."""
+        x = np.column_stack([dy[first:last], np.ones(last - first), y[first:last], *[dy[first - i:last - i] for i in range(1, k + 1)]])
+        return x.T @ x
+
+    def solve(g: np.ndarray, k: int) -> tuple[float, float]:
+        a, b, m = g[1:k + 3, 1:k + 3], g[1:k + 3, 0], g[1, 1]
+        beta = np.linalg.lstsq(a, b, rcond=None)[0]
+        rss = max(float(g[0, 0] - beta @ b), 0.0)
+        with np.errstate(all="ignore"):
+            t = beta[1] / np.sqrt(rss / (m - k - 2) * np.linalg.pinv(a)[1, 1])
+            return float(t), float(m * np.log(rss / m) + 2 * (k + 2))
+
+    full = sum(products(i, min(i + ADF_ROWS, n - 1), top) for i in range(top, n - 1, ADF_ROWS))
+    best = min(range(top + 1), key=lambda k: solve(full, k)[1]) if max_lag is None else top
+    whole = full[:best + 3, :best + 3] + (products(best, top, best) if best < top else 0)
+    t = solve(whole, best)[0]
+    if not math.isfinite(t):
+        return "Unknown", n, best, None, None
+    p = unit_root_p(t)
+    return "Stationary" if p < 0.05 else "Non-Stationary", n, best, t, p
+
+
+def adf_by_series(df: DataFrame, keys: list[str], value: str, order_by: list[str], max_lag: int | None = None,
+                  limit: int = SERIES_ROWS) -> DataFrame:
+    """(keys, verdict, n, lag, statistic, p_value), one row per series: the unit-root test of each.
+
+    A series is sorted and solved in one task while it has at most `limit` rows. Longer ones, at most rows / limit of them, are
+    tested one after another with their lag products summed over all tasks (adf_stationarity). A series without values is Unknown, as
+    one of fewer than 20 or without any change.
+    """
+    rows = df.select(*[c(k) for k in keys], *[c(o).alias(f"_o{i}") for i, o in enumerate(order_by)], dbl(value).alias("_v"))
+    sizes = stage(rows.groupBy(*[c(k) for k in keys]).agg(F.count("_v").alias("_n")), "adf-sizes")
+    long = sizes.filter(F.col("_n") > limit).drop("_n")
+    big = long.collect()
+    told = "verdict string, n bigint, lag bigint, statistic double, p_value double"
+    kind = T.StructType([*rows.select(*[c(k) for k in keys]).schema.fields, *T.StructType.fromDDL(told).fields])
+
+    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        own = group.sort_values([f"_o{i}" for i in range(len(order_by))], kind="stable")["_v"].dropna().to_numpy(dtype="float64")
+        return pd.DataFrame([(*key, *adf_of(own, max_lag))], columns=kind.names).astype({"lag": "Int64"})
+
+    short = rows
+    same = lambda r: reduce(and_, [c(k).eqNullSafe(F.lit(r[k])) for k in keys])
+    if big:
+        short = null_safe_join(rows, F.broadcast(long.withColumn("_long", F.lit(True))), keys).filter("_long is null").drop("_long")
+    out = short.groupBy(*[c(k) for k in keys]).applyInPandas(one, kind)
+    for r in big:
+        got = adf_stationarity(df.filter(same(r)), value, order_by, max_lag)
+        row = (*[r[k] for k in keys], *[got[x] for x in ("verdict", "n", "lag", "statistic", "p_value")])
+        out = out.unionByName(df.sparkSession.createDataFrame([row], kind))
+    return out
+
+
 def zscore_outlier_flags(df: DataFrame, columns: list[str], threshold: float = 3.0) -> dict[str, bool]:
     """Does any value lie more than `threshold` deviations from the mean?"""
     s = wide_agg(df, {x: F.struct(F.avg(dbl(x)), F.stddev_samp(dbl(x)), F.min(dbl(x)), F.max(dbl(x)))

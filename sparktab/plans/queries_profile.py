@@ -215,6 +215,17 @@ def _(t):
                                    "n bigint, lag bigint, statistic double, p_value double, verdict string")
 
 
+@query("adf_by_series", """
+with s as (select user_id, value, lag(value) over (partition by user_id order by ts, event_id) as prev from events),
+r as (select user_id, value - prev as dy, prev as x from s where prev is not null),
+f as (select user_id, count(*) as n, regr_slope(dy, x) as b, regr_sxx(dy, x) as sxx, regr_syy(dy, x) as syy from r group by 1)
+select user_id, (select count(*) from events e where e.user_id = u.user_id) as n, case when n >= 19 then 0::bigint end as lag,
+ case when n >= 19 then round(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx), 4) end as statistic from (select distinct user_id from events) u left join f using (user_id)""")
+def _(t):
+    out = profile.adf_by_series(t.events, ["user_id"], "value", ["ts", "event_id"], max_lag=0)
+    return out.select("user_id", "n", "lag", (F.round("statistic", 4) + 0.0).alias("statistic"))
+
+
 OUT = ["value", "event_id"]
 
 

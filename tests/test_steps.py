@@ -157,6 +157,25 @@ def test_unit_root_test(spark):
     assert profile.adf_stationarity(df.limit(10), "noise", ["t"])["verdict"] == "Unknown"
 
 
+def test_unit_root_test_of_each_series(spark):
+    rng = np.random.default_rng(8)
+    series = {1: rng.normal(size=300), 2: np.cumsum(rng.normal(size=500)), None: rng.normal(size=120).cumsum() * 0.1 + rng.normal(size=120),
+              3: rng.normal(size=10), 4: np.ones(50), 5: np.array([np.nan] * 30)}
+    rows = [(k, i, float(v), "x") for k, x in series.items() for i, v in enumerate(x)] + [(1, 1000, None, "x"), (1, 1001, float("nan"), "x")]
+    rng.shuffle(rows)
+    rows = [(None if r[0] is None else int(r[0]), int(r[1]), None if r[2] is None else float(r[2]), "x") for r in rows]
+    df = spark.createDataFrame(rows, "k int, t int, v double, lag string")
+    for limit, lag in ((1_000_000, None), (200, None), (1_000_000, 2)):
+        got = {r["k"]: r for r in profile.adf_by_series(df, ["k"], "v", ["t"], lag, limit).collect()}
+        assert set(got) == set(series)
+        for k in (1, 2, None):
+            one = profile.adf_stationarity(df.filter(F.col("k").eqNullSafe(F.lit(k))), "v", ["t"], lag)
+            assert (got[k]["verdict"], got[k]["n"], got[k]["lag"]) == (one["verdict"], one["n"], one["lag"])
+            assert math.isclose(got[k]["statistic"], one["statistic"], rel_tol=1e-8) and math.isclose(got[k]["p_value"], one["p_value"], abs_tol=1e-9)
+        assert [(got[k]["verdict"], got[k]["n"]) for k in (3, 4, 5)] == [("Unknown", 10), ("Unknown", 50), ("Unknown", 0)]
+    assert profile.adf_by_series(df.limit(0), ["k"], "v", ["t"]).count() == 0
+
+
 def test_auto_preprocess_flow(spark):
     rng = np.random.default_rng(9)
     rows = [(i, float(np.exp(rng.normal() * 2)), "yes" if i % 2 else "no", f"2024-01-{i % 28 + 1:02d}", str(i % 50),
