@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from sparktab.functions.aggregate import wide_agg
 from sparktab.functions.columns import c, dbl, micros
 from sparktab.functions.order import fill_series, lookup_series, null_safe_join, series_window
+from sparktab.functions.staging import stage
 
 
 def lag_features(df, keys, order_by, value, lags=(1, 5, 10), **kw) -> DataFrame:
@@ -165,6 +168,108 @@ def _ridge(gram: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(gram[:p, :p] + np.diag(penalty), gram[:p, p], rcond=None)[0]
 
 
+def _solved(grams: np.ndarray, penalty: float) -> np.ndarray:
+    """Coefficients of the last column on the others, for a stack of summed products."""
+    p = grams.shape[1] - 1
+    inverse = np.linalg.pinv(grams[:, :p, :p] + penalty * np.eye(p), rcond=p * np.finfo(float).eps)
+    return np.einsum("sij,sj->si", inverse, grams[:, :p, p])
+
+
+def _steps(rows: pd.DataFrame, keys: list[str], paths: np.ndarray) -> pd.DataFrame:
+    """One row per series and step."""
+    out = rows.loc[rows.index.repeat(paths.shape[1]), keys].reset_index(drop=True)
+    return out.assign(step=np.tile(np.arange(1, paths.shape[1] + 1, dtype="int32"), len(rows)), forecast=paths.ravel())[[*keys, "step", "forecast"]]
+
+
+def arma_fit(df: DataFrame, keys: list[str], order_by: list[str], value: str, p: int = 1, q: int = 1, d: int = 1, long: int = 20,
+             constant: bool = False, **kw) -> DataFrame:
+    """ARIMA(p, d, q) of every series by two regressions: keys, level, phi, theta, past, shocks, last.
+
+    First a long autoregression of the d times differenced values gives each row its shock (what it could not tell); then the
+    values are regressed on their own p lags and on q lagged shocks. Both are solved from summed products per series, so a series of any
+    length is spread over tasks. `past` and `shocks` are the latest differenced values and shocks, newest first, `last` the latest levels of each
+    order of difference: what a forecast starts from. A gap keeps out the rows that reach over it; a series that is too short
+    or ends in one has null coefficients.
+    """
+    reach = long + q
+    lagged = {f"_y{i}": (lambda w, i=i: F.lag(dbl(value), i).over(w)) for i in range(1, reach + d + 1)}
+    wide = series_window(df, keys, order_by, reach + d, 0, lagged, **kw).withColumn("_y0", dbl(value))
+
+    def differenced(i: int, times: int):
+        return reduce(add, [F.lit(float((-1) ** j * math.comb(times, j))) * F.col(f"_y{i + j}") for j in range(times + 1)])
+
+    by = [c(k) for k in keys]
+    zs = [differenced(i, d) for i in range(reach + 1)]
+    rows = stage(wide.select(*by, F.struct(*[c(o) for o in order_by]).alias("_o"), F.array(*zs).alias("_z"),
+                             F.array(*[differenced(0, i) for i in range(d)] or [F.lit(None).cast("double")]).alias("_last")), "arma-rows")
+    known = rows.filter(F.forall("_z", lambda v: v.isNotNull()))
+    one = [F.lit(1.0).alias("_one")] if constant else []
+    z = lambda i: F.get("_z", F.lit(i))
+
+    def coefficients(src: DataFrame, parts: list, name: str) -> DataFrame:
+        names = [*(["_one"] if constant else []), *[f"_x{i}" for i in range(len(parts))]]
+        gram = grouped_gram(src.select(*by, *one, *[x.alias(f"_x{i}") for i, x in enumerate(parts)]), keys, names)
+        size = len(names)
+        kind = T.StructType([*[gram.schema[k] for k in keys], T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+        def run(batches):
+            for b in batches:
+                if len(b):
+                    beta = _solved(np.stack(b["gram"].to_numpy()).reshape(len(b), size, size), 1e-10)
+                    yield b[keys].assign(**{name: list(beta)})
+
+        return stage(gram.mapInPandas(run, kind), name.strip("_"))
+
+    def told(src: DataFrame, table: DataFrame, name: str) -> DataFrame:
+        if keys:
+            return lookup_series(src, table, keys)
+        first = table.first()
+        return src.withColumn(name, F.lit(None).cast("array<double>") if first is None else F.array(*[F.lit(float(v)) for v in first[name]]))
+
+    off = 1 if constant else 0
+    ahead = coefficients(known, [*[z(i) for i in range(1, long + 1)], z(0)], "_long")
+
+    def shock(i: int):
+        guess = [F.get("_long", F.lit(off + j - 1)) * z(i + j) for j in range(1, long + 1)]
+        return z(i) - reduce(add, guess + ([F.get("_long", F.lit(0))] if constant else []))
+
+    shocked = told(known, ahead, "_long").withColumn("_e", F.array(*[shock(i) for i in range(q + 1)]))
+    e = lambda i: F.get("_e", F.lit(i))
+    short = coefficients(shocked, [*[z(i) for i in range(1, p + 1)], *[e(i) for i in range(1, q + 1)], z(0)], "_short")
+    last = told(rows, ahead, "_long").withColumn("_e", F.array(*[shock(i) for i in range(max(q, 1))]))
+    last = last.groupBy(*by).agg(F.max_by(F.struct("_z", "_e", "_last"), "_o").alias("_s"))
+    last = told(last, short, "_short")
+    return last.select(*by, (F.get("_short", F.lit(0)) if constant else F.when(F.col("_short").isNotNull(), F.lit(0.0))).alias("level"),
+                       F.slice("_short", off + 1, p).alias("phi") if p else F.array().cast("array<double>").alias("phi"),
+                       F.slice("_short", off + p + 1, q).alias("theta") if q else F.array().cast("array<double>").alias("theta"),
+                       F.slice("_s._z", 1, max(p, 1)).alias("past"), F.slice("_s._e", 1, max(q, 1)).alias("shocks"), F.col("_s._last").alias("last"))
+
+
+def arma_forecast(fit: DataFrame, keys: list[str], horizon: int, d: int = 1) -> DataFrame:
+    """(keys, step, forecast) from arma_fit; null for series without coefficients or that end in a gap."""
+    schema = T.StructType([*[fit.schema[k] for k in keys], T.StructField("step", T.IntegerType()), T.StructField("forecast", T.DoubleType())])
+    whole = lambda x: F.coalesce(F.forall(x, lambda v: v.isNotNull()), F.lit(False))
+    can = F.col("level").isNotNull() & whole("past") & whole("shocks") & (whole("last") if d else F.lit(True))
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            at = {x: np.stack(b[x].to_numpy()).astype("float64") for x in ("phi", "theta", "past", "shocks", "last")}
+            past, shocks, last, paths = at["past"], at["shocks"], at["last"], []
+            for _ in range(horizon):
+                now = b["level"].to_numpy() + (at["phi"] * past[:, :at["phi"].shape[1]]).sum(1) + (at["theta"] * shocks[:, :at["theta"].shape[1]]).sum(1)
+                past = np.column_stack([now, past[:, :-1]])
+                shocks = np.column_stack([np.zeros(len(b)), shocks[:, :-1]])
+                for i in range(d - 1, -1, -1):  # from the difference back to the level
+                    now = last[:, i] + now
+                    last[:, i] = now
+                paths.append(now)
+            yield _steps(b, keys, np.column_stack(paths))
+
+    return fit.filter(can).mapInPandas(run, schema).unionByName(_no_forecast(fit.filter(~can), keys, horizon))
+
+
 def ar_forecast(df: DataFrame, keys: list[str], order_by: list[str], value: str, horizon: int,
                 lags: tuple[int, ...] = (1, 2, 3, 4, 5), season: int = 0, **kw) -> DataFrame:
     """Difference once (and at `season`), regress on its own lags, forecast step by step.
@@ -198,24 +303,20 @@ def ar_forecast(df: DataFrame, keys: list[str], order_by: list[str], value: str,
 
     def run(batches):
         for rows in batches:
-            for _, r in rows.iterrows():
-                g = np.array(r["gram"]).reshape(size, size)
-                beta = _ridge(g, np.full(size - 1, 1e-8))
-                y = list(np.array(r["tail"], dtype="float64")[::-1])
-                path = np.empty(horizon)
-                for h in range(horizon):
-                    def zz(i):
-                        d = y[-i] - y[-i - 1]
-                        return d - (y[-i - season] - y[-i - season - 1]) if season else d
-                    step = beta[0] + sum(b * zz(i) for b, i in zip(beta[1:], lags))
-                    base = y[-1] + (y[-season] - y[-season - 1] if season else 0.0)
-                    y.append(base + step)
-                    y = y[-(reach + 2):]
-                    path[h] = y[-1]
-                out = pd.DataFrame({"step": np.arange(1, horizon + 1, dtype="int32"), "forecast": path})
-                for k in keys:
-                    out[k] = _constant(r[k], horizon)
-                yield out[[*keys, "step", "forecast"]]
+            if not len(rows):
+                continue
+            beta = _solved(np.stack(rows["gram"].to_numpy()).reshape(len(rows), size, size), 1e-8)
+            y = np.stack(rows["tail"].to_numpy()).astype("float64")[:, ::-1]  # oldest first, a row per series
+            paths = []
+            for _ in range(horizon):
+                def zz(i):
+                    d = y[:, -i] - y[:, -i - 1]
+                    return d - (y[:, -i - season] - y[:, -i - season - 1]) if season else d
+                step = beta[:, 0] + sum(beta[:, j + 1] * zz(i) for j, i in enumerate(lags))
+                base = y[:, -1] + (y[:, -season] - y[:, -season - 1] if season else 0.0)
+                y = np.column_stack([y[:, -(reach + 1):], base + step])
+                paths.append(y[:, -1])
+            yield _steps(rows, keys, np.column_stack(paths))
 
     can = F.coalesce(F.forall("tail", lambda v: v.isNotNull()), F.lit(False)) & F.col("gram").isNotNull()
     return both.filter(can).mapInPandas(run, schema).unionByName(_no_forecast(both.filter(~can), keys, horizon))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparktab.functions.columns import c
+from sparktab.functions.columns import c, unit_hash
+from sparktab.functions.order import series_window
 from sparktab.operators import neighbors as nb
 from sparktab.operators import split
 from sparktab.operators import timeseries as ts
@@ -153,6 +154,23 @@ def _(t):
     return ts.ar_forecast(ev(t), KEY, ORD, "value", 5, lags=(1, 12, 13), season=12)
 
 
+@query("arma_forecast")
+def _(t):
+    return ts.arma_forecast(ts.arma_fit(ev(t), KEY, ORD, "value", long=8), KEY, 5)
+
+
+@query("arma_coefficients", "select true as phi_found, true as theta_found")
+def _(t):
+    """Shocks from a hash of the events' ids make a series with known coefficients 0.5 and 0.4, which the fit gives back."""
+    e = t.events.select("event_id", (unit_hash(F.col("event_id"), "shock") - 0.5).alias("u"))
+    w = lambda x: x.rowsBetween(-40, 0)
+    made = series_window(e, [], ["event_id"], 40, 0, {"us": lambda x: F.collect_list("u").over(w(x))})
+    at = lambda i: F.coalesce(F.get(F.reverse("us"), F.lit(i)), F.lit(0.0))
+    y = sum((0.5 ** k * (at(k) + 0.4 * at(k + 1)) for k in range(30)), F.lit(0.0))
+    r = ts.arma_fit(made.select("event_id", y.alias("y")), [], ["event_id"], "y", d=0).first()
+    return t.spark.createDataFrame([(abs(r["phi"][0] - 0.5) < 0.05, abs(r["theta"][0] - 0.4) < 0.05)], "phi_found boolean, theta_found boolean")
+
+
 @query("trend_season_forecast")
 def _(t):
     df = split.split_time(ev(t), "ts", "event_id")

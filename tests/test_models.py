@@ -274,3 +274,41 @@ def test_chunks_of_a_large_vocabulary_are_told_apart(spark):
     assert [r["id"] for r in got[0] if r["rank"] == 1] == [r["query"] for r in got[0] if r["rank"] == 1] == list(range(3, n, 10))
     assert all(r["d2"] < 1e-9 for r in got[0] if r["rank"] == 1) and all(r["d2"] > 1.5 for r in got[0] if r["rank"] == 2)
     assert [(r["query"], r["id"], r["rank"]) for r in got[0]] == [(r["query"], r["id"], r["rank"]) for r in got[1]]
+
+
+def test_arma_gives_its_coefficients_back(spark):
+    rng = np.random.default_rng(31)
+
+    def made(n, phi, theta, d):
+        u = rng.normal(size=n + 50)
+        z = np.zeros(n + 50)
+        for i in range(1, n + 50):
+            z[i] = phi * z[i - 1] + u[i] + theta * u[i - 1]
+        return np.cumsum(z[50:]) if d else z[50:]
+
+    series = {("a", 1): made(6000, 0.6, 0.3, 1), ("b", 1): made(6000, -0.4, -0.5, 1), (None, 1): made(6000, 0.5, 0.7, 1)}
+    rows = [(k[0], i, float(v)) for k, x in series.items() for i, v in enumerate(x)] + [("short", i, float(i)) for i in range(5)]
+    rows += [("gap", i, None if i == 299 else float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "s string, t int, v double").repartition(7)
+    for limit in (1_000_000, 3000):
+        fit = timeseries.arma_fit(df, ["s"], ["t"], "v", limit=limit)
+        got = {r["s"]: r for r in fit.collect()}
+        for k, phi, theta in (("a", 0.6, 0.3), ("b", -0.4, -0.5), (None, 0.5, 0.7)):
+            assert abs(got[k]["phi"][0] - phi) < 0.05 and abs(got[k]["theta"][0] - theta) < 0.05
+        assert got["short"]["phi"] is None
+        ahead = {}
+        for r in timeseries.arma_forecast(fit, ["s"], 4).orderBy("step").collect():
+            ahead.setdefault(r["s"], []).append(r["forecast"])
+        assert ahead["short"] == ahead["gap"] == [None] * 4 and len(ahead) == 5
+        r = got["a"]
+        z, y, want = r["phi"][0] * r["past"][0] + r["theta"][0] * r["shocks"][0], series["a", 1][-1], []
+        for _ in range(4):
+            y += z
+            want.append(y)
+            z *= r["phi"][0]
+        assert np.allclose(ahead["a"], want)
+    one = spark.createDataFrame([(i, float(v)) for i, v in enumerate(made(5000, 0.6, 0.3, 0))], "t int, v double")
+    fit = timeseries.arma_fit(one, [], ["t"], "v", d=0, constant=True)
+    assert abs(fit.first()["phi"][0] - 0.6) < 0.05 and timeseries.arma_forecast(fit, [], 3, d=0).count() == 3
+    pure = timeseries.arma_fit(one, [], ["t"], "v", p=0, q=2, d=2)
+    assert timeseries.arma_forecast(pure, [], 3, d=2).filter("forecast is not null").count() == 3
