@@ -5,8 +5,8 @@ own format by a keyed Feistel network and put back in its place. The permutation
 only, so equal values get equal pseudonyms in all documents and different values different ones.
 
 Numbers: payment cards (first digit and length stay, the check digit is made valid again), North American phone
-numbers, social security numbers, IP addresses. Dates from 1900 to 2099, in three notations. Mail addresses (the part before the @)
-and credentials go through the same network character by character, each staying in its class.
+numbers (with +1 and brackets any area code), social security numbers, IP addresses. Dates from 1900 to 2099, in three notations. Mail addresses (the part before the @)
+and credentials of 8 characters and more go through the same network character by character, each staying in its class.
 
 A round adds a keyed digest of one half to the other half, modulo the size of that half's domain; with ROUNDS alternating
 rounds this is a bijection. Where a domain is not a product (dates), the permutation is walked until it falls inside.
@@ -24,21 +24,27 @@ from pyspark.sql import functions as F
 from sparktab.llm.common import query, table
 
 ROUNDS = 8
-KEY = "example key: pass your own"
+KEY = "example key: pass your own"  # of the query only
 FIRST_DAY, DAYS = -25567, 73049  # 1900-01-01 to 2099-12-31, in days since 1970
 
 # Fixed patterns. Each is bounded on the left, so a long run is read once.
-CREDENTIAL = r"(?<=\b(?i:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"',;]{8,}"
+NAME = r"(?i:password|passwd|token|secret|api_?key)(?i:_?key)?[\"']?\s{0,2}[=:]"  # with any prefix, in JSON too
+CREDENTIAL = rf"(?<={NAME}\s{{0,2}}[\"']?)[^\s\"',;]{{8,}}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
-PHONE = r"(?<![\d(+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)"
+PHONE_FORM = r"(?:\+1[ .-]?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4})"
+PHONE = rf"(?<![\d(+]){PHONE_FORM}(?!\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])"
-ANY = "|".join((ACCESS_KEY, MAIL, PHONE, SOCIAL, DATE, ADDRESS, CARD, CREDENTIAL))
+#: Credentials first: one that begins like another value is replaced as a whole.
+ANY = "|".join((CREDENTIAL, ACCESS_KEY, MAIL, PHONE, SOCIAL, DATE, ADDRESS, CARD))
 #: No value without one of these, so most texts are read by this pattern only.
-SIGN = r"[0-9@]|(?i:password|passwd|token|secret|api_?key)\s{0,2}[=:]"
+SIGN = rf"[0-9@]|{NAME}"
+#: Letters beside a-z and A-Z (first, last code point): each stays in its range.
+LETTERS = ((0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF), (0x100, 0x17F), (0x391, 0x3A1), (0x3B1, 0x3C9), (0x400, 0x42F), (0x430, 0x45F),
+           (0x5D0, 0x5EA), (0x621, 0x63A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 
 
 def let(value: Column, then) -> Column:
@@ -111,10 +117,11 @@ def card(key: str, value: Column) -> Column:
 def phone(key: str, value: Column) -> Column:
     def of(d: Column) -> Column:
         lead, n = F.substring(d, F.lit(1), F.length(d) - 10), F.right(d, F.lit(10))
-        p = permute(key, "phone", F.substring(n, 1, 3).cast("bigint") - 200,
-                    (F.substring(n, 4, 3).cast("bigint") - 200) * 10_000 + F.substring(n, 7, 4).cast("bigint"), F.lit(800), F.lit(8_000_000))
-        return _refill(value, let(p, lambda p: F.concat(lead, (p["l"] + 200).cast("string"), (F.floor(p["r"] / 10_000) + 200).cast("string"),
-                                                        _pad(p["r"] % 10_000, 4))))
+        area, office = F.substring(n, 1, 3).cast("bigint"), F.substring(n, 4, 3).cast("bigint")
+        a, o = (F.when(x >= 200, 200).otherwise(0) for x in (area, office))  # codes from 200 on, and those below, among themselves
+        size = lambda x: F.when(x > 0, 800).otherwise(200)
+        p = permute(key, "phone", area - a, (office - o) * 10_000 + F.substring(n, 7, 4).cast("bigint"), size(a), size(o) * 10_000)
+        return _refill(value, let(p, lambda p: F.concat(lead, _pad(p["l"] + a, 3), _pad(F.floor(p["r"] / 10_000) + o, 3), _pad(p["r"] % 10_000, 4))))
     return let(F.regexp_replace(value, r"\D", ""), of)
 
 
@@ -135,7 +142,11 @@ def address(key: str, value: Column) -> Column:
 
 
 def date(key: str, value: Column) -> Column:
-    """Pseudonym of a calendar date in the notation it came in; null if there is no such day."""
+    """Pseudonym of a calendar date in the notation it came in; null if there is no such day.
+
+    A date of two-digit parts is read day first; month first only where that can't be (its second part above 12). Those are
+    permuted among themselves, so that each notation keeps different dates apart.
+    """
     iso, sep = value.rlike(r"^\d{4}-"), F.substring(value, 3, 1)
     day = F.when(iso, F.try_to_timestamp(value, F.lit("yyyy-MM-dd"))).otherwise(
         F.try_to_timestamp(F.regexp_replace(value, r"\.", "/"), F.lit("dd/MM/yyyy")))
@@ -145,9 +156,10 @@ def date(key: str, value: Column) -> Column:
 
     def walk(x: Column, i: Column) -> Column:
         p = permute(key, "date", F.floor(x / 271), x % 271, F.lit(270), F.lit(271))
-        return F.when((i == 1) | (x >= DAYS), let(p, lambda p: p["l"] * 271 + p["r"])).otherwise(x)
+        early = F.day(F.date_from_unix_date((F.least(x, F.lit(DAYS - 1)) + FIRST_DAY).cast("int"))) <= 12
+        return F.when((i == 1) | (x >= DAYS) | (american & early), let(p, lambda p: p["l"] * 271 + p["r"])).otherwise(x)
 
-    out = F.date_from_unix_date((F.aggregate(F.sequence(F.lit(1), F.lit(24)), n.cast("bigint"), walk) + FIRST_DAY).cast("int"))
+    out = F.date_from_unix_date((F.aggregate(F.sequence(F.lit(1), F.lit(60)), n.cast("bigint"), walk) + FIRST_DAY).cast("int"))
     def written(out: Column) -> Column:
         d, m, y = (F.date_format(out, f) for f in ("dd", "MM", "yyyy"))
         return (F.when(iso, F.date_format(out, "yyyy-MM-dd")).when(american, F.concat(m, sep, d, sep, y))
@@ -157,7 +169,7 @@ def date(key: str, value: Column) -> Column:
 
 
 def characters(key: str, kind: str, value: Column) -> Column:
-    """Class-preserving Feistel permutation of a string: letters a-z, A-Z and digits stay what they are; lower-case hex stays hex."""
+    """Class-preserving Feistel permutation of a string: letters a-z, A-Z, those of LETTERS and digits stay in their range; lower-case hex stays hex."""
     letters = F.when(value.rlike("^[0-9a-f]+$"), 6).otherwise(26)
 
     def shift(half: Column, other: Column, i: Column) -> Column:
@@ -169,8 +181,13 @@ def characters(key: str, kind: str, value: Column) -> Column:
                 code = F.ascii(ch)
                 def turn(base: int, size) -> Column:
                     return F.char(F.lit(base) + (code - base + k) % size)
-                return (F.when(ch.between("0", "9"), turn(48, F.lit(10))).when(ch.between("a", "z"), turn(97, letters))
-                        .when(ch.between("A", "Z"), turn(65, F.lit(26))).otherwise(ch))
+                def wide(first: int, last: int) -> Column:
+                    at_ = F.lit(first) + (code - first + k) % (last - first + 1)
+                    return F.decode(F.unhex(F.lpad(F.hex(at_), 4, "0")), "UTF-16BE")
+                out = F.when(ch.between("0", "9"), turn(48, F.lit(10))).when(ch.between("a", "z"), turn(97, letters)).when(ch.between("A", "Z"), turn(65, F.lit(26)))
+                for first, last in LETTERS:
+                    out = out.when(ch.between(chr(first), chr(last)), wide(first, last))
+                return out.otherwise(ch)
             return F.array_join(F.transform(chars, move), "")
 
         return let(_digest(key, kind, i, other), all_)
@@ -191,7 +208,7 @@ def pseudonym(key: str, value: Column) -> Column:
     def named(col: Column, kind: str) -> Column:
         return let(col, lambda t: F.struct(F.coalesce(t, value).alias("t"), F.when(t.isNotNull(), F.lit(kind)).alias("kind")))
     return (F.when(value.rlike(r"^AKIA[0-9A-Z]{16}$"), named(F.concat(F.lit("AKIA"), characters(key, "key", F.substring(value, 5, 16))), "name"))
-            .when(value.rlike(r"^(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}$"), named(phone(key, value), "number"))
+            .when(value.rlike(f"^{PHONE_FORM}$"), named(phone(key, value), "number"))
             .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), named(social(key, value), "number"))
             .when(value.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})$"), named(date(key, value), "date"))
             .when(value.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), named(address(key, value), "number"))
@@ -200,8 +217,8 @@ def pseudonym(key: str, value: Column) -> Column:
             .otherwise(named(characters(key, "secret", value), "name")))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The rows of `docs` with their text rewritten, and how many numbers, dates and names (mail, credentials) it had."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """With the caller's secret key: the rows of `docs` with their text rewritten, and how many numbers, dates and names (mail, credentials) it had."""
     values = F.when(F.col("text").rlike(SIGN), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     found = docs.withColumn("__found", F.transform(values, lambda v: pseudonym(key, v)))
     pieces = F.split("text", ANY, -1)
@@ -216,4 +233,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 @query("op7_pii")
 def op7_pii(spark, folder):
-    return pseudonymise(table(spark, folder, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, folder, "documents").select("doc_id", "text"), KEY)

@@ -287,7 +287,7 @@ def test_votes_find_the_bad_class():
 def test_long_secrets_and_upper_case_names(spark):
     token = "".join(random.Random(7).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(200))
     texts = [f"token={token} end", f"Password: {token[:20]} end", f"API_KEY='{token}' end", "Secret = HunterTwoIsLong", "PASSWD:abcdefgh"]
-    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), pii.KEY).orderBy("doc_id").collect()]
     for was, now in zip(texts, got):
         assert len(now) == len(was) and now.startswith(was[:was.index("=" if "=" in was else ":") + 1])
     parts = [token[i:i + 8] for i in range(0, 193)]
@@ -299,7 +299,7 @@ def test_pseudonyms(spark, odd, none):
     text = ("call +1 (988) 555-2485 or (212) 555-0199, card 4111 1111 1111 1111 and 4111111111111112, ssn 123-45-6789 not 000-12-3456, on 2024-02-29 not 2023-02-29, "
             "13/02/2024, ip 70.123.182.155 not 300.1.1.1, mail bob.42@mail8.example.com password=e3b3ed3cc8548923d6")
     df = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (3, None, "c"), (4, "", None), (5, "+1 (988) 555-2485", "n")], "doc_id bigint, text string, n_dates string")
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(df, pii.KEY).collect()}
     one = got[1].text
     assert one == got[2].text and got[5].text in one and (got[3].text, got[4].text, got[3].n_dates) == (None, "", 0)
     for gone in ("988) 555-2485", "4111 1111 1111 1111", "123-45-6789", "2024-02-29", "13/02/2024", "70.123.182.155", "bob.42", "e3b3ed3cc8548923d6"):
@@ -308,7 +308,7 @@ def test_pseudonyms(spark, odd, none):
         assert stays in one
     assert len(one) == len(text) or abs(len(one) - len(text)) < 8
     assert (got[1].n_numbers, got[1].n_dates, got[1].n_names) == (5, 2, 2)
-    assert pii.pseudonymise(odd).count() == odd.count() and pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(odd, pii.KEY).count() == odd.count() and pii.pseudonymise(none, pii.KEY).count() == 0
     assert pii.pseudonymise(df, "other key").first().text != one
 
 
