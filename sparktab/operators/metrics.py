@@ -78,19 +78,21 @@ def classification_values(df: DataFrame, label: str, prediction: str, pos_label=
 
     One row of sums over the classes reaches the driver, however many there are.
     """
-    per = stage(class_counts(df, label, prediction), "classes")
+    per = class_counts(df, label, prediction)
     whole = lambda x: F.col(x).cast("decimal(18,0)")
-    support = F.col("support")
+    support, scores = F.col("support"), F.struct("f1", "precision", "recall")
+    is_one = F.coalesce(F.col("class").cast("string").try_cast("double") == 1, F.lit(False))
+    chosen = is_one if pos_label is None else F.col("class") == F.lit(pos_label)
     row = per.agg(F.sum("support").alias("n"), F.sum("hits").alias("hit"), F.count_if(support > 0).alias("classes"),
                   *[F.sum(F.col(m) * support).alias(m) for m in ("f1", "precision", "recall")],
                   F.sum(whole("support") * whole("chosen")).alias("cross"), F.sum(whole("chosen") * whole("chosen")).alias("chosen2"),
                   F.sum(whole("support") * whole("support")).alias("support2"),
-                  F.max(F.when(support > 0, F.col("class"))).alias("last"), F.max((support > 0) & (F.col("class").cast("string").try_cast("double") == 1)).alias("one")).first()
+                  F.max_by(scores, F.when(support > 0, F.col("class"))).alias("last"), F.max(F.when(chosen, scores)).alias("asked"),
+                  F.max((support > 0) & is_one).alias("one")).first()
     n, hit, cross = int(row["n"] or 0), int(row["hit"] or 0), int(row["cross"] or 0)
     out = {"accuracy": _safe(hit, n)}
     if row["classes"] == 2:
-        pos = pos_label if pos_label is not None else (1 if row["one"] else row["last"])
-        one = per.filter(F.col("class") == F.lit(pos)).first()
+        one = row["asked"] if pos_label is not None or row["one"] else row["last"]
         out |= {m: float(one[m]) if one else 0.0 for m in ("f1", "precision", "recall")}
     else:
         out |= {m: _safe(float(row[m] or 0), n) for m in ("f1", "precision", "recall")}

@@ -95,7 +95,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, high: flo
     cols = columns or numeric_columns(df)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "left string, right string, r double, is_high boolean")
-    if len(cols) * (len(cols) - 1) // 2 <= WIDTH:
+    if len(cols) * (len(cols) - 1) // 2 <= FEW_PAIRS:
         rows = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), _corr(a, b).alias("r"))
                 for a, b in itertools.combinations(cols, 2)]
         pairs = _long(df, rows, WIDTH)
@@ -108,6 +108,7 @@ def _corr(a: str, b: str) -> Column:
     return F.nullif(F.corr(dbl(a), dbl(b)), F.lit(float("nan")))
 
 
+FEW_PAIRS = 24  # up to which they are aggregates of one compiled pass
 FLAT = 1e-12  # share of a column's squares below which its variance is rounding
 
 
