@@ -46,6 +46,42 @@ def micros(ts: Column) -> Column:
             + (second * F.lit(1_000_000)).cast("bigint"))
 
 
+# How dates are written besides the ISO form (""), and what such a text looks like. Month first goes before day first.
+DATE_FORMATS = {
+    "": None,
+    "M/d/yyyy[ H:mm[:ss]]": r"^\d{1,2}/\d{1,2}/\d{4}",
+    "d/M/yyyy[ H:mm[:ss]]": r"^\d{1,2}/\d{1,2}/\d{4}",
+    "yyyy/M/d[ H:mm[:ss]]": r"^\d{4}/\d{1,2}/\d{1,2}",
+    "d.M.yyyy[ H:mm[:ss]]": r"^\d{1,2}\.\d{1,2}\.\d{4}",
+    "M-d-yyyy[ H:mm[:ss]]": r"^\d{1,2}-\d{1,2}-\d{4}",
+    "d-M-yyyy[ H:mm[:ss]]": r"^\d{1,2}-\d{1,2}-\d{4}",
+    "d MMM yyyy[ H:mm[:ss]]": r"^\d{1,2} [A-Z][a-z]{2} \d{4}",
+    "MMM d, yyyy[ H:mm[:ss]]": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}",
+    "d MMMM yyyy[ H:mm[:ss]]": r"^\d{1,2} [A-Z][a-z]{2,8} \d{4}",
+    "MMMM d, yyyy[ H:mm[:ss]]": r"^[A-Z][a-z]{2,8} \d{1,2}, \d{4}",
+}
+
+
+def read_time(col: Column, how: str) -> Column:
+    """Timestamp of a text in one of DATE_FORMATS; null where it isn't one. Only texts of that look are parsed."""
+    if not how:
+        return F.try_to_timestamp(col)
+    text = F.trim(col)
+    return F.when(text.rlike(DATE_FORMATS[how]), F.try_to_timestamp(text, F.lit(how)))
+
+
+def date_formats(df: DataFrame, names: list[str]) -> dict[str, tuple[str, int]]:
+    """{column: (format, values it reads)}: the format that reads most values of a text column, the earlier one of equals.
+
+    One format holds for a whole column, so day and month aren't mixed up from row to row. Plain numbers are no dates.
+    """
+    from sparktab.functions.aggregate import wide_agg
+    asked = {(n, how): F.count(F.when(c(n).try_cast("double").isNull(), read_time(c(n), how))) for n in names for how in DATE_FORMATS}
+    seen = wide_agg(df, asked)
+    best = {n: max(DATE_FORMATS, key=lambda how: seen[n, how]) for n in names}
+    return {n: (how, seen[n, how]) for n, how in best.items()}
+
+
 def row_hash(columns: list[str]) -> Column:
     """md5 over the named columns; nulls are kept apart from empty strings."""
     return F.md5(F.to_json(F.struct(*[c(n) for n in columns]), {"ignoreNullFields": "false"}))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktab.functions.aggregate import exact_quantiles, wide_agg
-from sparktab.functions.columns import (c, long_rows, numeric_columns, string_columns,
+from sparktab.functions.columns import (c, date_formats, long_rows, numeric_columns, read_time, string_columns,
                                         timestamp_columns)
 from sparktab.functions.staging import stage
 from sparktab.operators.base import Fitted, Step
@@ -134,10 +134,11 @@ def drop_target_if_present(df: DataFrame, targets: list[str]) -> DataFrame:
 
 
 def column_roles(df: DataFrame) -> DataFrame:
-    """numeric, categorical or date per column; text named like a date must parse everywhere."""
+    """numeric, categorical or date per column; text named like a date must be read everywhere by one of DATE_FORMATS."""
     nums, dates = set(numeric_columns(df)), set(timestamp_columns(df))
     named = [n for n in string_columns(df) if "date" in n.lower() or "time" in n.lower()]
-    bad = wide_agg(df, {n: F.count_if(c(n).isNotNull() & F.try_to_timestamp(c(n)).isNull()) for n in named})
+    how = {n: f for n, (f, _) in date_formats(df, named).items()}
+    bad = wide_agg(df, {n: F.count_if(c(n).isNotNull() & read_time(c(n), how[n]).isNull()) for n in named})
     dates |= {n for n in named if bad[n] == 0}
     rows = []
     for f in df.schema:

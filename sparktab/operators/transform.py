@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparktab.functions.aggregate import adjusted_skewness, exact_quantiles, wide_agg
-from sparktab.functions.columns import c, dbl, numeric_columns, string_columns, timestamp_columns
+from sparktab.functions.columns import c, date_formats, dbl, numeric_columns, read_time, string_columns, timestamp_columns
 from sparktab.operators.base import Fitted, Step
 
 
@@ -83,26 +83,28 @@ class SkewFixerModel(Fitted):
 
 
 class DatetimeExpander(Step):
-    """year, month, day, dayofweek (Monday = 0) and hour; the source column goes."""
+    """year, month, day, dayofweek (Monday = 0) and hour; the source column goes.
+
+    A text column is a date if one of DATE_FORMATS reads more than `share` of its rows; that format is kept for new data.
+    """
 
     defaults = {"share": 0.8, "exclude": []}
 
     def learn(self, df):
-        text = string_columns(df, self["exclude"])
-        hits = {x: F.count(F.when(c(x).try_cast("double").isNull(), F.try_to_timestamp(c(x)))) for x in text}
-        seen = wide_agg(df, {**hits, "*": F.count(F.lit(1))})
-        parsed = [x for x in text if seen[x] > seen["*"] * self["share"]]
-        return DatetimeExpanderModel(columns=parsed + timestamp_columns(df, self["exclude"]))
+        rows = df.count()
+        found = date_formats(df, string_columns(df, self["exclude"]))
+        formats = {x: how for x, (how, n) in found.items() if n > rows * self["share"]}
+        return DatetimeExpanderModel(columns=list(formats) + timestamp_columns(df, self["exclude"]), formats=formats)
 
 
 class DatetimeExpanderModel(Fitted):
-    defaults = {"columns": []}
+    defaults = {"columns": [], "formats": {}}
 
     def apply(self, df):
         for x in self["columns"]:
             if x not in df.columns:
                 continue
-            ts = F.try_to_timestamp(c(x)) if x in string_columns(df) else c(x)
+            ts = read_time(c(x), self["formats"].get(x, "")) if x in string_columns(df) else c(x)
             df = df.withColumns({f"{x}_year": F.year(ts), f"{x}_month": F.month(ts),
                                  f"{x}_day": F.day(ts), f"{x}_dayofweek": F.weekday(ts),
                                  f"{x}_hour": F.coalesce(F.hour(ts), F.lit(0))}).drop(x)

@@ -70,6 +70,17 @@ def _(t):
     return fit_apply(DatetimeExpander(), df)
 
 
+DATE_TEXTS = {"us": "MM/dd/yyyy", "eu": "dd/MM/yyyy HH:mm:ss", "dots": "d.M.yyyy", "words": "MMM d, yyyy", "dashes": "dd-MM-yyyy HH:mm"}
+
+
+@query("datetime_features_formats", "select o_orderkey, " + ", ".join(
+    f"{part}(o_orderdate)::int as {x}_{part}" for x in DATE_TEXTS for part in ("year", "month", "day")) + ", " + ", ".join(
+    f"(isodow(o_orderdate) - 1)::int as {x}_dayofweek, {'hour(o_orderdate)' if 'HH' in f else '0'}::int as {x}_hour" for x, f in DATE_TEXTS.items()) + " from orders")
+def _(t):
+    df = t.orders.select("o_orderkey", *[F.date_format("o_orderdate", f).alias(x) for x, f in DATE_TEXTS.items()])
+    return fit_apply(DatetimeExpander(), df)
+
+
 @query("transform_all", f"""
 with e as (select *, case when event_type = 'view' then 'yes' else 'no' end as flag,
   json_extract_string(props, '$.k')::double as k from events),

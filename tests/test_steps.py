@@ -238,3 +238,22 @@ def test_metrics_of_any_number_of_classes(spark):
     assert {(r["label"], r["prediction"]): r["n"] for r in metrics.confusion_matrix(text, "y", "p").collect() if r["n"]} == {("a", "a"): 1, ("b", "a"): 1, ("b", "c"): 1}
     assert metrics.classification_values(text, "y", "p")["recall"] == 0.0  # two label classes: of b
     assert metrics.classification_values(text.limit(0), "y", "p")["accuracy"] == 0.0
+
+
+def test_dates_in_the_column_s_own_format(spark):
+    from sparktab.operators import clean
+    rows = [("13/02/2024", "02/13/2024", "3.1.2024 4:05", "Jan 3, 2024", "2024/1/3", "01/02/2024", "20240103", "13/02/2024"),
+            ("01/12/2023", "12/01/2023", "31.12.2023", "Dec 31, 2023", "2023/12/31", "02/03/2024", "20240104", "no date"),
+            (None, None, None, None, None, None, None, "x")]
+    names = ["eu_date", "us_date", "dot_date", "word_date", "slash_date", "unsure_date", "number_date", "mixed_date"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    roles = {r["column"]: r["role"] for r in clean.column_roles(df).collect()}
+    assert [roles[n] for n in names] == ["date"] * 6 + ["categorical"] * 2
+    model = DatetimeExpander(share=0.6).fit(df)
+    assert set(model["columns"]) == set(names[:6])
+    out = model.transform(df).collect()
+    day = lambda r, n: (r[f"{n}_year"], r[f"{n}_month"], r[f"{n}_day"])
+    assert [day(out[0], n) for n in names[:6]] == [(2024, 2, 13), (2024, 2, 13), (2024, 1, 3), (2024, 1, 3), (2024, 1, 3), (2024, 1, 2)]
+    assert day(out[1], "eu_date") == (2023, 12, 1) and out[0]["dot_date_hour"] == 4 and out[2]["eu_date_year"] is None
+    new = model.transform(spark.createDataFrame([("05/06/2025",) + (None,) * 7], df.schema)).first()
+    assert day(new, "eu_date") == (2025, 6, 5)  # read as the fitted column is
