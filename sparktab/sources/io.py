@@ -14,16 +14,20 @@ from pyspark.sql import types as T
 from sparktab.functions.columns import c
 
 RAW = "_raw_row"
+WINDOWS = "windows-1252"  # read as iso-8859-1, whose control characters 0x80 to 0x9F then become the symbols that stand there
+_CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+_SYMBOLS = _CONTROLS.encode("iso-8859-1").decode("cp1252")
 
 
 def _options(encoding: str, multi_line: bool) -> dict:
-    return {"header": True, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+    return {"header": True, "encoding": "iso-8859-1" if encoding == WINDOWS else encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
             "columnNameOfCorruptRecord": RAW, "multiLine": multi_line}
 
 
 def _infer(spark: SparkSession, paths, encoding: str, multi_line: bool) -> T.StructType:
     schema = spark.read.options(**_options(encoding, multi_line), inferSchema=True).csv(paths).schema
-    return T.StructType([f for f in schema if f.name != RAW])
+    name = lambda n: n.translate(str.maketrans(_CONTROLS, _SYMBOLS)) if encoding == WINDOWS else n
+    return T.StructType([T.StructField(name(f.name), f.dataType) for f in schema if f.name != RAW])
 
 
 def _common(schemas: list[T.StructType]) -> T.StructType:
@@ -49,34 +53,58 @@ def _csv(spark: SparkSession, paths, encoding: str, schema: T.StructType, multi_
     # short and long rows both keep their text; only a long row fills one column more
     wide = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(schema.fields) + 1)])
     probe = F.from_csv(c(RAW), wide.simpleString()[7:-1].replace(":", " "), {"nullValue": "\u0001", "quote": '"', "escape": '"'})
-    is_long = F.col(RAW).isNotNull() & probe[f"f{len(schema.fields)}"].isNotNull()
-    return rows.filter(~is_long).drop(RAW)
+    # always true; without a field of the file in the condition Spark refuses a count, which reads no other column
+    counted = F.coalesce(F.length(c(schema.fields[0].name).cast("string")), F.lit(0)) >= 0
+    is_long = F.col(RAW).isNotNull() & probe[f"f{len(schema.fields)}"].isNotNull() & counted
+    out = rows.filter(~is_long).drop(RAW)
+    if encoding == WINDOWS:
+        out = out.withColumns({f.name: F.translate(c(f.name), _CONTROLS, _SYMBOLS) for f in schema.fields if isinstance(f.dataType, T.StringType)})
+    return out
 
 
-def resolve_encoding(spark: SparkSession, path) -> dict[str, list[str]]:
-    """Files by encoding: utf-8 when every line is valid, else iso-8859-1.
+def file_traits(spark: SparkSession, path) -> list[tuple[str, str, bool]]:
+    """(file, encoding, has line breaks inside quotes) of each file.
 
-    Lines are read as raw bytes, so large files are checked in parallel splits.
+    utf-16 by its mark, utf-8 when every line is valid, windows-1252 when there are bytes that iso-8859-1 keeps for
+    control characters, else iso-8859-1. A break inside quotes leaves lines with an odd number of quotes. Lines are read as raw bytes in
+    parallel splits; one row per file is left.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    found = lines.groupBy("file").agg(F.every(F.is_valid_utf8("value")).alias("ok")).collect()
+    raw = F.col("value").cast("binary")
+    valid, mark = F.is_valid_utf8("value"), F.hex(F.substring(raw, 1, 2))
+    found = lines.groupBy("file").agg(
+        F.every(valid).alias("utf8"), F.bool_or(mark.isin("FFFE", "FEFF")).alias("marked"),
+        F.bool_or(~valid & F.hex(raw).rlike("^(?:..)*[89][0-9A-F]")).alias("symbols"),
+        F.bool_or(F.regexp_count("value", F.lit('"')) % 2 == 1).alias("broken"))
+    kind = (F.when(F.col("marked"), "utf-16").when(F.col("utf8"), "utf-8").when(F.col("symbols"), "windows-1252").otherwise("iso-8859-1"))
+    return [tuple(r) for r in found.select("file", kind, F.col("broken") | F.col("marked")).collect()]
+
+
+def resolve_encoding(spark: SparkSession, path) -> dict[str, list[str]]:
+    """Files by encoding: utf-8, utf-16, windows-1252 or iso-8859-1."""
     out: dict[str, list[str]] = {}
-    for r in found:
-        out.setdefault("utf-8" if r["ok"] else "iso-8859-1", []).append(r["file"])
+    for file, kind, _ in file_traits(spark, path):
+        out.setdefault(kind, []).append(file)
     return out
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, encoding: str | None = None,
-             multi_line: bool = True) -> DataFrame:
+             multi_line: bool | None = None) -> DataFrame:
     """Header CSV. Rows with too many fields are left out, short rows are padded with null.
 
-    Line breaks inside quotes belong to the field, which makes a file one split; where none occur, `multi_line=False`
-    lets large files be split. Types are inferred once over the files of all encodings.
+    Line breaks inside quotes belong to the field. Only files that have some are read as one split each; all others are split
+    by size. `encoding` and `multi_line` are found per file unless given. Types are inferred once over all files.
     """
-    groups = {encoding: path} if encoding else {e: sorted(f) for e, f in sorted(resolve_encoding(spark, path).items())}
+    if encoding and multi_line is not None:
+        groups = {(encoding, multi_line): path}
+    else:
+        groups = {}
+        for file, kind, broken in sorted(file_traits(spark, path)):
+            groups.setdefault((encoding or kind, broken if multi_line is None else multi_line), []).append(file)
+        groups = dict(sorted(groups.items()))
     if schema is None:
-        schema = _common([_infer(spark, files, e, multi_line) for e, files in groups.items()])
-    parts = [_csv(spark, files, e, schema, multi_line) for e, files in groups.items()]
+        schema = _common([_infer(spark, files, e, m) for (e, m), files in groups.items()])
+    parts = [_csv(spark, files, e, schema, m) for (e, m), files in groups.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -312,3 +312,18 @@ def test_arma_gives_its_coefficients_back(spark):
     assert abs(fit.first()["phi"][0] - 0.6) < 0.05 and timeseries.arma_forecast(fit, [], 3, d=0).count() == 3
     pure = timeseries.arma_fit(one, [], ["t"], "v", p=0, q=2, d=2)
     assert timeseries.arma_forecast(pure, [], 3, d=2).filter("forecast is not null").count() == 3
+
+
+def test_csv_files_of_any_encoding_are_split_where_they_can_be(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("id,name\n1,café\n2,plain\n".encode())
+    (tmp_path / "b.csv").write_bytes("id,name\n3,café\n".encode("iso-8859-1"))
+    (tmp_path / "c.csv").write_bytes("id,name\n4,10 € café\n".encode("windows-1252"))
+    (tmp_path / "d.csv").write_bytes("id,name\n5,café € 日本\n".encode("utf-16"))
+    (tmp_path / "e.csv").write_bytes('id,name\n6,"two\nlines"\n7,"a ""word"""\n'.encode())
+    (tmp_path / "f.csv").write_bytes("id,name\n8,marked\n".encode("utf-8-sig"))
+    traits = {f[-5:]: (kind, broken) for f, kind, broken in io.file_traits(spark, str(tmp_path))}
+    assert traits == {"a.csv": ("utf-8", False), "b.csv": ("iso-8859-1", False), "c.csv": ("windows-1252", False), "d.csv": ("utf-16", True),
+                      "e.csv": ("utf-8", True), "f.csv": ("utf-8", False)}
+    out = {r["id"]: r["name"] for r in io.read_csv(spark, str(tmp_path)).collect()}
+    assert out == {1: "café", 2: "plain", 3: "café", 4: "10 € café", 5: "café € 日本", 6: "two\nlines", 7: 'a "word"', 8: "marked"}
+    assert io.read_csv(spark, str(tmp_path / "a.csv"), encoding="utf-8").count() == 2
