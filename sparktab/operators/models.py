@@ -28,6 +28,7 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparktab.functions.aggregate import wide_agg
 from sparktab.functions.columns import c, dbl, spread
@@ -357,6 +358,19 @@ def encode_target_labels(df: DataFrame, label: str, name: str = "label") -> tupl
     return coder.transform(df), list(coder.labels)
 
 
+def coded_labels(train: DataFrame, test: DataFrame | None, label: str, task: str) -> tuple[DataFrame, DataFrame | None, str, list[str]]:
+    """(train, test, label column, classes): text classes become codes in alphabetical order, learned from the training rows.
+
+    A class that only the test rows have gets a code of its own, which no model can predict. Numbers stay as they are.
+    """
+    if task != "classification" or not isinstance(train.schema[label].dataType, T.StringType):
+        return train, test, label, []
+    name = f"_code_{label}"
+    coder = StringIndexer(inputCol=label, outputCol=name, stringOrderType="alphabetAsc", handleInvalid="keep").fit(train.filter(c(label).isNotNull()))
+    code = lambda d: None if d is None else coder.transform(d.filter(c(label).isNotNull()))
+    return code(train), code(test), name, list(coder.labels)
+
+
 def decode_labels(df: DataFrame, labels: list[str], name: str = "prediction", out: str = "predicted_label") -> DataFrame:
     arr = F.array(*[F.lit(x) for x in labels])
     return df.withColumn(out, F.get(arr, c(name).cast("int")))
@@ -440,17 +454,23 @@ def train_many(train: DataFrame, test: DataFrame, features: list[str], label: st
 
 def multi_output(train: DataFrame, test: DataFrame, features: list[str], targets: list[str], key: str, task: str,
                  name: str, params: dict | None = None) -> tuple[dict[str, Model], DataFrame]:
-    """One model per target over one stored feature vector; predictions side by side."""
+    """One model per target over one stored feature vector; predictions side by side, text classes as text."""
+    codes, labels = {}, {}
+    for t in targets:
+        train, test, codes[t], labels[t] = coded_labels(train, test, t, task)
     vec = VectorAssembler(inputCols=features, outputCol="features")
-    tr = vec.transform(train.select(c(key).alias(ROW_ID), *[c(x).cast("double").alias(x) for x in features + targets]))
-    te = vec.transform(test.select(c(key).alias(ROW_ID), *[c(x).cast("double").alias(x) for x in features + targets]))
+    numbers = [c(x).cast("double").alias(x) for x in dict.fromkeys([*features, *codes.values()])]
+    tr = vec.transform(train.select(c(key).alias(ROW_ID), *numbers))
+    te = vec.transform(test.select(c(key).alias(ROW_ID), *numbers, *[c(t) for t in targets if codes[t] != t]))
     tr = spread(tr).persist()
     rows, models, out = tr.count(), {}, te
     for t in targets:
-        classes = int(tr.agg(F.max(c(t))).first()[0]) + 1 if task == "classification" else 2
-        models[t] = make_estimator(name, task, rows, features, classes, params).fit(tr.withColumn("label", c(t)))
+        classes = len(labels[t]) or (int(tr.agg(F.max(c(codes[t]))).first()[0]) + 1 if task == "classification" else 2)
+        models[t] = make_estimator(name, task, rows, features, classes, params).fit(tr.withColumn("label", c(codes[t])))
         kept = out.columns
         out = models[t].transform(out).withColumnRenamed("prediction", f"prediction_{t}") \
             .select(*[c(x) for x in kept], c(f"prediction_{t}"))
+        if labels[t]:
+            out = decode_labels(out, labels[t], f"prediction_{t}", f"prediction_{t}").drop(codes[t])
     tr.unpersist()
     return models, out

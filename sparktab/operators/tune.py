@@ -106,6 +106,7 @@ def tune(train: DataFrame, test: DataFrame, name: str, task: str, features: list
     """
     start, task = time.time(), task.lower()
     space = SPACES[name] if space is None else space
+    train, test, label, labels = models.coded_labels(train, test, label, task)
     if time_col:
         folded = time_series_folds(train, time_col, key, cv_folds).withColumnRenamed("block", "fold")
     else:
@@ -115,7 +116,7 @@ def tune(train: DataFrame, test: DataFrame, name: str, task: str, features: list
         *[c(f).cast("double").alias(f) for f in features]))
     tr = spread(tr).persist()
     n = tr.count()
-    classes = int(tr.agg(F.max("label")).first()[0]) + 1 if task == "classification" else 2
+    classes = len(labels) or (int(tr.agg(F.max("label")).first()[0]) + 1 if task == "classification" else 2)
 
     def score(params):
         total = 0.0
@@ -125,12 +126,14 @@ def tune(train: DataFrame, test: DataFrame, name: str, task: str, features: list
             total += _score(model.transform(tr.filter(F.col("fold") == i)), task)
         return total / cv_folds
 
-    params, value, trials = search(space, score, time_budget, max_trials, batch, train.sparkSession, seed)
-    model = models.make_estimator(name, task, n, features, classes, params, seed).fit(tr.drop("fold"))
-    pred = model.transform(models.assemble(test, features, label, key))
-    result = {"model": f"{name} (Tuned)", **models.evaluate(pred, task, classes), "cv_score": value,
-              "trials": trials, "params": params, "seconds": round(time.time() - start, 4)}
-    tr.unpersist()
+    try:
+        params, value, trials = search(space, score, time_budget, max_trials, batch, train.sparkSession, seed)
+        model = models.make_estimator(name, task, n, features, classes, params, seed).fit(tr.drop("fold"))
+        pred = model.transform(models.assemble(test, features, label, key))
+        result = {"model": f"{name} (Tuned)", **models.evaluate(pred, task, classes), "cv_score": value,
+                  "trials": trials, "params": params, "seconds": round(time.time() - start, 4), **({"labels": labels} if labels else {})}
+    finally:
+        tr.unpersist()
     return model, result
 
 
@@ -138,19 +141,50 @@ def tune(train: DataFrame, test: DataFrame, name: str, task: str, features: list
 MLLIB_NAMES = {"max_depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate", "min_samples_leaf": "minInstancesPerNode"}
 
 
+OWN = ("KNN", "SVM", "AdaBoost", "Extra Trees")
+
+
+def _own_grid(tr: DataFrame, name: str, task: str, n: int, features: list[str], classes: int, grid: dict[str, list], cv_folds: int, parallelism: int):
+    asks = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
+
+    def score(params):
+        total = 0.0
+        for i in range(cv_folds):
+            model = models.make_estimator(name, task, n, features, classes, params).fit(tr.filter(F.col("fold") != i))
+            total += _score(model.transform(tr.filter(F.col("fold") == i)), task)
+        return total / cv_folds
+
+    try:
+        with ThreadPool(parallelism) as pool:
+            scores = pool.map(inheritable_thread_target(tr.sparkSession)(score), asks, chunksize=1)
+        best = asks[max(range(len(asks)), key=lambda i: scores[i])]
+        model = models.make_estimator(name, task, n, features, classes, best).fit(tr.drop("fold"))
+    finally:
+        tr.unpersist()
+    rows = [({k: str(v) for k, v in a.items()}, abs(s)) for a, s in zip(asks, scores)]
+    return model, tr.sparkSession.createDataFrame(rows, "params map<string,string>, cv_metric double")
+
+
 def custom_grid(train: DataFrame, name: str, task: str, features: list[str], label: str, key: str,
                 grid: dict[str, list], cv_folds: int = 3, parallelism: int = 4):
-    """User lists of values through ParamGridBuilder and CrossValidator on fixed folds."""
+    """User lists of values on fixed folds: (best model, params with their metric).
+
+    Through ParamGridBuilder and CrossValidator; families without MLlib parameters (OWN) are fitted for each combination.
+    """
+    train, _, label, labels = models.coded_labels(train, None, label, task)
     folded = kfold(train, key, cv_folds)
     tr = models.VectorAssembler(inputCols=features, outputCol="features").transform(folded.select(
-        c(label).cast("double").alias("label"), "fold", *[c(f).cast("double").alias(f) for f in features]))
+        c(key).alias(models.ROW_ID), c(label).cast("double").alias("label"), "fold", *[c(f).cast("double").alias(f) for f in features]))
     n = tr.count()
+    classes = len(labels) or (int(tr.agg(F.max("label")).first()[0]) + 1 if task == "classification" else 2)
+    if name in OWN:
+        return _own_grid(tr.persist(), name, task, n, features, classes, grid, cv_folds, parallelism)
     if name in ("Ridge", "Lasso", "ElasticNet"):
         est, (rows, std) = LinearRegression(standardization=False), models.label_stats(tr)
         asks = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
         maps = [{est.regParam: r, est.elasticNetParam: m} for r, m in (models.penalty(name, a, rows, std) for a in asks)]
     else:
-        est = models.make_estimator(name, task, n, features)
+        est = models.make_estimator(name, task, n, features, classes)
         builder = ParamGridBuilder()
         for k, values in grid.items():
             target = MLLIB_NAMES.get(k)

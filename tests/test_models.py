@@ -327,3 +327,17 @@ def test_csv_files_of_any_encoding_are_split_where_they_can_be(spark, tmp_path):
     out = {r["id"]: r["name"] for r in io.read_csv(spark, str(tmp_path)).collect()}
     assert out == {1: "café", 2: "plain", 3: "café", 4: "10 € café", 5: "café € 日本", 6: "two\nlines", 7: 'a "word"', 8: "marked"}
     assert io.read_csv(spark, str(tmp_path / "a.csv"), encoding="utf-8").count() == 2
+
+
+def test_text_classes_in_tuning_grids_and_several_targets(data, spark):
+    df = data[2].withColumns({"kind": F.when(F.col("a") > 0, "high").otherwise("low"), "sign": F.when(F.col("b") > 0, "+").otherwise("-")})
+    train, test = df.filter("id % 4 > 0"), df.filter("id % 4 = 0").withColumn("kind", F.when(F.col("id") == 0, "new").otherwise(F.col("kind")))
+    model, result = tune.tune(train, test, "Decision Tree", "classification", F3, "kind", "id", max_trials=2, cv_folds=2, batch=2)
+    assert result["labels"] == ["high", "low"] and result["accuracy"] > 0.9
+    for name, grid in (("Decision Tree", {"max_depth": [1, 3]}), ("KNN", {"n_neighbors": [1, 5]}), ("AdaBoost", {"n_estimators": [2]})):
+        best, scores = tune.custom_grid(train, name, "classification", F3, "kind", "id", grid, cv_folds=2)
+        rows = scores.collect()
+        assert len(rows) == math.prod(map(len, grid.values())) and all(0.5 < r["cv_metric"] <= 1 for r in rows)
+    _, out = models.multi_output(train, test, F3, ["kind", "sign"], "id", "classification", "Decision Tree", {"max_depth": 3})
+    good = out.agg(F.avg((F.col("kind") == F.col("prediction_kind")).cast("double")), F.avg((F.col("sign") == F.col("prediction_sign")).cast("double"))).first()
+    assert good[0] > 0.9 and good[1] > 0.9 and set(r[0] for r in out.select("prediction_kind").distinct().collect()) <= {"high", "low"}
