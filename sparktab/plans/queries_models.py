@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sparktab.operators import metrics, models, split
@@ -104,3 +107,31 @@ def _(t):
     _, out = models.multi_output(df.filter("split = 'train'"), df.filter("split = 'test'"), ["l_discount", "l_tax", "l_linenumber"],
                                  ["l_extendedprice", "l_quantity"], "row", "regression", "Decision Tree", {"max_depth": 4})
     return metrics.multi_output_metrics(out, {x: (x, f"prediction_{x}") for x in ("l_extendedprice", "l_quantity")})
+
+
+@query("penalised_optima", "select model, true as flat from (values ('Ridge'), ('Lasso'), ('ElasticNet'), ('Logistic Regression')) v(model)")
+def _(t):
+    """The slope of each model's objective vanishes at its coefficients (for absolute penalties: stays within them)."""
+    df = models.assemble(t.lineitem.select(*LI, "l_extendedprice", (F.col("l_quantity") * 0.02 + F.col("l_discount") * 3 + F.col("l_linenumber") % 2 > 0.9).cast("int").alias("big")),
+                         LI, "l_extendedprice")
+    big = models.assemble(t.lineitem.select(*LI, (F.col("l_quantity") * 0.02 + F.col("l_discount") * 3 + F.col("l_linenumber") % 2 > 0.9).cast("int").alias("big")), LI, "big")
+    n, rows = df.count(), []
+    for name, data, params in (("Ridge", df, {"alpha": 5000.0}), ("Lasso", df, {"alpha": 20.0}), ("ElasticNet", df, {"alpha": 2.0, "l1_ratio": 0.5}),
+                               ("Logistic Regression", big, {"C": 1.0})):
+        m = models.make_estimator(name, "classification" if data is big else "regression", n, LI, 2, params).fit(data)
+        w = [float(v) for v in m.coefficients]
+        x = vector_to_array("features")
+        told = sum((x[i] * v for i, v in enumerate(w)), F.lit(float(m.intercept)))
+        off = F.col("label") - (1 / (1 + F.exp(-told)) if data is big else told)
+        sums = data.agg(F.sum(off), *[F.sum(off * x[i]) for i in range(len(LI))], *[F.sum(F.abs(off * x[i])) for i in range(len(LI))]).first()
+        flat = abs(sums[0]) / n < 1e-3 * (1 + abs(m.intercept))
+        for i, v in enumerate(w):
+            slope, size = sums[1 + i], sums[1 + len(LI) + i]
+            mix = {"Ridge": 0.0, "Logistic Regression": 0.0, "Lasso": 1.0, "ElasticNet": 0.5}[name]
+            alpha = params.get("alpha", 1.0) * (1 if name == "Ridge" else n) if data is df else 1.0 / params["C"]
+            rest = slope - alpha * (1 - mix) * v
+            bound = alpha * mix
+            gap = abs(rest - math.copysign(bound, v)) if v and bound else max(0.0, abs(rest) - bound)
+            flat = flat and gap < 1e-3 * size
+        rows.append((name, bool(flat)))
+    return t.spark.createDataFrame(rows, "model string, flat boolean")

@@ -14,7 +14,7 @@ from sparktab.functions.staging import stage_path
 from sparktab.operators import advise, match, models, neighbors, retrieval, score, split
 from sparktab.operators.encode import Encoder
 from sparktab.plans.auto import AutoPreprocessor, simple_preprocess
-from sparktab.plans.catalog import query
+from sparktab.plans.catalog import QUERIES, query
 from sparktab.plans.queries_models import LI, lineitem_table, vectors, VEC
 from sparktab.plans.queries_profile import union
 from sparktab.plans.queries_transform import SLOT, rounds
@@ -96,7 +96,7 @@ def _(t):
     return rounds(io.load_pipeline(path).transform(df), "cust", digits=9)
 
 
-@query("save_load_models")
+@query("save_load_models", "select model, 0::bigint as different from (values ('Decision Tree'), ('Extra Trees'), ('KNN'), ('SVM')) v(model)")
 def _(t):
     data = models.assemble(vectors(t), VEC, "odd", "vec_id")
     names = ["Decision Tree", "Extra Trees", "KNN", "SVM"]
@@ -297,6 +297,15 @@ def _(t):
     return score.score_probabilities(out, labels).drop(*VEC)
 
 
+@query("score_probabilities_add_up", "select vec_id, true as whole, true as largest from embeddings")
+def _(t):
+    """Every row's probabilities add up to one, and the predicted class has the largest."""
+    out = QUERIES["score_probabilities"](t.spark, t.folder)
+    p = [x for x in out.columns if x.startswith("proba_")]
+    own = F.element_at(F.create_map(*[v for x in p for v in (F.lit(x.removeprefix("proba_")), F.col(x))]), F.col("predicted_label"))
+    return out.select("vec_id", (F.abs(sum((F.col(x) for x in p), F.lit(0.0)) - 1) < 1e-9).alias("whole"), (own >= F.greatest(*p)).alias("largest"))
+
+
 SEG = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 AUTO = f"""with s as (select *, {SLOT.format('c_custkey::varchar')} % 100 < 20 as is_test from customer),
 m as (select avg(c_nationkey) as m, stddev_pop(c_nationkey) as d from s where not is_test)
@@ -352,3 +361,14 @@ def _(t):
     df = t.lineitem.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("row"),
                            "l_extendedprice", "l_tax", (F.col("l_quantity") >= 48).cast("int").alias("rare"))
     return neighbors.smote(df, "row", "rare", ["l_extendedprice", "l_tax"])
+
+
+@query("smote_inside", """with c as (select (l_quantity >= 48)::int as rare, count(*) as n from lineitem group by 1)
+select (max(n) - min(n))::bigint as made, true as inside, true as of_the_rare from c""")
+def _(t):
+    """The made rows are as many as are missing, all of the rare class, and none leaves the range of its rows."""
+    out = QUERIES["smote"](t.spark, t.folder)
+    old = out.filter("rare = 1 and not synthetic")
+    lo, hi, low, high = old.agg(F.min("l_extendedprice"), F.max("l_extendedprice"), F.min("l_tax"), F.max("l_tax")).first()
+    return out.filter("synthetic").agg(F.count(F.lit(1)).alias("made"), F.every(F.col("l_extendedprice").between(lo, hi) & F.col("l_tax").between(low, high)).alias("inside"),
+                                       F.every(F.col("rare") == 1).alias("of_the_rare"))
