@@ -49,6 +49,6 @@ class ScalerModel(Fitted):
 
     def log(self):
         if not self["center"]:
-            return [("Scaling", "No numeric columns to scale", "skipped", "skipped")]
-        return [("Scaling", f"{self['kind']} scaling of {len(self['center'])} columns",
+            return [("Scale", "no number columns", "nothing to do", "skipped")]
+        return [("Scale", f"{self['kind']} scaling of {len(self['center'])} columns",
                  "outliers found" if self["kind"] == "robust" else "no heavy outliers", "applied")]

@@ -44,7 +44,7 @@ class FeatureSelectorModel(Fitted):
 
     def log(self):
         a, b = self["low_variance"], self["high_correlation"]
-        return [("Variance Filter", f"Dropped {a}" if a else "No low variance columns", "variance",
+        return [("Flat columns", f"left out: {a}" if a else "none", "variance",
                  "applied" if a else "skipped"),
-                ("Correlation Filter", f"Dropped {b}" if b else "No highly correlated pairs", "correlation",
+                ("Twin columns", f"left out: {b}" if b else "none", "correlation",
                  "applied" if b else "skipped")]

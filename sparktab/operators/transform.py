@@ -46,8 +46,8 @@ class OutlierCapperModel(Fitted):
 
     def log(self):
         if not self["caps"]:
-            return [("Outlier Handling", "No outliers detected", "all values within bounds", "skipped")]
-        return [("Outlier Handling", f"Capped {x}", f"{n} outliers capped to [{lo:.2f}, {hi:.2f}]", "applied")
+            return [("Outliers", "nothing to cap", "every value lies inside the limits", "skipped")]
+        return [("Outliers", f"cap {x}", f"{n} values brought into {lo:.2f} to {hi:.2f}", "applied")
                 for x, (lo, hi, n) in self["caps"].items()]
 
 
@@ -78,7 +78,7 @@ class SkewFixerModel(Fitted):
             for x, k in self["kinds"].items() if x in df.columns})
 
     def log(self):
-        return [("Skewness Fix", f"{k} of {x}", f"skewness was {self['skews'][x]:.2f}", "applied")
+        return [("Skew", f"{k} of {x}", f"skew before: {self['skews'][x]:.2f}", "applied")
                 for x, k in self["kinds"].items()]
 
 
@@ -111,5 +111,5 @@ class DatetimeExpanderModel(Fitted):
         return df
 
     def log(self):
-        return [("DateTime Features", f"Extracted from {x}", "year, month, day, dayofweek, hour", "applied")
+        return [("Dates", f"parts of {x}", "calendar parts in place of the date", "applied")
                 for x in self["columns"]]

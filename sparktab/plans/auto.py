@@ -102,25 +102,25 @@ class AutoPreprocessor:
         weights = None
         if task == "classification" and targets:
             advice = profile.imbalance_advice(train, targets[0]).first()
-            log.append(("Imbalance Check", advice["advice"], f"smallest share {advice['min_share']}",
+            log.append(("Class balance", advice["advice"], f"smallest share {advice['min_share']}",
                         "applied" if advice["imbalanced"] else "skipped"))
             if advice["imbalanced"]:
                 weights = balance.weights_by_class(train, targets[0])
                 if self.apply_smote:
                     train = neighbors.smote(stage(train, "smote"), key, targets[0], features)
-                    log.append(("SMOTE Applied", "classes filled up to the largest", "synthetic rows", "applied"))
+                    log.append(("Made rows", "classes filled up to the largest", "synthetic rows", "applied"))
         return Prepared(train, test, model, task, features, seen, log, weights)
 
     def _split(self, df, key, targets, task, log):
         if not targets:
             return df.withColumn("split", F.lit("train"))
         if self.is_time_series and self.date_col:
-            how, out = "Time-based split", split_time(df, self.date_col, key, self.test_size)
+            how, out = "by time", split_time(df, self.date_col, key, self.test_size)
         elif task == "classification":
-            how, out = "Stratified split", stage(split_stratified(df, targets[0], key, self.test_size), "split")
+            how, out = "by class", stage(split_stratified(df, targets[0], key, self.test_size), "split")
         else:
-            how, out = "Random split", split_random(df, key, self.test_size)
-        log.append(("Data Split", how, f"test share {self.test_size}", "applied"))
+            how, out = "by key hash", split_random(df, key, self.test_size)
+        log.append(("Split", how, f"test share {self.test_size}", "applied"))
         return out
 
 

@@ -48,7 +48,7 @@ class Experiments:
             "workspace_id string, created_at timestamp_ntz, updated_at timestamp_ntz, status string,"
             " dataset_name string, dataset_shape array<bigint>")
         self.append(row)
-        self.add_event(wid, "workspace_created", "New workspace initialized")
+        self.add_event(wid, "workspace_created", "experiment opened")
         return wid
 
     def update(self, workspace_id: str, **fields) -> None:
