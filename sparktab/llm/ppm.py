@@ -134,18 +134,41 @@ def count_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("t")).mapInArrow(run, "kind int, key bigint, count bigint")
 
 
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Counts in four bytes where they fit: the tables travel to every task."""
+    return counts.astype(np.int32) if not len(counts) or counts.max() < 1 << 30 else counts.astype(np.int64)
+
+
 @dataclass
 class Level:
-    """Tables of one order: seen pairs with the log of 2 count - 1, contexts with their escapes."""
+    """Tables of one order: seen pairs, contexts with what their escapes are made of. Logs are taken when they are looked up."""
     pairs: np.ndarray      # context and byte, sorted
-    log_count: np.ndarray
-    plain: np.ndarray      # log chance of a pair whose context is the first one met
+    count: np.ndarray      # of a pair
+    owner: np.ndarray      # index of a pair's context
     contexts: np.ndarray   # sorted
-    escape: np.ndarray     # log of the escape chance when nothing is excluded
-    log_rest: np.ndarray   # log(2n') of the next shorter context without this one's bytes
-    escape_rest: np.ndarray  # log of the escape chance there
+    total: np.ndarray      # of a context's pairs
+    kinds: np.ndarray      # distinct next bytes of a context
+    rest: np.ndarray       # 2n' of the next shorter context without this one's bytes
+    fresh: np.ndarray      # distinct next bytes there
     link: np.ndarray       # index of the next shorter context
 
+    def log_count(self, at: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(2 * self.count[at].astype(np.int64) - 1, 1))
+
+    def plain(self, at: np.ndarray) -> np.ndarray:
+        """Log chance of a pair whose context is the first one met."""
+        return self.log_count(at) - np.log(2 * self.total[self.owner[at]].astype(np.int64))
+
+    def escape(self, at: np.ndarray) -> np.ndarray:
+        """Log of the escape chance when nothing is excluded."""
+        return np.log(self.kinds[at].astype(np.int64)) - np.log(2 * self.total[at].astype(np.int64))
+
+    def rests(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logs of 2n' and of the escape chance in the next shorter context without this one's bytes; 0 where no byte is left."""
+        some = self.fresh[at] > 0
+        rest = np.log(np.where(some, self.rest[at], 1).astype(np.int64))
+        return rest, np.log(np.where(some, self.fresh[at], 1).astype(np.int64)) - rest
+
 
 class Model:
     """PPM tables from the counts of runs of order + 1 bytes; with slices, only the runs of one slice."""
@@ -163,21 +186,19 @@ class Model:
         for k, (pairs, n) in enumerate(tables):
             contexts, at, q = np.unique(pairs >> np.uint64(8), return_inverse=True, return_counts=True)
             total = np.bincount(at, weights=n, minlength=len(contexts))
-            log_rest, escape_rest, mine = np.zeros(len(contexts)), np.zeros(len(contexts)), np.zeros(len(contexts), dtype=np.int64)
+            rest, fresh, mine = np.zeros(len(contexts)), np.zeros(len(contexts), dtype=np.int64), np.zeros(len(contexts), dtype=np.int64)
             if k and len(contexts):
                 below, low_n = tables[k - 1]
                 low = self.levels[k - 1]
                 mass = np.bincount(at, weights=low_n[np.searchsorted(below, pairs & np.uint64((1 << (8 * k)) - 1))], minlength=len(contexts))
                 mine = np.searchsorted(low.contexts, contexts & np.uint64((1 << (8 * (k - 1))) - 1))
                 rest, fresh = 2 * (self._n[mine] - mass), self._q[mine] - q
-                some = fresh > 0
-                log_rest[some] = np.log(rest[some])
-                escape_rest[some] = np.log(fresh[some]) - log_rest[some]
-            log_count, log_all = np.log(np.maximum(2 * n - 1, 1)), np.log(2 * total)
-            self.levels.append(Level(pairs, log_count, log_count - log_all[at], contexts, np.log(q) - log_all, log_rest, escape_rest, mine.astype(np.int32)))
+            self.levels.append(Level(pairs, _small(n), at.astype(np.int32), contexts, _small(total), q.astype(np.int16), _small(rest), fresh.astype(np.int16),
+                                     mine.astype(np.int32)))
             self._n, self._q = total, q
             if k == 0:
                 self.unseen = -math.log(SYMBOLS - q[0]) if len(q) and q[0] < SYMBOLS else -math.log(SYMBOLS)
+        del self._n, self._q  # of the last order: only needed to build
 
     def log_chances(self, keys: np.ndarray) -> np.ndarray:
         """Natural log of the chance of each byte after its context; 0 for contexts of other slices."""
@@ -192,7 +213,7 @@ class Model:
             after = ctx >= 0
             here = np.flatnonzero(hit)
             if len(here):
-                out[left[here]] = np.where(after[here], sum_[here] + level.log_count[at[here]] - rest[here], level.plain[at[here]])
+                out[left[here]] = np.where(after[here], sum_[here] + level.log_count(at[here]) - rest[here], level.plain(at[here]))
             miss = np.flatnonzero(~hit)
             if not len(miss):
                 return out
@@ -204,9 +225,9 @@ class Model:
             ctx[fresh[known]] = found[known]
             sum_[after] += escape[after]
             new = fresh[known]
-            sum_[new] += level.escape[ctx[new]]
+            sum_[new] += level.escape(ctx[new])
             seen = np.flatnonzero(ctx >= 0)
-            rest[seen], escape[seen] = level.log_rest[ctx[seen]], level.escape_rest[ctx[seen]]
+            rest[seen], escape[seen] = level.rests(ctx[seen])
         out[left] = sum_ + self.unseen
         return out
 
@@ -290,8 +311,7 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, pairs_limit:
     builders = load_models(pairs, order, pairs_limit)
     spark = docs.sparkSession
 
-    def scorer(model: Model, with_words: bool):
-        shared = spark.sparkContext.broadcast((model, hot, log_hot) if with_words else (model, None, None))
+    def scorer(shared, with_words: bool):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, hot, log_hot = shared.value
@@ -319,11 +339,16 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, pairs_limit:
         return run
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.col("text").cast("binary").alias("t"))
-    first = rows.mapInArrow(scorer(builders[0](), True),
+    shared = spark.sparkContext.broadcast((builders[0](), hot, log_hot))
+    first = rows.mapInArrow(scorer(shared, True),
                             f"doc_id {kind}, rk bigint, n_tokens bigint, known bigint, base double, score double, rest array<bigint>")
     scored = keep(first.withColumn("row", F.monotonically_increasing_id()), "scored")
+    shared.destroy()  # what it gave is written: the next slice takes its place in the executors' memory
     for build in builders[1:]:  # one pass more for each further slice of the trie
-        part = keep(rows.mapInArrow(scorer(build(), False), "rk bigint, score double"), "slice").groupBy("rk").agg(F.max("score").alias("more"))
+        shared = spark.sparkContext.broadcast((build(), None, None))
+        part = keep(rows.mapInArrow(scorer(shared, False), "rk bigint, score double"), "slice")
+        shared.destroy()
+        part = part.groupBy("rk").agg(F.max("score").alias("more"))
         scored = scored.join(part, "rk").withColumn("score", F.col("score") + F.col("more")).drop("more")
     rare = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
     c = F.coalesce("count", F.lit(0))

@@ -432,3 +432,14 @@ def test_mixing(spark, docs, odd, none):
     copies = {r.doc_id: r.copies for r in mixing.plan(docs).collect() if r.copies}
     assert {r.doc_id: r["count"] for r in mix.groupBy("doc_id").count().collect()} == copies
     assert mixing.emit(odd).columns == odd.columns and mixing.plan(none).count() == 0 and mixing.emit(none).count() == 0
+
+
+def test_ppm_tables_are_small():
+    """op9: the tables travel to every task; they hold counts and take no logs with them."""
+    import numpy as np
+    from sparktab.llm import ppm
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 48, 20_000).astype(np.uint64))
+    model = ppm.Model(keys, np.ones(len(keys), dtype=np.int64))
+    held = sum(v.nbytes for level in model.levels for v in vars(level).values() if isinstance(v, np.ndarray))
+    entries = sum(len(level.pairs) + len(level.contexts) for level in model.levels)
+    assert held <= 22 * entries and not [v for v in vars(model).values() if isinstance(v, np.ndarray)]
