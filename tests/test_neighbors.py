@@ -139,3 +139,13 @@ def test_approximate_search_copies_queries_a_bounded_number_of_times(spark, monk
     seen = copies(monkeypatch)
     got = nb.knn_approx(df, df, 3, "id", "id", "vec", "vec", skip_same=True, cell_rows=4)
     assert got.count() == 2700 and seen[0][0] <= nb.SHARES
+
+
+def test_approximate_search_of_few_cells(spark):
+    """Fewer cells than groups of them, and cells without rows."""
+    x = np.random.default_rng(14).normal(size=(120, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, vec array<double>")
+    exact = nb.knn_join(df, df, 3, "id", "id", "vec", "vec", skip_same=True)
+    for cell_rows in (30, 1000):
+        got = nb.knn_approx(df, df, 3, "id", "id", "vec", "vec", skip_same=True, cell_rows=cell_rows)
+        assert nb.recall(got, exact).first()["recall"] >= 0.9
