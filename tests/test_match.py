@@ -39,6 +39,31 @@ def test_similar_runs_by_rows_or_columns_once(spark):
     assert match.similar_runs(spark.createDataFrame([], schema), profiles, "id").count() == 0
 
 
+@pytest.mark.parametrize("share", [3, 50_000])
+def test_similar_classes_stand_for_all_pairs(spark, share):
+    rng = random.Random(5)
+    schema = "dataset_name string, best_model string, best_score double, task_type string, profile_summary struct<total_rows: bigint, total_columns: bigint>"
+    runs = [(f"d{i % 70}", rng.choice(["X", "X", None]), rng.choice([1.0, None]), rng.choice(["regression", "Regression", "other", None]),
+             (rng.choice([None, 0, 1, 9, 10, 14, 100]), rng.choice([None, 3, 4, 9]))) for i in range(200)]
+    profiles = [(rng.choice([None, i]), rng.choice([None, 0.5, 7.0, 10.0, 99.0]), rng.choice([None, 0, 3, 8]), rng.choice(["REGRESSION", "other", None])) for i in range(90)]
+    tables = spark.createDataFrame(runs, schema), spark.createDataFrame(profiles, "id int, total_rows double, total_columns bigint, task_type string")
+    want = match.similar_runs(*tables, "id", share)
+    got = match.similar_classes(*tables, "id", share).localCheckpoint()
+    part = lambda name, *cols: got.filter(F.col("part") == name).select(*cols)
+    links = part("link", "task", "profile_rows", "profile_columns", "total_rows", "features", "pairs")
+    asked, finished = part("profile", "id", "task", "profile_rows", "profile_columns"), part("run", "dataset", "best_model", "best_score", "task", "total_rows", "features")
+    said = asked.toDF("id", "t", "r", "c"), finished.toDF("dataset", "best_model", "best_score", "u", "n", "f")
+    pairs = (links.join(said[0], (F.col("task") == F.col("t")) & F.col("profile_rows").eqNullSafe(F.col("r")) & F.col("profile_columns").eqNullSafe(F.col("c")))
+             .join(said[1], (F.col("task") == F.col("u")) & F.col("total_rows").eqNullSafe(F.col("n")) & F.col("features").eqNullSafe(F.col("f")))
+             .select("id", "dataset", "best_model", "best_score", "total_rows", "features"))
+    rows = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert rows(pairs) == rows(want) and rows(want)
+    assert links.agg(F.sum("pairs")).first()[0] == want.count() > links.count()
+    assert asked.count() == len(profiles)
+    again = match.similar_classes(tables[0].union(tables[0]), tables[1].union(tables[1]), "id", share).filter("part = 'link'")
+    assert again.count() == links.count() and again.agg(F.sum("pairs")).first()[0] == 4 * want.count()
+
+
 def loop(free, known):
     """The rule for one name: exact, cleaned, first known name in either direction."""
     table = {}
