@@ -388,6 +388,8 @@ def test_tuning_on_cells_equals_tuning_on_rows(spark, monkeypatch):
                                   (F.col("id") * 37 % 101 + F.col("id") % 7 * 9).cast("double").alias("y"), (F.col("id") * 37 % 101 > 20 + F.col("id") % 7 * 9).cast("int").alias("big"))
     train, test, made = df.filter("id % 5 > 0"), df.filter("id % 5 = 0"), models.cells
 
+    monkeypatch.setattr(tune, "TREE_ROWS", 1)
+
     def both(run):
         sizes = []
         monkeypatch.setattr(models, "cells", lambda *a: (lambda got: (sizes.append(got[0].count()), got)[1])(made(*a)))
