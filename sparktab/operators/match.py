@@ -148,8 +148,10 @@ def match_names(df: DataFrame, column: str, known: DataFrame, name: str, order:
     null one matches nothing. The work is done on distinct cleaned names, of which each free name then takes its own.
     """
     place = F.struct(c(order), c(name)) if order else F.struct(c(name))
-    names = known.filter(c(name).isNotNull()).select(c(name).alias("match"), clean_name(c(name)).alias("key"), place.alias("place"))
-    keys = stage(names.groupBy("key").agg(F.min("place").alias("place"), F.max_by("match", "place").alias("match")), "known-names")
+    names = known.filter(c(name).isNotNull()).select(c(name).alias("match"), clean_name(c(name)).alias("key"), place.alias("place")).distinct()
+    keys = names.groupBy("key").agg(F.min("place").alias("place"), F.max_by("match", "place").alias("match"))
+    # numbers in the order of places: pairs are summed up by a number in place, texts would have to be sorted
+    keys = stage(keys.orderBy("place").select("key", "match", F.monotonically_increasing_id().alias("place")), "known-names")
     raw = names.select("match").distinct()
     free = df.select(c(column).alias("free")).filter("free is not null").distinct()
     free = free.join(raw.withColumn("exact", F.lit(True)), F.col("free") == F.col("match"), "left").select("free", F.coalesce("exact", F.lit(False)).alias("exact"))
@@ -164,7 +166,8 @@ def match_names(df: DataFrame, column: str, known: DataFrame, name: str, order:
     if blank:
         pairs = pairs.unionByName(some.select("clean", F.lit("").alias("key")))
     pairs = pairs.unionByName(rest.filter("clean = ''").select("clean", F.lit(least).alias("key")))
-    part = pairs.join(keys, "key").groupBy("clean").agg(F.min_by("match", "place").alias("part"))
+    part = pairs.join(keys.select("key", "place"), "key").groupBy("clean").agg(F.min("place").alias("place"))
+    part = stage(part.join(keys.select("place", F.col("match").alias("part")), "place").select("clean", "part"), "partial-names")
     told = free.join(same.join(part, "clean", "left"), "clean", "left")
     told = told.select("free", F.when(F.col("exact"), F.col("free")).otherwise(F.coalesce("same", "part")).alias("match"),
                        F.when(F.col("exact"), "exact").when(F.col("same").isNotNull(), "normalized").when(F.col("part").isNotNull(), "partial").alias("kind"))
