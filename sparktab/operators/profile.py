@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktab.functions.aggregate import (WIDTH, adjusted_skewness, exact_quantiles, gram_matrix,
-                                          wide_agg)
+from sparktab.functions.aggregate import (COMPILED, WIDTH, adjusted_skewness, exact_quantiles,
+                                          gram_matrix, wide_agg)
 from sparktab.functions.columns import (c, dbl, long_rows, micros, numeric_columns, rounded, spread,
                                         string_columns, timestamp_columns)
 from sparktab.functions.order import SERIES_ROWS, null_safe_join, series_window
@@ -426,7 +426,7 @@ def histogram(df: DataFrame, columns: list[str] | None = None, target: str | Non
 
 
 def full_profile(df: DataFrame, target: str | None = None) -> dict:
-    """All profile results of one table as driver values: one wide aggregate and one grouped count."""
+    """All profile results of one table as driver values: aggregates of COMPILED statistics each and one grouped count."""
     nums, text = numeric_columns(df), string_columns(df)
     stats: dict = {"*": F.count(F.lit(1)), **{(x, "known"): F.count(c(x)) for x in df.columns}}
     for x in nums:
@@ -437,7 +437,7 @@ def full_profile(df: DataFrame, target: str | None = None) -> dict:
     one_pass = len(pairs) <= 400
     if one_pass:
         stats |= {("r", a, b): _corr(a, b) for a, b in pairs}
-    got = wide_agg(df, stats)
+    got = wide_agg(df, stats, COMPILED)
     n = got["*"]
 
     def short(v, digits=4):

@@ -54,6 +54,25 @@ def test_ranks_of_any_values(spark, kind):
         assert p.value == want[r] and p.below == sum(v < want[r] for v in x) and p.ties == sum(v == want[r] for v in x)
 
 
+def test_rank_passes_are_compiled(spark, monkeypatch):
+    """No function that Spark runs per value outside its compiled code."""
+    df = spark.range(5000).select((F.col("id") % 977 * 1.5).alias("x"), F.when(F.col("id") % 3 > 0, F.col("id") * 0.5).alias("y"))
+    seen, plain = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(self._jdf.queryExecution().executedPlan().toString()) or plain(self))
+    got = exact_quantiles(df, {"x": [0.5], "y": [0.5]})
+    assert seen and not any("lambda" in p for p in seen)
+    assert got == {"x": [float(np.median(np.arange(5000) % 977 * 1.5))], "y": [float(np.median([i * 0.5 for i in range(5000) if i % 3]))]}
+
+
+def test_key_hashes_are_worked_out_once_for_the_cuts(spark, monkeypatch):
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("y"))
+    seen, plain = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(self._jdf.queryExecution().executedPlan().toString()) or plain(self))
+    out = split.split_stratified(df, "y", "id", 0.25)
+    assert seen and not any("md5" in p for p in seen)
+    assert sorted((r["y"], r["n"]) for r in out.filter("split = 'test'").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()) == [(0, 250), (1, 250), (2, 250)]
+
+
 def test_no_quantile_meets_one_task(spark):
     """The picked parts alone reach the driver, and no aggregate without a key holds values."""
     df = spark.range(100_000).select((F.col("id") % 977 * 1.5).alias("x"))

@@ -2,11 +2,12 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from sparktab.functions.staging import stage_path
-from sparktab.operators import metrics, profile
+from sparktab.operators import clean, metrics, profile
 from sparktab.operators import encode as en
 from sparktab.operators.clean import BooleanNormalizer, TypeCorrector, basic_clean, ingest
 from sparktab.operators.encode import Encoder
@@ -127,6 +128,43 @@ def test_basic_clean_and_ingest(spark):
     assert kept.count() == 3 and kept.columns == [" x ", "s"] and log[0][1] == "Removed 1 rows"
 
 
+@pytest.mark.parametrize("copies, limit, whole", [(0, 100_000, False), (40, 100_000, False), (40, 10, True), (20_000, 100_000, True)])
+def test_rows_are_not_moved_to_find_few_copies(spark, monkeypatch, copies, limit, whole):
+    """Copies go, null and zero of either sign included, and only hashes are shuffled unless copies are many."""
+    plans, plain = [], clean.stage
+    monkeypatch.setattr(clean, "stage", lambda d, label: plans.append(d._jdf.queryExecution().executedPlan().toString()) or plain(d, label))
+    monkeypatch.setattr(clean, "BROADCAST_ROWS", limit, raising=False)
+    df = spark.range(20_000, numPartitions=4).select("id", F.when(F.col("id") % 7 != 0, (F.col("id") % 50).cast("string")).alias("s"),
+                                                     F.when(F.col("id") % 5 != 0, F.col("id") % 3 * -0.0).alias("z"), F.lit(None).cast("int").alias("gone"))
+    again = df.filter(F.col("id") < copies).withColumn("z", F.col("z") + F.lit(0.0))
+    kept, log = ingest(df.unionByName(again).unionByName(again))
+    rows = kept.collect()
+    assert log[0][1] == f"Removed {2 * copies} rows" and kept.columns == ["id", "s", "z"]
+    assert sorted(r["id"] for r in rows) == list(range(20_000))
+    assert all(r["s"] == (str(r["id"] % 50) if r["id"] % 7 else None) for r in rows)
+    assert all((r["z"] is None) if r["id"] % 5 == 0 else math.copysign(1, r["z"]) == 1 for r in rows)
+    if not copies:
+        assert not any("hashpartitioning(id" in p for p in plans)
+    assert any("hashpartitioning(id" in p and "_digest" not in p for p in plans) == whole
+
+
+def test_copies_of_rows_with_nested_values(spark):
+    df = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (2, None)], "i int, a array<double>")
+    assert sorted(r["i"] for r in ingest(df)[0].collect()) == [1, 2]
+
+
+def test_profile_in_passes_that_are_compiled(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 6))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"x{i} double" for i in range(6)))
+    widths, plain = [], type(df).first
+    monkeypatch.setattr(type(df), "first", lambda self: widths.append(len(self.columns)) or plain(self))
+    got = profile.full_profile(df)
+    assert widths and max(widths) <= 15
+    assert all(math.isclose(got["correlation"][f"x{a}", f"x{b}"], np.corrcoef(x[:, a], x[:, b])[0, 1], abs_tol=1e-9) for a in range(6) for b in range(a + 1, 6))
+    assert all(math.isclose(got["numeric_stats"][f"x{i}"]["std"], x[:, i].std(ddof=1), abs_tol=1e-4) for i in range(6))
+
+
 def test_targets(spark):
     df = spark.createDataFrame([(i % 10, i % 11, "x", float(i)) for i in range(300)], "ten int, eleven int, s string, v double")
     assert profile.target_types(df, ["ten", "eleven", "s", "v", "none"]) == {
