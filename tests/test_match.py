@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktab.operators import advise, match
+from sparktab.plans import load_all
+from sparktab.plans.catalog import QUERIES
 
 
 def plan(df):
@@ -40,6 +42,21 @@ def test_similar_runs_by_rows_or_columns_once(spark):
     assert match.similar_runs(spark.createDataFrame([], schema), profiles, "id").count() == 0
 
 
+def test_similar_runs_query_lists_every_pair(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 2.0, 1), (2, "b", 2.0, 1), (3, "c", 2.0, 4), (4, "d", 2.0, 3), (5, "e", -1.0, 1), (6, "f", 2.0, 10)],
+                          "c_custkey long, c_name string, c_acctbal double, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("select id as o_orderkey, id % 6 + 1 as o_custkey, double(id) as o_totalprice, timestamp'2020-01-01' as o_orderdate from range(60)"
+              ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select id as l_orderkey, id % 4 as l_suppkey, int(id div 4 % 7) as l_linenumber from range(2000)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    load_all()
+    got = QUERIES["similar_runs"](spark, str(tmp_path))
+    assert got.columns == ["l_suppkey", "dataset", "best_model", "best_score", "total_rows", "features"]
+    runs = [("a", 54.0, 10, 2, "classification"), ("b", 55.0, 10, 2, "classification"), ("c", 56.0, 10, 5, "regression"), ("f", 59.0, 10, 11, "regression")]
+    want = [(s, d, "Ridge", score, n, k) for s in range(4) for d, score, n, k, task in runs
+            if task == ("classification" if s % 2 == 0 else "regression") and (abs(n - 10) / 10 < 0.5 or abs(k - 7 - s) / (7 + s) < 0.3)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 8
+
+
 @pytest.mark.parametrize("share", [3, 50_000])
 def test_similar_classes_stand_for_all_pairs(spark, share):
     rng = random.Random(5)
