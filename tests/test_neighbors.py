@@ -1,6 +1,11 @@
 """Neighbour search against brute force, also where a third of the rows are copies."""
+import re
+
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparktab.operators import neighbors as nb
 
@@ -29,6 +34,58 @@ def test_knn_join(spark, few, block, pivots, same):
     assert {(r["query"], r["id"], r["rank"]) for r in got.collect()} == brute(x, x, 4, same)
 
 
+def vectors_of_kind(kind, rng, n=2600, q=90):
+    x, asks = rng.normal(size=(n, 16)), rng.normal(size=(q, 16))
+    if kind == "far":       # norms far above the distances
+        x, asks = x + 1e4, asks + 1e4
+    if kind == "grid":      # many equal distances
+        x, asks = rng.integers(0, 3, size=(n, 4)).astype(float), rng.integers(0, 3, size=(q, 4)).astype(float)
+    if kind == "copies":
+        x[:1500] = asks[0]
+    if kind == "outlier":
+        x[7] *= 1e9
+    if kind == "large":
+        x, asks = x * 1e19, asks * 1e19
+    if kind == "tiny":
+        x, asks = x * 1e-25, asks * 1e-25
+    return x, asks
+
+
+@pytest.mark.parametrize("kind", ["plain", "far", "grid", "copies", "outlier", "large", "tiny"])
+@pytest.mark.parametrize("same", [True, False])
+def test_candidates_of_single_precision_lose_nothing(monkeypatch, kind, same):
+    x, asks = vectors_of_kind(kind, np.random.default_rng(8))
+    ids = np.arange(len(x)) // 2
+    held = pd.DataFrame({"query": np.arange(len(asks)) if same else np.arange(len(asks)) + 10**6})
+    rows = pd.DataFrame({"id": ids, "vec": list(x), "label": np.arange(len(x)) % 7})
+    monkeypatch.setattr(nb, "TILE", 1024)  # several tiles, the last one not full
+    doubles, nearest = [], nb._nearest
+    monkeypatch.setattr(nb, "_nearest", lambda *a: doubles.append(1) or nearest(*a))
+    got = nb._topk(held, asks, rows, 5, same)
+    want = []
+    for i, a in zip(held["query"], asks):
+        d2 = ((a - x) ** 2).sum(1)
+        best = sorted((d, j) for d, j in zip(d2, ids) if not (same and j == i))[:5]
+        want += [(i, j, d) for d, j in best]
+    assert list(zip(got["query"], got["id"], got["d2"])) == sorted(want, key=lambda r: (r[0], r[2], r[1]))
+    if kind in ("plain", "far", "grid"):
+        assert not doubles
+
+
+def test_vectors_move_as_bytes(spark):
+    x, df = points(spark)
+    cells = df.select("id", "vec", F.lit(None).cast("double").alias("label"), F.lit(0).alias("cell"))
+    asks = df.select(F.col("id").alias("query"), F.col("vec").alias("qvec"), F.array(F.lit(0)).alias("cells"))
+    schema = T.StructType([T.StructField(n, t) for n, t in (("query", T.IntegerType()), ("id", T.IntegerType()), ("d2", T.DoubleType()), ("label", T.DoubleType()))])
+    found = nb._meet(cells, asks, 4, schema, True, 100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[pack\(", plan)) == 2
+    best = {}
+    for r in found.collect():
+        best.setdefault(r["query"], []).append((r["d2"], r["id"]))
+    assert {(q, i, n + 1) for q, held in best.items() for n, (_, i) in enumerate(sorted(held)[:4])} == brute(x, x, 4, True)
+
+
 def test_fewer_rows_than_k(spark):
     x, df = points(spark, 3, 1)
     for few in (10, 0):
