@@ -1,5 +1,6 @@
 """Neighbour search against brute force, also where a third of the rows are copies."""
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -72,6 +73,20 @@ def test_candidates_of_single_precision_lose_nothing(monkeypatch, kind, same):
         assert not doubles
 
 
+def test_distances_to_pivots_need_no_copy_of_the_rows():
+    rng = np.random.default_rng(9)
+    x, p = rng.normal(size=(20_001, 64)), rng.normal(size=(3, 64))
+    tracemalloc.start()
+    got = nb._spans(x, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes / 4
+    for j in range(3):
+        gap = x - p[j]
+        assert np.array_equal(got[:, j], np.sqrt(np.einsum("ij,ij->i", gap, gap)))
+    assert nb._spans(x[:0], p).shape == (0, 3)
+
+
 def test_vectors_move_as_bytes(spark):
     x, df = points(spark)
     cells = df.select("id", "vec", F.lit(None).cast("double").alias("label"), F.lit(0).alias("cell"))
